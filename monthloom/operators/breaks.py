@@ -14,6 +14,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from monthloom.functions.arrays import let
 from monthloom.functions.numeric import nan_to_null
 from monthloom.operators.series import SERIES, observations, unpack
 from monthloom.params import BreakRule
@@ -97,29 +98,33 @@ def _fold(rule: BreakRule) -> Column:
             & (s["after"] * acc["factor"] >= F.lit(rule.min_level))
             & (F.abs(ratio - F.lit(1.0)) >= F.lit(rule.min_change))
         )
-        factor = F.when(applies, acc["factor"] * ratio).otherwise(acc["factor"])
-        entry = F.struct(s["break_date"].alias("break_date"), factor.alias("factor"))
-        return F.struct(
-            factor.alias("factor"), F.array_append(acc["path"], entry).alias("path")
-        )
+
+        def extend(factor: Column) -> Column:
+            entry = F.struct(s["break_date"].alias("break_date"), factor.alias("factor"))
+            return F.struct(
+                factor.alias("factor"), F.array_append(acc["path"], entry).alias("path")
+            )
+
+        return let(F.when(applies, acc["factor"] * ratio).otherwise(acc["factor"]), extend)
 
     return F.aggregate("steps", start, step, lambda acc: acc["path"])
 
 
 def _adjust_once(long: DataFrame, rule: BreakRule) -> DataFrame:
-    path = _with_steps(long, rule).withColumn("path", _fold(rule))
-
-    def factor_at(o: Column) -> Column:
+    def factor_at(path: Column, o: Column) -> Column:
         return F.aggregate(
-            "path",
+            path,
             F.lit(1.0),
             lambda acc, p: F.when(o["month"] >= p["break_date"], p["factor"]).otherwise(acc),
         )
 
-    return path.select(
+    def scaled(path: Column) -> Column:
+        return F.transform("obs", lambda o: o["value"] * factor_at(path, o))
+
+    return _with_steps(long, rule).select(
         *SERIES,
         F.col("obs.month").alias("months"),
-        F.transform("obs", lambda o: o["value"] * factor_at(o)).alias("values"),
+        let(_fold(rule), scaled).alias("values"),
     )
 
 

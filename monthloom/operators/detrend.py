@@ -15,14 +15,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from monthloom import params
+from monthloom.functions.arrays import dot, let, mean
 from monthloom.operators.checks import DataCheckError
 from monthloom.operators.coverage import require_complete_calendar
-from monthloom.operators.series import SERIES, array_mean, pack
+from monthloom.operators.series import SERIES, pack
 
 GROUP_SCALE = 512.0
 
@@ -32,9 +34,12 @@ GROUP_SCALE = 512.0
 
 def shift_to_positive(packed: DataFrame) -> DataFrame:
     """Add 1 - min to every series whose minimum lies below 1."""
-    low = F.array_min("values")
-    moved = F.transform("values", lambda v: v + (F.lit(1.0) - low))
-    return packed.withColumn("values", F.when(low < 1.0, moved).otherwise(F.col("values")))
+    def moved(low: Column) -> Column:
+        return F.when(
+            low < 1.0, F.transform("values", lambda v: v + (F.lit(1.0) - low))
+        ).otherwise(F.col("values"))
+
+    return packed.withColumn("values", let(F.array_min("values"), moved))
 
 
 def flag_varying(packed: DataFrame) -> DataFrame:
@@ -87,87 +92,85 @@ def _standardise(rows: np.ndarray) -> np.ndarray:
     return (rows - rows.mean(axis=1, keepdims=True)) / spread
 
 
-def _by_length(arrays: pd.Series) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    lengths = arrays.map(len).to_numpy()
-    for n in np.unique(lengths):
-        at = np.flatnonzero(lengths == n)
-        yield at, np.vstack([np.asarray(arrays.iloc[i], dtype=float) for i in at])
+def _matrix(column: pa.Array) -> np.ndarray:
+    """A list column whose lists are equally long, as rows by months."""
+    lengths = pc.list_value_length(column).unique().to_pylist()
+    if len(lengths) > 1:
+        raise DataCheckError(f"Series of unequal length: {sorted(lengths)} months.")
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
 
+def _lists(matrix: np.ndarray) -> pa.Array:
+    rows, width = matrix.shape
+    offsets = np.arange(0, (rows + 1) * width, width, dtype=np.int32) if width else [0] * (rows + 1)
+    return pa.ListArray.from_arrays(offsets, matrix.ravel())
 
-def _trend_udf(lam: float):
-    @F.pandas_udf("trend array<double>, score array<double>")
-    def trend_and_score(logs: pd.Series) -> pd.DataFrame:
-        trend, score = [None] * len(logs), [None] * len(logs)
-        for at, rows in _by_length(logs):
-            smooth = hp_filter(rows, lam)
-            standard = _standardise(smooth)
-            for j, i in enumerate(at):
-                trend[i], score[i] = smooth[j], standard[j]
-        return pd.DataFrame({"trend": trend, "score": score})
 
-    return trend_and_score
+def _add_trend(batches: Iterator[pa.RecordBatch], lam: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        trend = hp_filter(_matrix(batch.column("logs")), lam)
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns, _lists(trend), _lists(_standardise(trend))],
+            [*batch.schema.names, "trend", "score"],
+        )
 
 
 def with_trend(packed: DataFrame, lam: float = params.HP_LAMBDA) -> DataFrame:
-    """Varying series only, with `logs`, `trend` and the standardised `score`."""
-    return (
-        packed.filter("varying")
-        .withColumn("logs", F.transform("values", lambda v: F.log(v)))
-        .withColumn("hp", _trend_udf(lam)(F.col("logs")))
-        .withColumns({"trend": F.col("hp.trend"), "score": F.col("hp.score")})
-        .drop("hp")
+    """Varying series only, with `logs`, `trend` and the standardised `score`. All
+    series of a call share one calendar, so an Arrow batch is one dense matrix."""
+    logs = packed.filter("varying").select(
+        *SERIES, "months", F.transform("values", lambda v: F.log(v)).alias("logs")
+    )
+    return logs.mapInArrow(
+        lambda batches: _add_trend(batches, lam),
+        "entity string, feature string, kind string, months array<date>, "
+        "logs array<double>, trend array<double>, score array<double>",
     )
 
 
 # ------------------------------------------------------------------ per entity
 
 
-def _partial_products(pdf: pd.DataFrame) -> pd.DataFrame:
+def _one_row(**cells) -> pa.Table:
+    return pa.table({k: [v.tolist() if isinstance(v, np.ndarray) else v] for k, v in cells.items()})
+
+
+def _partial_products(group: pa.Table) -> pa.Table:
     """One group's share of the entity's month-by-month matrix and of its trend sum."""
-    lengths = set(pdf["score"].map(len))
-    if len(lengths) != 1:
-        raise DataCheckError(f"{pdf['entity'].iloc[0]}: series of unequal length {lengths}.")
-    z = np.vstack(pdf["score"].to_numpy())
+    z = _matrix(group.column("score").combine_chunks())
+    trend = _matrix(group.column("trend").combine_chunks())
     gram = z.T @ z
-    return pd.DataFrame(
-        {
-            "entity": [pdf["entity"].iloc[0]],
-            "n": [len(pdf)],
-            "gram": [gram[np.triu_indices(len(gram))]],
-            "trend_sum": [np.vstack(pdf["trend"].to_numpy()).sum(axis=0)],
-        }
+    return _one_row(
+        entity=group.column("entity")[0].as_py(),
+        n=len(z),
+        gram=gram[np.triu_indices(len(gram))],
+        trend_sum=trend.sum(axis=0),
     )
 
 
-def _leading_component(pdf: pd.DataFrame) -> pd.DataFrame:
+def _leading_component(group: pa.Table) -> pa.Table:
     """Score of the first component, unoriented, raw and rescaled."""
-    sums = np.vstack(pdf["trend_sum"].to_numpy()).sum(axis=0)
+    sums = _matrix(group.column("trend_sum").combine_chunks()).sum(axis=0)
     months = len(sums)
     upper = np.triu_indices(months)
     gram = np.zeros((months, months))
-    gram[upper] = np.vstack(pdf["gram"].to_numpy()).sum(axis=0)
+    gram[upper] = _matrix(group.column("gram").combine_chunks()).sum(axis=0)
     gram = gram + np.triu(gram, 1).T
     values, vectors = np.linalg.eigh(gram)
     pc1 = vectors[:, -1] * np.sqrt(max(values[-1], 0.0))
-    average = sums / pdf["n"].sum()
+    average = sums / pc.sum(group.column("n")).as_py()
     spread = pc1.std(ddof=1) if months > 1 else 0.0
     if not np.isfinite(spread) or spread < 1e-6:
         scaled = np.zeros(months)
     else:
         scaled = (pc1 - pc1.mean()) / spread * average.std(ddof=1)
-    return pd.DataFrame(
-        {
-            "entity": [pdf["entity"].iloc[0]],
-            "pc1": [pc1],
-            "pc1_rescaled": [scaled],
-            "average_trend": [average],
-        }
-    )
-
-
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(
-        F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x
+    return _one_row(
+        entity=group.column("entity")[0].as_py(),
+        pc1=pc1,
+        pc1_rescaled=scaled,
+        average_trend=average,
     )
 
 
@@ -188,22 +191,21 @@ def common_trend(trended: DataFrame, orient: str = "loading") -> DataFrame:
         .withColumn("part", F.pmod(F.xxhash64("feature"), n_groups))
         .select("entity", "part", "trend", "score")
         .groupBy("entity", "part")
-        .applyInPandas(
-            lambda pdf: _partial_products(pdf),
+        .applyInArrow(
+            lambda table: _partial_products(table),
             "entity string, n long, gram array<double>, trend_sum array<double>",
         )
     )
-    component = partial.groupBy("entity").applyInPandas(
-        lambda pdf: _leading_component(pdf),
+    component = partial.groupBy("entity").applyInArrow(
+        lambda table: _leading_component(table),
         "entity string, pc1 array<double>, pc1_rescaled array<double>, "
         "average_trend array<double>",
     )
     if orient == "mean_trend":
-        mean = array_mean(F.col("average_trend"))
-        centred = F.transform("average_trend", lambda t: t - mean)
-        signed = component.withColumn("pull", _dot(F.col("pc1"), centred))
+        # the component's scores sum to zero, so the average trend need not be centred
+        signed = component.withColumn("pull", dot(F.col("pc1"), F.col("average_trend")))
     else:
-        loading = _dot(F.col("score"), F.col("pc1"))
+        loading = dot(F.col("score"), F.col("pc1"))
         pulls = (
             trended.select("entity", "feature", "score")
             .join(component.select("entity", "pc1"), "entity")
@@ -224,22 +226,17 @@ def remove_trend(shifted: DataFrame, trend: DataFrame) -> DataFrame:
     """Subtract the entity's trend from the log, and restore each series' mean.
     Constant series stay as they are, in shifted units."""
     joined = shifted.join(trend.select("entity", "pc1_rescaled"), "entity", "left")
-    flat = F.zip_with(
-        "values", "pc1_rescaled", lambda v, p: F.exp(F.log(v) - p)
-    )
-    wanted, got = array_mean(F.col("values")), array_mean(F.col("flat"))
-    scale = F.coalesce(F.try_divide(wanted, got), F.lit(1.0))
+    flat = F.zip_with("values", "pc1_rescaled", lambda v, p: F.exp(F.log(v) - p))
+
+    def restored(level: Column) -> Column:
+        scale = F.coalesce(F.try_divide(mean(F.col("values")), mean(level)), F.lit(1.0))
+        return let(scale, lambda s: F.transform(level, lambda v: v * s))
+
     use = F.col("varying") & F.col("pc1_rescaled").isNotNull()
-    return (
-        joined.withColumn("flat", F.when(use, flat))
-        .withColumn("scale", F.when(use, scale))
-        .select(
-            *SERIES,
-            "months",
-            F.when(use, F.transform("flat", lambda v: v * F.col("scale")))
-            .otherwise(F.col("values"))
-            .alias("values"),
-        )
+    return joined.select(
+        *SERIES,
+        "months",
+        F.when(use, let(flat, restored)).otherwise(F.col("values")).alias("values"),
     )
 
 

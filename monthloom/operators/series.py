@@ -44,8 +44,3 @@ def unpack(packed: DataFrame, *columns: str) -> DataFrame:
         F.col("o.months").alias("month"),
         *[F.col(f"o.{c}").alias(names.get(c, c)) for c in columns],
     )
-
-
-def array_mean(arr: Column) -> Column:
-    total = F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x)
-    return F.try_divide(total, F.size(arr).cast("double"))

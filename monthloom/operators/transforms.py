@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from monthloom import params
+from monthloom.functions.arrays import let
 from monthloom.functions.numeric import log_floored
 from monthloom.operators.series import SERIES
 
@@ -18,14 +19,11 @@ def log_transforms(
     The lag counts rows, which equals months on the complete calendar that the trend
     removal requires; the first `lag` values of a category are missing.
     """
-    change = F.transform(
-        "logs",
-        lambda x, i: F.when(i >= lag, x - F.get(F.col("logs"), i - F.lit(lag))),
-    )
-    return packed.withColumn(
-        "logs", F.transform("values", lambda v: log_floored(v, floor))
-    ).select(
-        *SERIES,
-        "months",
-        F.when(F.col("kind") == "topic", F.col("logs")).otherwise(change).alias("values"),
-    )
+    def by_kind(logs: Column) -> Column:
+        change = F.transform(
+            logs, lambda x, i: F.when(i >= lag, x - F.get(logs, i - F.lit(lag)))
+        )
+        return F.when(F.col("kind") == "topic", logs).otherwise(change)
+
+    logs = F.transform("values", lambda v: log_floored(v, floor))
+    return packed.select(*SERIES, "months", let(logs, by_kind).alias("values"))

@@ -27,6 +27,7 @@ from monthloom.operators import (
 )
 from monthloom.operators.series import SERIES
 from monthloom.plans import inputs
+from monthloom.session import cut_lineage
 from monthloom.sources import rate_file, series_files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,6 +114,11 @@ def _adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return breaks.adjust_breaks(inputs.filled_series(spark, sf_dir), inputs.BREAKS)
 
 
+def _staged_adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trend removal reads its input three times, so it is written once."""
+    return cut_lineage(_adjusted(spark, sf_dir))
+
+
 @query
 def break_adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(series.unpack(_adjusted(spark, sf_dir)), value=4)
@@ -156,7 +162,7 @@ def trend_standardised(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def pc1_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shifted = _shifted(spark, sf_dir)
+    shifted = detrend.flag_varying(detrend.shift_to_positive(_staged_adjusted(spark, sf_dir)))
     trend = detrend.common_trend(detrend.with_trend(shifted))
     months = coverage.calendar_array(series.unpack(shifted))
     cells = F.arrays_zip(months.alias("month"), "pc1", "pc1_rescaled")
@@ -165,7 +171,7 @@ def pc1_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _detrended(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detrend.detrend(_adjusted(spark, sf_dir))
+    return detrend.detrend(_staged_adjusted(spark, sf_dir))
 
 
 @query
@@ -293,6 +299,12 @@ def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return target.with_target(target.add_change(_filled_rates(spark, sf_dir)))
 
 
+def _staged_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The modelling panel is read by the month axis, the splits and every model, so it
+    is written once, as a panel job would hand it to a training job."""
+    return cut_lineage(_changes(spark, sf_dir))
+
+
 @query
 def change_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_changes(spark, sf_dir), level_lag1=7, target=7)
@@ -338,7 +350,8 @@ def _indexed(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 @query
 def split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    indexed, _, windows = _indexed(_lagged(spark, sf_dir))
+    changes = _staged_changes(spark, sf_dir)
+    indexed, _, windows = _indexed(lags.add_target_lags(changes, 2))
     rows = splits.split_rows(
         indexed.select("month_idx", "month", "entity", "target", "target_lag2"),
         windows,
@@ -353,13 +366,13 @@ def split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def random_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    indexed, _, windows = _indexed(_changes(spark, sf_dir))
+    indexed, _, windows = _indexed(_staged_changes(spark, sf_dir))
     return rounded(forecast.random_walk(indexed, windows), actual=7, prediction=7)
 
 
 @query
 def pooled_ar1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    indexed, _, windows = _indexed(_changes(spark, sf_dir))
+    indexed, _, windows = _indexed(_staged_changes(spark, sf_dir))
     fits = forecast.pooled_ar_fits(
         indexed, windows, inputs.WINDOW, reference=inputs.REFERENCE_NATION
     ).select(
@@ -375,26 +388,24 @@ def pooled_ar1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(fits, actual=7, prediction=7, slope=7)
 
 
-def _predictions(spark: SparkSession, sf_dir: str, grain: str = "nation") -> DataFrame:
-    reference = inputs.REFERENCE_NATION if grain == "nation" else inputs.REFERENCE_REGION
-    if grain == "nation":
-        changes = _changes(spark, sf_dir)
-    else:
-        rates = inputs.rates(spark, sf_dir, grain)
-        joined = target.attach_rates(inputs.panel_keys(rates), rates, check=False)
-        changes = target.with_target(target.add_change(target.fill_isolated_gaps(joined)))
+def _predictions(changes: DataFrame) -> DataFrame:
+    """Three models' forecasts; the one on the second target lag covers fewer keys."""
     indexed, _, windows = _indexed(lags.add_target_lags(changes, 2))
     walk = forecast.random_walk(indexed, windows)
-    first = forecast.pooled_ar(indexed, windows, inputs.WINDOW, reference=reference)
-    second = forecast.pooled_ar(
-        indexed, windows, inputs.WINDOW, lags.lag_name(2), SHORT_AR, reference=reference
-    )
-    return walk.unionByName(first).unionByName(second)
+    models = {forecast.POOLED_AR: target.LEVEL_LAG, SHORT_AR: lags.lag_name(2)}
+    for name, regressor in models.items():
+        walk = walk.unionByName(
+            forecast.pooled_ar(
+                indexed, windows, inputs.WINDOW, regressor, name,
+                reference=inputs.REFERENCE_NATION,
+            )
+        )
+    return walk
 
 
 @query
 def error_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = evaluate.with_errors(_predictions(spark, sf_dir)).drop("train_start", "train_end")
+    rows = evaluate.with_errors(_predictions(_staged_changes(spark, sf_dir))).drop("train_start", "train_end")
     return rounded(
         rows, actual=7, prediction=7, error=7, absolute_error=7, squared_error=7
     )
@@ -402,20 +413,29 @@ def error_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def metrics_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(evaluate.metrics_overall(_predictions(spark, sf_dir)), mae=8, rmse=8, r2=8)
+    predictions = _predictions(_staged_changes(spark, sf_dir))
+    return rounded(evaluate.metrics_overall(predictions), mae=8, rmse=8, r2=8)
 
 
 @query
 def metrics_by_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(evaluate.metrics_by_entity(_predictions(spark, sf_dir)), mae=8, rmse=8, r2=8)
+    predictions = _predictions(_staged_changes(spark, sf_dir))
+    return rounded(evaluate.metrics_by_entity(predictions), mae=8, rmse=8, r2=8)
 
 
 # ----------------------------------------------------------------- comparison
 
 
+def _staged_predictions(changes: DataFrame) -> DataFrame:
+    """Written once, as forecasting jobs leave prediction files for the comparison."""
+    return cut_lineage(_predictions(changes))
+
+
 def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    common = compare.common_sample(_predictions(spark, sf_dir))
-    return compare.attach_levels(common, _changes(spark, sf_dir))
+    changes = _staged_changes(spark, sf_dir)
+    return compare.attach_levels(
+        compare.common_sample(_staged_predictions(changes)), changes
+    )
 
 
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -424,14 +444,14 @@ def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def common_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = compare.common_sample(_predictions(spark, sf_dir))
+    rows = compare.common_sample(_staged_predictions(_staged_changes(spark, sf_dir)))
     return rounded(rows.drop("train_start", "train_end"), actual=7, prediction=7)
 
 
 @query
 def sample_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows per model before and after the restriction to common keys."""
-    predictions = _predictions(spark, sf_dir)
+    predictions = _staged_predictions(_staged_changes(spark, sf_dir))
     before = compare.rows_per_model(predictions).withColumnRenamed("n", "n_before")
     after = compare.rows_per_model(compare.common_sample(predictions))
     return before.join(after.withColumnRenamed("n", "n_common"), "model", "left")
@@ -461,7 +481,8 @@ def plot_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def plot_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = compare.plot_series(_levels(spark, sf_dir), ("NATION_1", "NATION_8"))
+    levels = _levels(spark, sf_dir)
+    rows = compare.plot_series(levels, ("NATION_1", "NATION_8"))
     return rounded(
         rows, actual_level=7, prediction_level=7, axis_low=6, axis_high=6
     )
@@ -470,8 +491,9 @@ def plot_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --------------------------------------------------------------------- tuning
 
 
-def _design(spark: SparkSession, sf_dir: str, mode: str, **options) -> DataFrame:
-    axis = splits.month_axis(_changes(spark, sf_dir))
+def _design(changes: DataFrame, mode: str = "exact", **options) -> DataFrame:
+    axis = splits.month_axis(changes)
+    options = options or {"holdout_months": inputs.HOLDOUT}
     return splits.validation_design(
         axis, list(inputs.WINDOWS), inputs.VALIDATION, mode=mode, **options
     )
@@ -483,25 +505,24 @@ def _design_columns(design: DataFrame) -> DataFrame:
 
 @query
 def validation_design_at_or_before(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _design_columns(_design(spark, sf_dir, "at_or_before", tuning_end="2000-06"))
+    changes = _staged_changes(spark, sf_dir)
+    return _design_columns(_design(changes, "at_or_before", tuning_end="2000-06"))
 
 
 @query
 def validation_design_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _design_columns(
-        _design(spark, sf_dir, "exact", holdout_months=inputs.HOLDOUT)
-    )
+    return _design_columns(_design(_staged_changes(spark, sf_dir)))
 
 
 @query
 def rw_validation_rmse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    design = _design(spark, sf_dir, "exact", holdout_months=inputs.HOLDOUT)
-    return rounded(tuning.zero_change_rmse(_changes(spark, sf_dir), design), benchmark_rmse=8)
+    changes = _staged_changes(spark, sf_dir)
+    return rounded(tuning.zero_change_rmse(changes, _design(changes)), benchmark_rmse=8)
 
 
 @query
 def search_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    design = _design(spark, sf_dir, "exact", holdout_months=inputs.HOLDOUT)
+    design = _design(_staged_changes(spark, sf_dir))
     trials = tuning.search_trials(
         design, 50, [*inputs.WINDOWS, 72], inputs.LAGS, tuning.LEAFWISE_SPACE
     )
@@ -525,21 +546,26 @@ def _grid(spark: SparkSession) -> DataFrame:
     )
 
 
-def _folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    design = _design(spark, sf_dir, "exact", holdout_months=inputs.HOLDOUT)
-    indexed, _, _ = _indexed(_lagged(spark, sf_dir))
+def _folds(changes: DataFrame) -> DataFrame:
+    indexed, _, _ = _indexed(lags.add_target_lags(changes, max(inputs.LAGS)))
     regressors = [target.LEVEL_LAG, *[lags.lag_name(k) for k in inputs.LAGS[1:]]]
-    return tuning.ar_folds(indexed, design, _grid(spark), regressors, inputs.REFERENCE_NATION)
+    return tuning.ar_folds(
+        indexed,
+        _design(changes),
+        _grid(changes.sparkSession),
+        regressors,
+        inputs.REFERENCE_NATION,
+    )
 
 
-def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    curves = tuning.running_rmse(_folds(spark, sf_dir))
+def _states(changes: DataFrame) -> DataFrame:
+    curves = tuning.running_rmse(_folds(changes))
     return tuning.median_stopping(curves, GRID_STARTUP, GRID_WARMUP)
 
 
 @query
 def trial_running_rmse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    curves = tuning.running_rmse(_folds(spark, sf_dir)).select(
+    curves = tuning.running_rmse(_folds(_staged_changes(spark, sf_dir))).select(
         big("study"), big("trial"), big("step"), "n", "sse", "running_rmse"
     )
     return rounded(curves, sse=7, running_rmse=8)
@@ -547,7 +573,7 @@ def trial_running_rmse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def monthly_rmse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = tuning.monthly_rmse(_folds(spark, sf_dir))
+    lists = tuning.monthly_rmse(_folds(_staged_changes(spark, sf_dir)))
     return rounded(
         lists.select(
             big("trial"), F.posexplode("monthly_rmse").alias("step", "rmse")
@@ -558,7 +584,7 @@ def monthly_rmse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def median_stopping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    states = _states(spark, sf_dir).select(
+    states = _states(_staged_changes(spark, sf_dir)).select(
         big("study"), big("trial"), "state", big("months_evaluated"), "value"
     )
     return rounded(states, value=8)
@@ -566,12 +592,12 @@ def median_stopping(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def trial_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tuning.trial_counts(_states(spark, sf_dir)).withColumn("study", big("study"))
+    return tuning.trial_counts(_states(_staged_changes(spark, sf_dir))).withColumn("study", big("study"))
 
 
 @query
 def best_trial(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = tuning.best_trial(_states(spark, sf_dir)).select(
+    best = tuning.best_trial(_states(_staged_changes(spark, sf_dir))).select(
         big("study"), big("trial"), big("months_evaluated"), "value"
     )
     return rounded(best, value=8)
@@ -580,12 +606,12 @@ def best_trial(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def tuned_ar_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report of the autoregression search, settings as plain columns."""
-    design = _design(spark, sf_dir, "exact", holdout_months=inputs.HOLDOUT)
-    changes = _changes(spark, sf_dir)
+    changes = _staged_changes(spark, sf_dir)
+    design = _design(changes)
     report = tuning.tuning_report(
         "ar1",
         _grid(spark),
-        _states(spark, sf_dir),
+        cut_lineage(_states(changes)),
         design,
         tuning.zero_change_rmse(changes, design),
         changes,

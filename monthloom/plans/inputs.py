@@ -13,6 +13,7 @@ from monthloom.functions.calendar import month_end, month_start
 from monthloom.operators.coverage import skeleton
 from monthloom.operators.series import SERIES
 from monthloom.params import BreakRule
+from monthloom.session import cut_lineage
 
 FIRST_DAY, END_DAY = "1995-02-01", "2001-08-01"
 TOPIC_TYPES = ("PROMO", "STANDARD")
@@ -88,7 +89,7 @@ def feature_series(spark: SparkSession, sf_dir: str, grain: str = "region") -> D
 
 def filled_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Region series on the complete calendar; absent cells count as no shipments."""
-    long = feature_series(spark, sf_dir)
+    long = cut_lineage(feature_series(spark, sf_dir))
     return (
         skeleton(long)
         .join(long, [*SERIES, "month"], "left")
