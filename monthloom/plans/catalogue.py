@@ -107,7 +107,7 @@ def feature_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def break_window_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     means = breaks.break_window_means(inputs.feature_series(spark, sf_dir), inputs.BREAKS)
-    return rounded(means, mean_before=4, mean_after=4, raw_ratio=8)
+    return rounded(means, mean_before=6, mean_after=6, raw_ratio=8)
 
 
 def _adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,7 +270,7 @@ def unmapped_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _filled_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rates = inputs.rates(spark, sf_dir, "nation", inputs.THIN_ORDERS)
+    rates = inputs.rates(spark, sf_dir, "nation", inputs.THIN_SHARE)
     joined = target.attach_rates(inputs.panel_keys(rates), rates, check=False)
     return target.fill_isolated_gaps(joined)
 

@@ -24,7 +24,7 @@ BREAKS = BreakRule(
 WINDOW, VALIDATION, HOLDOUT = 24, 6, 12
 WINDOWS, LAGS = (12, 24, 36), (0, 1, 2, 3)
 REFERENCE_REGION, REFERENCE_NATION = "AFRICA", "NATION_0"
-THIN_ORDERS = 2
+THIN_SHARE = 0.3
 EXCLUDED_SERIES = ("10050", "10100", "20")
 EXCLUDED_ENTITIES = ("NATION_3", "NATION_7")
 DIMENSIONS = {"o_orderstatus": "F", "o_orderpriority": "5-LOW"}
@@ -103,24 +103,31 @@ def brand_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shipments(spark, sf_dir).select(F.col("nation").alias("entity"), feature.alias("feature"))
 
 
-def rates(spark: SparkSession, sf_dir: str, grain: str = "region", thin: int = 0) -> DataFrame:
+def rates(
+    spark: SparkSession, sf_dir: str, grain: str = "region", thin_share: float = 0.0
+) -> DataFrame:
     """Level by entity and month end: mean order value in 10,000s. Levels that rest on
-    at most `thin` orders count as missing."""
+    fewer orders than `thin_share` of the mean cell count as missing."""
     customer = (
         table(spark, sf_dir, "customer")
         .join(places(spark, sf_dir), F.col("c_nationkey") == F.col("nationkey"))
         .select("c_custkey", F.col(grain).alias("entity"))
     )
-    level = F.col("sum_cents").cast("double") / F.col("n_orders") / 1e6
-    return (
+    cells = (
         table(spark, sf_dir, "orders")
         .filter(_in_window("o_orderdate"))
         .select("o_custkey", "o_totalprice", "o_orderdate")
         .join(customer, F.col("o_custkey") == F.col("c_custkey"))
         .groupBy("entity", month_end(F.col("o_orderdate").cast("date")).alias("month"))
         .agg(F.sum(cents("o_totalprice")).alias("sum_cents"), F.count(F.lit(1)).alias("n_orders"))
-        .select("entity", "month", F.when(F.col("n_orders") > thin, level).alias("level"))
     )
+    level = F.col("sum_cents").cast("double") / F.col("n_orders") / 1e6
+    if thin_share:
+        # one pass over the orders serves the mean and the levels
+        cells = cut_lineage(cells)
+        mean = cells.agg(F.avg("n_orders").alias("mean")).scalar()
+        level = F.when(F.col("n_orders") >= thin_share * mean, level)
+    return cells.select("entity", "month", level.alias("level"))
 
 
 def panel_keys(rate_rows: DataFrame) -> DataFrame:

@@ -252,17 +252,20 @@ _PANEL = f"""panel AS (
   FROM logs GROUP BY ALL HAVING count(value) = {len(PANEL_FEATURES)})"""
 
 
-def rates(grain: str, thin: int) -> str:
+def rates(grain: str, thin_share: float) -> str:
     column = "n_name" if grain == "nation" else "r_name"
-    return f"""rates AS (
+    return f"""order_cells AS (
+  SELECT {column} AS entity, CAST(last_day(o_orderdate) AS DATE) AS month, count(*) AS n,
+         sum(CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT)) AS c
+  FROM orders JOIN customer ON o_custkey = c_custkey
+  JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+  WHERE o_orderdate >= TIMESTAMP '{FIRST}' AND o_orderdate < TIMESTAMP '{END}'
+  GROUP BY ALL),
+rates AS (
   SELECT entity, month,
-         CASE WHEN n > {thin} THEN CAST(c AS DOUBLE) / n / 1e6 END AS level
-  FROM (SELECT {column} AS entity, CAST(last_day(o_orderdate) AS DATE) AS month, count(*) AS n,
-               sum(CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT)) AS c
-        FROM orders JOIN customer ON o_custkey = c_custkey
-        JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
-        WHERE o_orderdate >= TIMESTAMP '{FIRST}' AND o_orderdate < TIMESTAMP '{END}'
-        GROUP BY ALL))"""
+         CASE WHEN n >= {thin_share}::DOUBLE * (SELECT avg(n) FROM order_cells)
+              THEN CAST(c AS DOUBLE) / n / 1e6 END AS level
+  FROM order_cells)"""
 
 
 _KEYS = f"""keys AS (
@@ -291,7 +294,7 @@ chg AS (
 changes AS (SELECT * FROM chg WHERE target IS NOT NULL AND level_lag1 IS NOT NULL)"""
 
 
-_CHAIN_RATES = _with(rates("nation", inputs.THIN_ORDERS), _KEYS, _interp("joined"))
+_CHAIN_RATES = _with(rates("nation", inputs.THIN_SHARE), _KEYS, _interp("joined"))
 
 
 def _lagged(count: int) -> str:
@@ -543,7 +546,7 @@ ef AS (SELECT DISTINCT nation AS entity, p_brand || '_' || p_type || '_' || p_si
 SELECT e.entity, f.feature FROM (SELECT DISTINCT entity FROM ef) e, (SELECT DISTINCT feature FROM ef) f
 WHERE NOT EXISTS (SELECT 1 FROM ef x WHERE x.entity = e.entity AND x.feature = f.feature)""",
         "break_window_means": f"""{_with(region, _break_means("feat"))}
-SELECT entity, feature, kind, break_date, {_cols(pairs, 4)},
+SELECT entity, feature, kind, break_date, {_cols(pairs, 6)},
        {r('mean_before / mean_after', 8)} AS raw_ratio FROM means""",
         "break_adjusted": f"""{_with(region, CALENDAR, FILLED, adjusted())}
 SELECT entity, feature, kind, month, {r('value', 4)} AS value FROM adj""",
