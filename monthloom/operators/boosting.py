@@ -19,7 +19,7 @@ from monthloom.operators.checks import DataCheckError
 from monthloom.operators.forecast import prediction_rows
 from monthloom.operators.splits import month_axis, with_month_idx
 from monthloom.operators.target import TARGET
-from monthloom.session import checkpoint_folder, cut_lineage
+from monthloom.session import checkpoint_folder
 
 DEPTHWISE = "Boosted trees (depth-wise)"
 LEAFWISE = "Boosted trees (leaf-wise)"
@@ -85,9 +85,45 @@ def leafwise_defaults(**changes) -> BoostingSettings:
     return BoostingSettings(**{**settings, **changes})
 
 
+@dataclass(frozen=True)
+class StagedPanel:
+    """The panel with month numbers, written by month, and its list of months. A fit
+    reads only the partitions of its own window."""
+
+    rows: DataFrame
+    months: list
+    target: str
+
+
+def stage(
+    panel: DataFrame,
+    columns: Sequence[str],
+    target: str = TARGET,
+    axis: DataFrame | None = None,
+) -> StagedPanel:
+    """Write keys, target and the given columns once for all fits. Month numbers count
+    the months of the whole panel."""
+    axis = month_axis(panel) if axis is None else axis
+    spark = panel.sparkSession
+    folder = f"{checkpoint_folder(spark).rstrip('/')}/panel-{uuid.uuid4().hex}"
+    (
+        with_month_idx(panel, axis)
+        .select("month_idx", "month", "entity", target, *columns)
+        .filter(F.col(target).isNotNull())
+        # rows of a month go together; adaptive execution splits large months and merges
+        # small ones, so files have a sensible size at any scale
+        .hint("rebalance", "month_idx")
+        .write.partitionBy("month_idx")
+        .parquet(folder)
+    )
+    months = [r.month for r in axis.orderBy("month_idx").collect()]
+    return StagedPanel(spark.read.parquet(folder), months, target)
+
+
 @dataclass(frozen=True)
 class RollingData:
-    """Assembled rows, cut off from the plan that made them, and rows per month."""
+    """The rows of a staged panel that have all of some features, and how many each
+    month has."""
 
     rows: DataFrame
     months: list
@@ -99,20 +135,16 @@ class RollingData:
         return sum(self.counts.get(i, 0) for i in range(test_idx - window, test_idx))
 
 
+def with_features(staged: StagedPanel, features: Sequence[str]) -> RollingData:
+    rows = staged.rows.dropna(subset=list(features))
+    counts = {r.month_idx: r["count"] for r in rows.groupBy("month_idx").count().collect()}
+    return RollingData(rows, staged.months, counts, tuple(features), staged.target)
+
+
 def prepare(
     panel: DataFrame, features: Sequence[str], target: str = TARGET, axis: DataFrame | None = None
 ) -> RollingData:
-    """Index the panel's months, drop rows with a missing input, and write the narrow
-    table that all fits read. Month numbers count the months of the whole panel."""
-    axis = month_axis(panel) if axis is None else axis
-    rows = cut_lineage(
-        with_month_idx(panel, axis)
-        .select("month_idx", "month", "entity", target, *features)
-        .dropna(subset=[target, *features])
-    )
-    months = [r.month for r in axis.orderBy("month_idx").collect()]
-    counts = {r.month_idx: r["count"] for r in rows.groupBy("month_idx").count().collect()}
-    return RollingData(rows, months, counts, tuple(features), target)
+    return with_features(stage(panel, features, target, axis), features)
 
 
 def fit_split(data: RollingData, test_idx: int, window: int, settings: BoostingSettings) -> PipelineModel:

@@ -174,8 +174,10 @@ def _leading_component(group: pa.Table) -> pa.Table:
     )
 
 
-def common_trend(trended: DataFrame, orient: str = "loading") -> DataFrame:
-    """(entity, pc1, pc1_rescaled) as month arrays.
+def common_trend(
+    shifted: DataFrame, lam: float = params.HP_LAMBDA, orient: str = "loading"
+) -> DataFrame:
+    """(entity, pc1, pc1_rescaled) as month arrays, from shifted series with `varying`.
 
     The sign of a component is arbitrary. `loading` makes the largest absolute feature
     loading positive (ties: first feature name); `mean_trend` makes the component move
@@ -183,7 +185,9 @@ def common_trend(trended: DataFrame, orient: str = "loading") -> DataFrame:
     """
     if orient not in ("loading", "mean_trend"):
         raise ValueError(f"Unknown orientation {orient!r}.")
-    sizes = trended.groupBy("entity").agg(F.count(F.lit(1)).alias("n_features"))
+    trended = with_trend(shifted, lam)
+    # counted before the trend step, which would otherwise run once more for it
+    sizes = shifted.filter("varying").groupBy("entity").agg(F.count(F.lit(1)).alias("n_features"))
     n_groups = F.ceil(F.sqrt(F.col("n_features") / F.lit(GROUP_SCALE)))
     partial = (
         trended.select("entity", "feature", "trend", "score")
@@ -245,7 +249,7 @@ def detrend(
 ) -> DataFrame:
     """Packed, complete series of all entities to detrended packed series."""
     shifted = flag_varying(shift_to_positive(packed))
-    return remove_trend(shifted, common_trend(with_trend(shifted, lam), orient))
+    return remove_trend(shifted, common_trend(shifted, lam, orient))
 
 
 def detrend_long(

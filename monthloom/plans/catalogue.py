@@ -163,7 +163,7 @@ def trend_standardised(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def pc1_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     shifted = detrend.flag_varying(detrend.shift_to_positive(_staged_adjusted(spark, sf_dir)))
-    trend = detrend.common_trend(detrend.with_trend(shifted))
+    trend = detrend.common_trend(shifted)
     months = coverage.calendar_array(series.unpack(shifted))
     cells = F.arrays_zip(months.alias("month"), "pc1", "pc1_rescaled")
     rows = trend.select("entity", F.inline(cells).alias("month", "pc1", "pc1_rescaled"))
@@ -647,15 +647,19 @@ FEW_TREES = 5
 _FEW = dict(n_estimators=FEW_TREES, learning_rate=0.1)
 
 
-def _boost_data(spark: SparkSession, sf_dir: str, lag_count: int = 1) -> boosting.RollingData:
-    rows = lags.add_target_lags(_modelling_panel(spark, sf_dir), lag_count)
+def _boost_data(
+    spark: SparkSession, sf_dir: str, lag_counts: tuple[int, ...] = (1,)
+) -> dict[int, boosting.RollingData]:
+    most = max(lag_counts)
+    rows = cut_lineage(lags.add_target_lags(_modelling_panel(spark, sf_dir), most))
     dummy = [c for c in rows.columns if c.startswith(panel.DUMMY_PREFIX)]
     base = [*PANEL_FEATURES, *dummy, target.LEVEL_LAG]
-    return boosting.prepare(rows, lags.model_features(base, lag_count))
+    staged = boosting.stage(rows, lags.model_features(base, most))
+    return {k: boosting.with_features(staged, lags.model_features(base, k)) for k in lag_counts}
 
 
 def _boost(spark: SparkSession, sf_dir: str, settings: boosting.BoostingSettings):
-    data = _boost_data(spark, sf_dir)
+    data = _boost_data(spark, sf_dir)[1]
     last = len(data.months)
     return boosting.rolling_boosting(
         data, inputs.WINDOW, settings, test_idx=range(last - 3, last)
@@ -682,7 +686,7 @@ def gbt_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def tuned_vs_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A small search over boosted trees: three trials on three validation months."""
-    by_lags = {k: _boost_data(spark, sf_dir, k) for k in (0, 1)}
+    by_lags = _boost_data(spark, sf_dir, (0, 1))
     data = by_lags[0]
     axis = spark.createDataFrame(list(enumerate(data.months)), "month_idx int, month date")
     design = splits.validation_design(

@@ -44,7 +44,7 @@ def build_panel(
 ) -> DataFrame:
     """Series files and rate file to the modelling panel; returns the run summary."""
     labelled = cut_lineage(series_files.list_series_files(spark, series_folder))
-    long = cut_lineage(series_files.read_series(spark, series_folder, catalogue))
+    long = series_files.read_series(spark, series_folder, catalogue)
     adjusted = cut_lineage(breaks.adjust_breaks(long, rule))
     # a break adjustment leaves calendars as they are
     coverage.require_complete_calendar(long)
@@ -192,9 +192,12 @@ def tune_boosting(
         axis, list(windows), validation_months, holdout_months, tuning_end, mode
     )
     base = lags.without_target_lags(features)
+    most = max(lag_options)
+    staged = boosting.stage(
+        lags.add_target_lags(rows, most), lags.model_features(base, most), axis=axis
+    )
     data = {
-        k: boosting.prepare(lags.add_target_lags(rows, k), lags.model_features(base, k), axis=axis)
-        for k in sorted(set(lag_options))
+        k: boosting.with_features(staged, lags.model_features(base, k)) for k in set(lag_options)
     }
     trials = cut_lineage(
         tuning.search_trials(design, n_trials, windows, lag_options, space, seed).withColumn(

@@ -22,13 +22,13 @@ _KEYS = ("month", "entity")
 
 
 def write_panel(panel: DataFrame, path: str, csv: bool = False) -> None:
-    """Rows of an entity go to the writing tasks by entity and year, so a large entity
-    is written by several tasks and a small one is not scattered over all of them."""
+    """Rows of an entity go together; adaptive execution splits a large entity over
+    several writing tasks and merges small ones."""
     if csv:
         panel.orderBy(*_KEYS).write.mode("overwrite").option("header", "true").csv(path)
         return
     (
-        panel.repartition("entity", F.year("month"))
+        panel.hint("rebalance", "entity")
         .sortWithinPartitions("entity", "month")
         .write.mode("overwrite")
         .partitionBy("entity")

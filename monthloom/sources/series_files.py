@@ -16,6 +16,7 @@ from monthloom import params
 from monthloom.functions.calendar import month_text, parse_month
 from monthloom.functions.text import base_name, decode_text, parse_series_value
 from monthloom.operators.checks import require_none, require_rows
+from monthloom.session import cut_lineage
 
 # fixed value: the file-name format
 NAME_PATTERN = r"(?i)^(\d+)_([A-Z]{2})_m_[^.]+\.csv$"
@@ -185,6 +186,8 @@ def read_series(
         )
     lines = parse_lines(spark, folder, excluded_series, excluded_entities)
     if check:
+        # two checks and the caller read the lines; the files are opened once
+        lines = cut_lineage(lines)
         require_none(files_without_rows(lines), "A series file has no usable row.")
         require_none(
             duplicate_months(lines).orderBy("path", "month"),

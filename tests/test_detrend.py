@@ -111,10 +111,10 @@ def test_a_large_entity_is_split_over_groups(spark, monkeypatch):
     """Partial matrices of several groups add up to the one-group result."""
     blocks = {"BIG": random_block(3, 60, 40), "SMALL": random_block(4, 3, 40)}
     packed = pack(frame(spark, {(e, f): v for e, b in blocks.items() for f, v in b.items()}))
-    trended = detrend.with_trend(detrend.flag_varying(detrend.shift_to_positive(packed)))
-    whole = {r.entity: r.pc1 for r in detrend.common_trend(trended).collect()}
+    shifted = detrend.flag_varying(detrend.shift_to_positive(packed))
+    whole = {r.entity: r.pc1 for r in detrend.common_trend(shifted).collect()}
     monkeypatch.setattr(detrend, "GROUP_SCALE", 1.0)
-    split = {r.entity: r.pc1 for r in detrend.common_trend(trended).collect()}
+    split = {r.entity: r.pc1 for r in detrend.common_trend(shifted).collect()}
     assert whole.keys() == split.keys()
     for e in whole:
         assert np.allclose(whole[e], split[e], atol=1e-9)
@@ -123,14 +123,14 @@ def test_a_large_entity_is_split_over_groups(spark, monkeypatch):
 def test_orientation(spark):
     block = random_block(6, 10, 60)
     packed = pack(frame(spark, {("A", f): v for f, v in block.items()}))
-    trended = detrend.with_trend(detrend.flag_varying(detrend.shift_to_positive(packed)))
-    loading = np.array(detrend.common_trend(trended).first().pc1)
-    mean_trend = np.array(detrend.common_trend(trended, "mean_trend").first().pc1)
+    shifted = detrend.flag_varying(detrend.shift_to_positive(packed))
+    loading = np.array(detrend.common_trend(shifted).first().pc1)
+    mean_trend = np.array(detrend.common_trend(shifted, orient="mean_trend").first().pc1)
     average = np.mean([dense_hp(np.log(v)) for v in block.values()], axis=0)
     assert np.corrcoef(mean_trend, average)[0, 1] > 0
     assert np.allclose(np.abs(loading), np.abs(mean_trend), atol=1e-9)
     with pytest.raises(ValueError):
-        detrend.common_trend(trended, "up")
+        detrend.common_trend(shifted, orient="up")
 
 
 def test_incomplete_calendar_is_an_error(spark):
