@@ -35,4 +35,4 @@ def decode_text(content: Column) -> Column:
     text = F.when(
         F.is_valid_utf8(content.cast("string")), F.decode(content, "UTF-8")
     ).otherwise(F.decode(content, "ISO-8859-1"))
-    return F.regexp_replace(text, "^﻿", "")
+    return F.regexp_replace(text, r"^\x{FEFF}", "")

@@ -21,6 +21,7 @@ from monthloom.operators.splits import month_axis, with_month_idx
 from monthloom.operators.target import TARGET
 from monthloom.session import checkpoint_folder
 
+ROWS_PER_TASK = 20_000
 DEPTHWISE = "Boosted trees (depth-wise)"
 LEAFWISE = "Boosted trees (leaf-wise)"
 
@@ -149,6 +150,9 @@ def prepare(
 
 def fit_split(data: RollingData, test_idx: int, window: int, settings: BoostingSettings) -> PipelineModel:
     train = data.rows.filter(F.col("month_idx").between(test_idx - window, test_idx - 1))
+    # every tree level is a job over all partitions, so small windows get few of them;
+    # with more rows than this the scan's own partitions stay
+    train = train.coalesce(math.ceil(data.n_train(test_idx, window) / ROWS_PER_TASK))
     assembler = VectorAssembler(inputCols=list(data.features), outputCol="features_vec")
     return Pipeline(stages=[assembler, settings.regressor(data.target)]).fit(train)
 

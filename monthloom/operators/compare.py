@@ -37,10 +37,10 @@ def disagreeing_actuals(common: DataFrame) -> DataFrame:
     )
 
 
-def widest_spread(common: DataFrame) -> DataFrame:
-    """The one key with the largest spread of actuals."""
+def widest_spread(common: DataFrame, column: str = "actual") -> DataFrame:
+    """The one key over whose models the column spreads most."""
     spreads = common.groupBy("month", "entity").agg(
-        (F.max("actual") - F.min("actual")).alias("spread")
+        (F.max(column) - F.min(column)).alias("spread")
     )
     key = F.struct("month", "entity", "spread")
     return spreads.agg(F.max_by(key, F.col("spread")).alias("k")).select("k.*")

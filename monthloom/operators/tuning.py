@@ -438,6 +438,8 @@ def tuning_report(
         F.max("month").alias("last_month"),
         F.count_distinct("month").alias("n_months"),
         F.count_distinct("entity").alias("n_entities"),
+        # as long as the panel's dummy columns
+        F.array_sort(F.collect_set("entity")).alias("entities"),
         F.count(F.lit(1)).alias("n_rows"),
     )
 
@@ -471,7 +473,10 @@ def tuning_report(
             F.col("panel.last_month").alias("panel_last_month"),
             F.col("panel.n_months").alias("panel_months"),
             F.col("panel.n_entities").alias("panel_entities"),
+            F.col("panel.entities").alias("entities"),
             F.col("panel.n_rows").alias("panel_rows"),
             F.lit(seed).alias("seed"),
+            F.lit("pooled rolling-validation RMSE").alias("objective"),
+            F.lit(False).alias("holdout_used_in_tuning"),
         )
     )

@@ -423,6 +423,13 @@ def metrics_by_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evaluate.metrics_by_entity(predictions), mae=8, rmse=8, r2=8)
 
 
+@query
+def metrics_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overall and by entity in one pass."""
+    both = evaluate.metrics_all(_predictions(_staged_changes(spark, sf_dir)))
+    return rounded(both.withColumn("overall", big("overall")), mae=8, rmse=8, r2=8)
+
+
 # ----------------------------------------------------------------- comparison
 
 
@@ -448,6 +455,13 @@ def common_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.drop("train_start", "train_end"), actual=7, prediction=7)
 
 
+@query
+def widest_forecast_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key on which the models disagree most."""
+    rows = compare.common_sample(_staged_predictions(_staged_changes(spark, sf_dir)))
+    return rounded(compare.widest_spread(rows, "prediction"), spread=7)
+
+
 @query
 def sample_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows per model before and after the restriction to common keys."""
@@ -662,13 +676,13 @@ def _boost(spark: SparkSession, sf_dir: str, settings: boosting.BoostingSettings
     data = _boost_data(spark, sf_dir)[1]
     last = len(data.months)
     return boosting.rolling_boosting(
-        data, inputs.WINDOW, settings, test_idx=range(last - 3, last)
+        data, inputs.WINDOW, settings, test_idx=range(last - inputs.HOLDOUT, last)
     )
 
 
 @query
 def gbt_depthwise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Forecasts of the last three months."""
+    """Forecasts of the holdout months."""
     return _boost(spark, sf_dir, boosting.BoostingSettings(**_FEW)).predictions
 
 
@@ -685,12 +699,16 @@ def gbt_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def tuned_vs_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A small search over boosted trees: three trials on three validation months."""
+    """A small search over boosted trees on the validation months."""
     by_lags = _boost_data(spark, sf_dir, (0, 1))
     data = by_lags[0]
     axis = spark.createDataFrame(list(enumerate(data.months)), "month_idx int, month date")
     design = splits.validation_design(
-        axis, [inputs.WINDOW], 3, holdout_months=inputs.HOLDOUT, mode="at_or_before"
+        axis,
+        [inputs.WINDOW],
+        inputs.VALIDATION,
+        holdout_months=inputs.HOLDOUT,
+        mode="at_or_before",
     )
     validation = [
         r.month_idx for r in design.filter("role = 'validation'").orderBy("month_idx").collect()
@@ -719,4 +737,4 @@ def tuned_vs_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tuning.tuning_report(
         "depthwise", trials, states, design,
         tuning.zero_change_rmse(data.rows, design), data.rows,
-    ).drop("best_params")
+    ).drop("best_params", "entities")

@@ -27,6 +27,7 @@ from monthloom.operators import (
     transforms,
     tuning,
 )
+from monthloom.operators.checks import duplicate_keys, require_none
 from monthloom.params import BreakRule
 from monthloom.session import cut_lineage
 from monthloom.sources import artifacts, panel_store, prediction_files, rate_file, series_files
@@ -227,9 +228,9 @@ def compare_models(
     """Common sample, level metrics and rank of all runs; returns the written paths."""
     rows = prediction_files.load_predictions(spark, predictions_folder)
     common = cut_lineage(compare.checked_common_sample(rows))
-    levels = cut_lineage(
-        compare.attach_levels(common, panel_store.level_keys(spark, panel_path))
-    )
+    keys = panel_store.level_keys(spark, panel_path)
+    require_none(duplicate_keys(keys), "The panel repeats an entity and month.")
+    levels = cut_lineage(compare.attach_levels(common, keys))
     compare.check_levels(levels)
     return artifacts.write_comparison(
         levels, compare.ranking(compare.level_metrics(levels)), out_folder

@@ -636,6 +636,12 @@ SELECT {prediction_out}, {r('actual - prediction', 7)} AS error,
 SELECT model, {_METRICS} FROM preds GROUP BY model""",
         "metrics_by_entity": f"""{_CHAIN_PREDS}
 SELECT model, entity, {_METRICS} FROM preds GROUP BY model, entity""",
+        "metrics_grouping_sets": f"""{_CHAIN_PREDS}
+SELECT model, entity, CAST(grouping(entity) AS BIGINT) AS overall, {_METRICS}
+FROM preds GROUP BY GROUPING SETS ((model), (model, entity))""",
+        "widest_forecast_spread": f"""{_CHAIN_COMMON}
+SELECT month, entity, {r('max(prediction) - min(prediction)', 7)} AS spread
+FROM common GROUP BY month, entity ORDER BY max(prediction) - min(prediction) DESC LIMIT 1""",
         "common_sample": f"""{_CHAIN_COMMON}
 SELECT {prediction_out} FROM common""",
         "sample_sizes": f"""{_CHAIN_COMMON}
