@@ -72,8 +72,12 @@ def checked_common_sample(predictions: DataFrame) -> DataFrame:
 
 
 def attach_levels(predictions: DataFrame, panel: DataFrame) -> DataFrame:
-    """Reconstructed actual and forecast levels, from last month's level."""
-    keys = panel.select("month", "entity", LEVEL_LAG, F.col(TARGET).alias("panel_target"))
+    """Reconstructed actual and forecast levels, from last month's level. Only panel rows
+    of predicted months, a short list, enter the join."""
+    months = F.broadcast(predictions.select("month").distinct())
+    keys = panel.select(
+        "month", "entity", LEVEL_LAG, F.col(TARGET).alias("panel_target")
+    ).join(months, "month", "left_semi")
     return predictions.join(keys, ["month", "entity"], "left").withColumns(
         {
             "actual_level": F.col(LEVEL_LAG) + F.col("actual"),

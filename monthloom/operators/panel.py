@@ -30,17 +30,20 @@ def entity_names(long: DataFrame) -> list[str]:
     return [r.entity for r in long.select("entity").distinct().orderBy("entity").collect()]
 
 
-def panel_vectors(long: DataFrame) -> DataFrame:
-    """(entity, month end, features, n_present): values in feature-name order.
+def panel_vectors(long: DataFrame, features: Sequence[str]) -> DataFrame:
+    """(entity, month end, features, n_present): values in the order of `features`.
 
-    One shuffle. A row's array is complete, hence aligned with the feature list, when
-    `n_present` equals the number of features.
+    One shuffle, in which a feature travels as its position and not as its name. A row's
+    array is complete, hence aligned with the list, when `n_present` equals its length.
     """
-    value = nan_to_null(F.col("value"))
-    cell = F.struct("feature", "value")
+    positions = long.sparkSession.createDataFrame(
+        list(enumerate(features)), "position int, feature string"
+    )
+    cell = F.struct("position", "value")
     return (
-        long.withColumn("value", value)
+        long.withColumn("value", nan_to_null(F.col("value")))
         .filter(F.col("value").isNotNull())
+        .join(F.broadcast(positions), "feature")
         .groupBy("entity", month_end(F.col("month")).alias("month"))
         .agg(F.array_sort(F.collect_list(cell)).alias("cells"))
         .select(
@@ -86,7 +89,7 @@ def balanced_panel(
     """Wide panel: month end, entity, one column per feature, entity dummies. Rows with
     a missing feature are dropped."""
     names = sorted(features)
-    complete = panel_vectors(long).filter(F.col("n_present") == len(names))
+    complete = panel_vectors(long, names).filter(F.col("n_present") == len(names))
     columns = [F.get("features", F.lit(i)).alias(name) for i, name in enumerate(names)]
     return complete.select("month", "entity", *columns, *dummies(entities, reference))
 

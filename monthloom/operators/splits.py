@@ -50,10 +50,17 @@ def require_splits(splits: DataFrame) -> None:
 
 def training_rows(indexed: DataFrame, splits: DataFrame, window: int) -> DataFrame:
     """Every row once per split that trains on it, as an equi-join on the test month:
-    a row of month i serves the tests i+1 .. i+W. Keep `indexed` narrow."""
-    tests = F.sequence(F.col("month_idx") + 1, F.col("month_idx") + window)
-    return indexed.withColumn("test_idx", F.explode(tests)).join(
-        F.broadcast(splits.select("test_idx")), "test_idx"
+    a row of month i serves the tests i+1 .. i+W, clipped to the first and last split.
+    Keep `indexed` narrow."""
+    span = splits.agg(
+        F.struct(F.min("test_idx").alias("first"), F.max("test_idx").alias("last")).alias("s")
+    ).scalar()
+    first = F.greatest(F.col("month_idx") + 1, span["first"])
+    last = F.least(F.col("month_idx") + window, span["last"])
+    return (
+        indexed.filter(first <= last)
+        .withColumn("test_idx", F.explode(F.sequence(first, last)))
+        .join(F.broadcast(splits.select("test_idx")), "test_idx")
     )
 
 
