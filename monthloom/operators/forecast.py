@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from monthloom import params
 from monthloom.operators.splits import test_rows, training_rows
 from monthloom.operators.target import LEVEL_LAG, TARGET
+from monthloom.session import cut_lineage
 
 RANDOM_WALK = "Random walk"
 POOLED_AR = "AR(1)"
@@ -51,11 +52,15 @@ def fixed_effect_forecasts(
       - when x does not vary within any entity, the slope is shared between x and the
         dummies.
     """
-    moments = train.groupBy(*keys, "entity").agg(
-        F.avg("x").alias("mean_x"),
-        F.avg("y").alias("mean_y"),
-        F.regr_sxx("y", "x").alias("sxx"),
-        F.regr_sxy("y", "x").alias("sxy"),
+    # two consumers need different columns of the moments, and pruned plans would expand
+    # the training rows once for each; the written moments are a window's length smaller
+    moments = cut_lineage(
+        train.groupBy(*keys, "entity").agg(
+            F.avg("x").alias("mean_x"),
+            F.avg("y").alias("mean_y"),
+            F.regr_sxx("y", "x").alias("sxx"),
+            F.regr_sxy("y", "x").alias("sxy"),
+        )
     )
     is_reference = F.col("entity") == reference
     mx, my = F.col("mean_x"), F.col("mean_y")
