@@ -25,6 +25,8 @@ from monthloom.functions.arrays import dot, let, mean
 from monthloom.operators.checks import DataCheckError
 from monthloom.operators.coverage import require_complete_calendar
 from monthloom.operators.series import SERIES, pack
+from monthloom.operators.skew import join_by_entity
+from monthloom.session import cut_lineage
 
 GROUP_SCALE = 512.0
 
@@ -187,11 +189,12 @@ def common_trend(
         raise ValueError(f"Unknown orientation {orient!r}.")
     trended = with_trend(shifted, lam)
     # counted before the trend step, which would otherwise run once more for it
-    sizes = shifted.filter("varying").groupBy("entity").agg(F.count(F.lit(1)).alias("n_features"))
+    sizes = cut_lineage(
+        shifted.filter("varying").groupBy("entity").agg(F.count(F.lit(1)).alias("n_features"))
+    )
     n_groups = F.ceil(F.sqrt(F.col("n_features") / F.lit(GROUP_SCALE)))
     partial = (
-        trended.select("entity", "feature", "trend", "score")
-        .join(sizes, "entity")
+        join_by_entity(trended.select("entity", "feature", "trend", "score"), sizes)
         .withColumn("part", F.pmod(F.xxhash64("feature"), n_groups))
         .select("entity", "part", "trend", "score")
         .groupBy("entity", "part")
@@ -200,10 +203,12 @@ def common_trend(
             "entity string, n long, gram array<double>, trend_sum array<double>",
         )
     )
-    component = partial.groupBy("entity").applyInArrow(
-        lambda table: _leading_component(table),
-        "entity string, pc1 array<double>, pc1_rescaled array<double>, "
-        "average_trend array<double>",
+    component = cut_lineage(
+        partial.groupBy("entity").applyInArrow(
+            lambda table: _leading_component(table),
+            "entity string, pc1 array<double>, pc1_rescaled array<double>, "
+            "average_trend array<double>",
+        )
     )
     if orient == "mean_trend":
         # the component's scores sum to zero, so the average trend need not be centred
@@ -211,8 +216,9 @@ def common_trend(
     else:
         loading = dot(F.col("score"), F.col("pc1"))
         pulls = (
-            trended.select("entity", "feature", "score")
-            .join(component.select("entity", "pc1"), "entity")
+            join_by_entity(
+                trended.select("entity", "feature", "score"), component.select("entity", "pc1")
+            )
             .select("entity", "feature", loading.alias("loading"))
             .groupBy("entity")
             .agg(F.min_by("loading", F.struct(-F.abs("loading"), "feature")).alias("pull"))
@@ -228,8 +234,8 @@ def common_trend(
 
 def remove_trend(shifted: DataFrame, trend: DataFrame) -> DataFrame:
     """Subtract the entity's trend from the log, and restore each series' mean.
-    Constant series stay as they are, in shifted units."""
-    joined = shifted.join(trend.select("entity", "pc1_rescaled"), "entity", "left")
+    Constant series stay as they are, in shifted units. `trend` is a written table."""
+    joined = join_by_entity(shifted, trend.select("entity", "pc1_rescaled"), "left")
     flat = F.zip_with("values", "pc1_rescaled", lambda v, p: F.exp(F.log(v) - p))
 
     def restored(level: Column) -> Column:
@@ -249,7 +255,7 @@ def detrend(
 ) -> DataFrame:
     """Packed, complete series of all entities to detrended packed series."""
     shifted = flag_varying(shift_to_positive(packed))
-    return remove_trend(shifted, common_trend(shifted, lam, orient))
+    return remove_trend(shifted, cut_lineage(common_trend(shifted, lam, orient)))
 
 
 def detrend_long(

@@ -1,9 +1,10 @@
 import datetime as dt
+import re
 
 import numpy as np
 import pytest
 
-from monthloom.operators import detrend, transforms
+from monthloom.operators import detrend, skew, transforms
 from monthloom.operators.checks import DataCheckError
 from monthloom.operators.series import pack, unpack
 
@@ -120,6 +121,31 @@ def test_a_large_entity_is_split_over_groups(spark, monkeypatch):
         assert np.allclose(whole[e], split[e], atol=1e-9)
 
 
+def test_many_entities_take_the_salted_join(spark, monkeypatch):
+    """The two ways of joining per-entity results give the same series."""
+    blocks = {e: random_block(i, 7, 36) for i, e in enumerate("ABC")}
+    blocks["D"] = {"only": np.full(36, 4.0)}
+    packed = pack(frame(spark, {(e, f): v for e, b in blocks.items() for f, v in b.items()}))
+    want = by_series(detrend.detrend(packed))
+    monkeypatch.setattr(skew, "BROADCAST_BYTES", -1)
+    salted = detrend.detrend(packed)
+    got = by_series(salted)
+    assert got.keys() == want.keys()
+    assert all(np.allclose(got[k], want[k], rtol=1e-10) for k in want)
+    plan = salted._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(entity#" in plan and "_salt#" in plan
+
+
+def test_series_are_never_shuffled_by_entity_alone(spark):
+    packed = pack(frame(spark, {("A", f): v for f, v in random_block(1, 5, 24).items()}))
+    shifted = detrend.flag_varying(detrend.shift_to_positive(packed)).repartition(3)
+    plan = detrend.detrend(packed)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(entity#\d+, \d+\)", plan)
+    sizes = shifted.groupBy("entity").count()
+    parts = skew.join_by_entity(shifted, sizes)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in parts and "SortMergeJoin" not in parts
+
+
 def test_orientation(spark):
     block = random_block(6, 10, 60)
     packed = pack(frame(spark, {("A", f): v for f, v in block.items()}))
