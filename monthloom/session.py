@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,14 +35,31 @@ def checkpoint_folder(spark: SparkSession) -> str:
     )
     current = context.getCheckpointDir()
     if current is None:
-        if named is None and not context.master.startswith("local"):
+        if named is None and not (context.master == "local" or context.master.startswith("local[")):
             raise ValueError(f"Set {CHECKPOINT_SETTING} to a folder every executor can reach.")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="monthloom-checkpoint-"))
     return named or context.getCheckpointDir()
 
 
+def stage(df: DataFrame) -> DataFrame:
+    """Write `df` as Parquet to the shared folder and go on from the files: several
+    consumers share one computation, later plans prune columns and know sizes, and a
+    lost executor costs a read. `release` deletes what a session has staged."""
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/staged/{spark.sparkContext.applicationId}/{uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables this session has staged; call it when their results are written."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(
+        f"{checkpoint_folder(spark)}/staged/{context.applicationId}"
+    )
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` to the reliable checkpoint folder and go on from the files, so
-    that several consumers share one computation and lost executors cost a read."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """`stage` under the name the monthly panel jobs use."""
+    return stage(df)

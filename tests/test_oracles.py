@@ -4,6 +4,7 @@ import pytest
 from oracle_check import connect, differences
 
 import __spark_entry__ as entry_module
+from monthloom.plans import catalogue, oracles
 
 ROWS_ONLY = {"gbt_depthwise", "gbt_leafwise", "gbt_importance", "tuned_vs_benchmark"}
 
@@ -14,10 +15,10 @@ def duck(sf_dir):
 
 
 def test_every_query_is_compared_or_listed():
-    assert set(entry_module.queries()) - set(entry_module.oracle_sql()) == ROWS_ONLY
+    assert set(catalogue.all_queries()) - set(oracles.all_oracles()) == ROWS_ONLY
 
 
-@pytest.mark.parametrize("name", sorted(entry_module.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(oracles.all_oracles()))
 def test_query_matches_sql(spark, sf_dir, duck, name):
     frame = entry_module.queries()[name](spark, sf_dir)
     assert differences(frame, duck, entry_module.oracle_sql()[name])[:3] == []
