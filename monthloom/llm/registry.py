@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from monthloom.llm import decontaminate
+from monthloom.llm import decontaminate, packing
 
 QUERIES = {
+    "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op7_winnowing_decontamination": decontaminate.op7_winnowing_decontamination,
 }
 
