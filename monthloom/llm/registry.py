@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from monthloom.llm import decontaminate, packing
+from monthloom.llm import decontaminate, ngram_join, packing
 
 QUERIES = {
+    "op3_ngram_jaccard_join": ngram_join.op3_ngram_jaccard_join,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op7_winnowing_decontamination": decontaminate.op7_winnowing_decontamination,
 }
 
 ORACLES = {
+    "op3_ngram_jaccard_join": ngram_join.ORACLE,
     "op7_winnowing_decontamination": decontaminate.ORACLE,
 }
