@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from monthloom.llm import decontaminate, ngram_join, packing
+from monthloom.llm import decontaminate, language_model, ngram_join, packing
 
 QUERIES = {
+    "op10_deleted_interpolation": language_model.op10_deleted_interpolation,
     "op3_ngram_jaccard_join": ngram_join.op3_ngram_jaccard_join,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op7_winnowing_decontamination": decontaminate.op7_winnowing_decontamination,
