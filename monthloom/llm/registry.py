@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from monthloom.llm import decontaminate, language_id, language_model, ngram_join, packing, quality
+from monthloom.llm import decontaminate, language_id, language_model, ngram_join, packing, pii, quality
 
 QUERIES = {
+    "op2_personal_data": pii.op2_personal_data,
     "op1_divergence_quality": quality.op1_divergence_quality,
     "op4_segmentation_language_id": language_id.op4_segmentation_language_id,
     "op10_deleted_interpolation": language_model.op10_deleted_interpolation,
