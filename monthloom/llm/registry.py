@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from monthloom.llm import decontaminate, language_id, language_model, ngram_join, packing, pii, quality
+from monthloom.llm import decontaminate, language_id, language_model, ngram_join, packing, pii, quality, url_filter
 
 QUERIES = {
+    "op9_path_template_filter": url_filter.op9_path_template_filter,
     "op2_personal_data": pii.op2_personal_data,
     "op1_divergence_quality": quality.op1_divergence_quality,
     "op4_segmentation_language_id": language_id.op4_segmentation_language_id,
