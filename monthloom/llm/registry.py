@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
-from monthloom.llm import decontaminate, language_id, language_model, ngram_join, packing, pii, quality, url_filter
+from monthloom.llm import (
+    decontaminate,
+    language_id,
+    language_model,
+    line_dedup,
+    ngram_join,
+    packing,
+    pii,
+    quality,
+    url_filter,
+)
 
 QUERIES = {
+    "op5_suffix_line_dedup": line_dedup.op5_suffix_line_dedup,
     "op9_path_template_filter": url_filter.op9_path_template_filter,
     "op2_personal_data": pii.op2_personal_data,
     "op1_divergence_quality": quality.op1_divergence_quality,
