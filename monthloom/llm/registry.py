@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from monthloom.llm import (
+    chat,
     decontaminate,
     language_id,
     language_model,
@@ -15,6 +16,7 @@ from monthloom.llm import (
 )
 
 QUERIES = {
+    "op8_preference_chat": chat.op8_preference_chat,
     "op5_suffix_line_dedup": line_dedup.op5_suffix_line_dedup,
     "op9_path_template_filter": url_filter.op9_path_template_filter,
     "op2_personal_data": pii.op2_personal_data,
@@ -27,6 +29,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op8_preference_chat": chat.ORACLE,
     "op3_ngram_jaccard_join": ngram_join.ORACLE,
     "op7_winnowing_decontamination": decontaminate.ORACLE,
 }
