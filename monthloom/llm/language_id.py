@@ -251,7 +251,7 @@ def _expected_rows(shared):
     return task
 
 
-def _predictions(shared):
+def _predictions(shared, drop_text: bool):
     scorers: dict[str, Scorer] = {}
 
     def task(batches):
@@ -260,6 +260,7 @@ def _predictions(shared):
             scorers["it"] = Scorer(names, probability)
         scorer = scorers["it"]
         for batch in batches:
+            kept = [i for i in range(batch.num_columns) if i != 1 or not drop_text]
             for a, b in words.slices(batch.column(1)):
                 w, distinct, which, text_of = _cut(batch.column(1), a, b)
                 logs = scorer.rows(distinct, text_of)
@@ -272,11 +273,11 @@ def _predictions(shared):
                 none = total[:, -1] == 0
                 yield pa.record_batch(
                     [
-                        *(c.slice(a, b - a) for i, c in enumerate(batch.columns) if i != 1),
+                        *(batch.column(i).slice(a, b - a) for i in kept),
                         pa.array(np.where(none, UNDEFINED, np.array(langs)[best]).tolist(), pa.string()),
                         pa.array(np.where(none, 0.0, score)),
                     ],
-                    names=[*(n for i, n in enumerate(batch.schema.names) if i != 1), "lang_pred", "score"],
+                    names=[*(batch.schema.names[i] for i in kept), "lang_pred", "score"],
                 )
 
     return task
@@ -326,21 +327,26 @@ def fit(labelled: DataFrame, vocabulary: str, doc_id="doc_id", text="text", lang
 
 
 def identify(docs: DataFrame, model, doc_id="doc_id", text="text", keep=()) -> DataFrame:
-    """One row per document row: `doc_id`, the columns in `keep`, `lang_pred`, `score`."""
+    """One row per document row: `doc_id`, the columns in `keep`, `lang_pred`, `score`. `keep`
+    may name the text; then no join brings it back."""
     names, probability, langs = model
     columns = docs.select(
-        F.col(doc_id).alias("id"), F.col(text).alias("text"), *(F.col(k) for k in keep)
+        F.col(doc_id).alias("id_"),
+        F.col(text).alias("text_"),
+        *(F.col(k) for k in keep if k not in (doc_id, text)),
     )
+    out = [F.col("id_").alias(doc_id), *(F.col("text_").alias(text) if k == text else F.col(k) for k in keep if k != doc_id)]
     if not langs:
-        return columns.select(
-            F.col("id").alias(doc_id), *keep, F.lit(UNDEFINED).alias("lang_pred"), F.lit(0.0).alias("score")
-        )
+        return columns.select(*out, F.lit(UNDEFINED).alias("lang_pred"), F.lit(0.0).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast((names, probability, langs))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in columns.schema if f.name != "text"]
+    left_out = () if text in keep else ("text_",)
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in columns.schema if f.name not in left_out]
     found = words.map_arrow(
-        columns, _predictions(shared), ", ".join([*fields, "lang_pred string", "score double"])
+        columns,
+        _predictions(shared, bool(left_out)),
+        ", ".join([*fields, "lang_pred string", "score double"]),
     )
-    return found.withColumnRenamed("id", doc_id)
+    return found.select(*out, "lang_pred", "score")
 
 
 def vocabulary_file(name: str = VOCABULARY) -> str:
