@@ -161,9 +161,7 @@ def shared_passages(
     lengths = sorted(r["size"] for r in targets.select("size").distinct().collect())
     keyed = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     id_type = keyed.schema["id"].dataType.simpleString()
-    if not lengths:
-        keyed = keyed.where(F.col("id").isNotNull() | F.col("id").isNull())
-        lengths = [span]
+    lengths = lengths or [span]
     plans = [scheme(x) for x in lengths]
     prints = f"id {id_type}, prints array<long>"
     item_prints = stage(

@@ -32,7 +32,6 @@ from monthloom.session import stage
 
 MIN_WORDS = 50
 _BLANK = r"[\x20\x09-\x0D]+"
-_ROW = "row_"
 
 
 def _lines(text: Column) -> Column:
@@ -157,9 +156,9 @@ def _agreeing(a: Column, b: Column, at_a: Column, at_b: Column) -> Column:
     return F.when(stop > 0, stop - 1).otherwise(F.size(same)).cast("int")
 
 
-def deleted_runs(rows: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
+def deleted_runs(rows: DataFrame, row: str, key: str, text: str, min_words: int) -> DataFrame:
     """(row, runs): per document the line ranges [from, to) to delete, merged and in order."""
-    texts = rows.select(F.col(key).alias("key"), F.col(_ROW).alias("row"), _lines(F.col(text)).alias("t"))
+    texts = rows.select(F.col(key).alias("key"), F.col(row).alias("row"), _lines(F.col(text)).alias("t"))
     lines = texts.select("key", "row", F.posexplode("t").alias("line", "value")).select(
         "key", "row", "line", F.xxhash64("value").alias("id"), _line_words(F.col("value")).alias("words")
     )
@@ -211,8 +210,11 @@ def dedup_lines(
     """All rows and columns, `text` without its later copies, and the columns
     `n_lines_deleted` and `runs_deleted` (a column of that name in the input is replaced)."""
     docs = docs.drop("n_lines_deleted", "runs_deleted")
-    rows = stage(docs.withColumn(_ROW, F.monotonically_increasing_id()))
-    runs = stage(deleted_runs(rows, doc_id, text, min_words)).withColumnRenamed("row", _ROW)
+    row, found = "row_", "runs_"
+    while row in docs.columns or found in docs.columns:
+        row, found = row + "_", found + "_"
+    rows = stage(docs.withColumn(row, F.monotonically_increasing_id()))
+    runs = stage(deleted_runs(rows, row, doc_id, text, min_words)).toDF(row, found)
 
     def without(runs_: Column) -> Column:
         kept = F.filter(
@@ -221,16 +223,12 @@ def dedup_lines(
         )
         return F.array_join(kept, "\n")
 
-    count = F.aggregate("runs", F.lit(0), lambda n, r: n + r["to"] - r["from"])
-    return rows.join(runs, _ROW, "left").select(
-        *(
-            F.when(F.col("runs").isNull(), F.col(c)).otherwise(let(F.col("runs"), without)).alias(c)
-            if c == text
-            else F.col(c)
-            for c in docs.columns
-        ),
+    count = F.aggregate(found, F.lit(0), lambda n, r: n + r["to"] - r["from"])
+    shorter = F.when(F.col(found).isNull(), F.col(text)).otherwise(let(F.col(found), without))
+    return rows.join(runs, row, "left").select(
+        *(shorter.alias(c) if c == text else F.col(c) for c in docs.columns),
         F.coalesce(count, F.lit(0)).cast("long").alias("n_lines_deleted"),
-        F.coalesce("runs", F.array().cast("array<struct<from:int,to:int>>")).alias("runs_deleted"),
+        F.coalesce(found, F.array().cast("array<struct<from:int,to:int>>")).alias("runs_deleted"),
     )
 
 
