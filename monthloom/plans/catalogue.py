@@ -83,12 +83,17 @@ def duplicate_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def calendar_skeleton_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return coverage.calendar_gaps(inputs.feature_series(spark, sf_dir, "nation"))
+    return coverage.calendar_gaps(inputs.feature_series(spark, sf_dir, "nation", by_brand=True))
 
 
 @query
 def missing_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return coverage.top_missing(inputs.feature_series(spark, sf_dir, "nation"))
+    return coverage.top_missing(inputs.feature_series(spark, sf_dir, "nation", by_brand=True))
+
+
+@query
+def missing_by_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage.missing_counts(inputs.feature_series(spark, sf_dir, "nation", by_brand=True))
 
 
 @query
@@ -257,20 +262,16 @@ def rate_dimension_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def unmapped_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customer nations without an entity code, when the code table lists even keys."""
+    """Customer nations that the code table does not list."""
     rows = inputs.table(spark, sf_dir, "customer").select(
         F.concat(F.lit("NATION_"), F.col("c_nationkey").cast("string")).alias("REF_AREA")
     )
-    areas = (
-        inputs.table(spark, sf_dir, "nation")
-        .filter(F.col("n_nationkey") % 2 == 0)
-        .select(F.col("n_name").alias("REF_AREA"), F.col("n_name").alias("entity"))
-    )
+    areas = spark.createDataFrame(list(inputs.AREA_CODES.items()), "REF_AREA string, entity string")
     return rate_file.unmapped_areas(rows, areas)
 
 
-def _filled_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rates = inputs.rates(spark, sf_dir, "nation", inputs.THIN_SHARE)
+def _filled_rates(spark: SparkSession, sf_dir: str, grain: str = "customer") -> DataFrame:
+    rates = inputs.rates(spark, sf_dir, grain)
     joined = target.attach_rates(inputs.panel_keys(rates), rates, check=False)
     return target.fill_isolated_gaps(joined)
 
@@ -295,8 +296,8 @@ def gap_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return target.gap_audit(_filled_rates(spark, sf_dir))
 
 
-def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return target.with_target(target.add_change(_filled_rates(spark, sf_dir)))
+def _changes(spark: SparkSession, sf_dir: str, grain: str = "nation") -> DataFrame:
+    return target.with_target(target.add_change(_filled_rates(spark, sf_dir, grain)))
 
 
 def _staged_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -307,20 +308,20 @@ def _staged_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def change_target(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_changes(spark, sf_dir), level_lag1=7, target=7)
+    return rounded(_changes(spark, sf_dir, "customer"), level_lag1=7, target=7)
 
 
 # --------------------------------------------------------------- lags, splits
 
 
-def _lagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lags.add_target_lags(_changes(spark, sf_dir), max(inputs.LAGS))
+def _lagged(spark: SparkSession, sf_dir: str, grain: str = "nation") -> DataFrame:
+    return lags.add_target_lags(_changes(spark, sf_dir, grain), max(inputs.LAGS))
 
 
 @query
 def target_lags(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = {lags.lag_name(k): 7 for k in range(1, max(inputs.LAGS) + 1)}
-    return rounded(_lagged(spark, sf_dir).drop("level_lag1"), target=7, **names)
+    return rounded(_lagged(spark, sf_dir, "customer").drop("level_lag1"), target=7, **names)
 
 
 @query

@@ -10,12 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from monthloom.functions.calendar import month_end, month_start
-from monthloom.operators.coverage import skeleton
+from monthloom.operators.coverage import calendar_array, skeleton
 from monthloom.operators.series import SERIES
 from monthloom.params import BreakRule
 from monthloom.session import cut_lineage
 
-FIRST_DAY, END_DAY = "1995-02-01", "2001-08-01"
 TOPIC_TYPES = ("PROMO", "STANDARD")
 BREAKS = BreakRule(
     category=("1997-01-01", "1999-01-01"),
@@ -24,7 +23,8 @@ BREAKS = BreakRule(
 WINDOW, VALIDATION, HOLDOUT = 24, 6, 12
 WINDOWS, LAGS = (12, 24, 36), (0, 1, 2, 3)
 REFERENCE_REGION, REFERENCE_NATION = "AFRICA", "NATION_0"
-THIN_SHARE = 0.3
+#: Entity code by customer nation; a nation that is not listed has none.
+AREA_CODES = {f"NATION_{k}": f"N{k:02d}" for k in range(0, 25, 2)}
 EXCLUDED_SERIES = ("10050", "10100", "20")
 EXCLUDED_ENTITIES = ("NATION_3", "NATION_7")
 DIMENSIONS = {"o_orderstatus": "F", "o_orderpriority": "5-LOW"}
@@ -38,13 +38,6 @@ def cents(col: str) -> Column:
     return F.floor(F.col(col) * 100.0 + 0.5)
 
 
-def _in_window(col: str) -> Column:
-    day = F.col(col)
-    return (day >= F.lit(FIRST_DAY).cast("timestamp_ntz")) & (
-        day < F.lit(END_DAY).cast("timestamp_ntz")
-    )
-
-
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(nationkey, nation, region)"""
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
@@ -56,7 +49,7 @@ def places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items of the window with their supplier's nation and region and their part."""
+    """Line items with their supplier's nation and region and their part."""
     supplier = (
         table(spark, sf_dir, "supplier")
         .join(places(spark, sf_dir), F.col("s_nationkey") == F.col("nationkey"))
@@ -65,21 +58,23 @@ def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand", "p_size")
     return (
         table(spark, sf_dir, "lineitem")
-        .filter(_in_window("l_shipdate"))
         .select("l_suppkey", "l_partkey", "l_extendedprice", "l_shipdate")
         .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
         .join(part, F.col("l_partkey") == F.col("p_partkey"))
     )
 
 
-def feature_series(spark: SparkSession, sf_dir: str, grain: str = "region") -> DataFrame:
-    """Long series: shipped value by entity, part type and month."""
+def feature_series(
+    spark: SparkSession, sf_dir: str, grain: str = "region", by_brand: bool = False
+) -> DataFrame:
+    """Long series: shipped value by entity, part type (and brand) and month."""
+    feature = F.concat_ws("_", "p_brand", "p_type") if by_brand else F.col("p_type")
     kind = F.when(F.col("p_type").isin(*TOPIC_TYPES), "topic").otherwise("category")
     return (
         shipments(spark, sf_dir)
         .groupBy(
             F.col(grain).alias("entity"),
-            F.col("p_type").alias("feature"),
+            feature.alias("feature"),
             kind.alias("kind"),
             month_start(F.col("l_shipdate")).alias("month"),
         )
@@ -103,44 +98,42 @@ def brand_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shipments(spark, sf_dir).select(F.col("nation").alias("entity"), feature.alias("feature"))
 
 
-def rates(
-    spark: SparkSession, sf_dir: str, grain: str = "region", thin_share: float = 0.0
-) -> DataFrame:
-    """Level by entity and month end: mean order value in 10,000s. Levels that rest on
-    fewer orders than `thin_share` of the mean cell count as missing."""
+def rates(spark: SparkSession, sf_dir: str, grain: str = "region") -> DataFrame:
+    """Level by entity and month end: mean order value in 10,000s. At the grain of a
+    customer there are months without an order, so gaps of every length, at any scale."""
+    entity = (
+        F.concat(F.lit("CUSTOMER_"), F.col("c_custkey").cast("string"))
+        if grain == "customer"
+        else F.col(grain)
+    )
     customer = (
         table(spark, sf_dir, "customer")
         .join(places(spark, sf_dir), F.col("c_nationkey") == F.col("nationkey"))
-        .select("c_custkey", F.col(grain).alias("entity"))
+        .select("c_custkey", entity.alias("entity"))
     )
-    cells = (
+    return (
         table(spark, sf_dir, "orders")
-        .filter(_in_window("o_orderdate"))
         .select("o_custkey", "o_totalprice", "o_orderdate")
         .join(customer, F.col("o_custkey") == F.col("c_custkey"))
         .groupBy("entity", month_end(F.col("o_orderdate").cast("date")).alias("month"))
         .agg(F.sum(cents("o_totalprice")).alias("sum_cents"), F.count(F.lit(1)).alias("n_orders"))
+        .select(
+            "entity",
+            "month",
+            (F.col("sum_cents").cast("double") / F.col("n_orders") / 1e6).alias("level"),
+        )
     )
-    level = F.col("sum_cents").cast("double") / F.col("n_orders") / 1e6
-    if thin_share:
-        # one pass over the orders serves the mean and the levels
-        cells = cut_lineage(cells)
-        mean = cells.agg(F.avg("n_orders").alias("mean")).scalar()
-        level = F.when(F.col("n_orders") >= thin_share * mean, level)
-    return cells.select("entity", "month", level.alias("level"))
 
 
 def panel_keys(rate_rows: DataFrame) -> DataFrame:
-    """Every entity with every month end of the window."""
-    months = F.transform(
-        F.sequence(
-            F.lit(FIRST_DAY).cast("date"),
-            F.add_months(F.lit(END_DAY).cast("date"), -1),
-            F.expr("interval 1 month"),
-        ),
-        lambda m: F.last_day(m),
+    """Every entity with every month end from the first to the last of the table."""
+    months = calendar_array(rate_rows.select(month_start(F.col("month")).alias("month")))
+    return (
+        rate_rows.select("entity")
+        .distinct()
+        .withColumn("month", F.explode(months))
+        .withColumn("month", F.last_day("month"))
     )
-    return rate_rows.select("entity").distinct().withColumn("month", F.explode(months))
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,11 +152,10 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(series_id, name) for the parts of even size."""
+    """(series_id, name) of all parts."""
     series_id = F.col("p_partkey") * 10
     return (
         table(spark, sf_dir, "part")
-        .filter(F.col("p_size") % 2 == 0)
         .select(
             series_id.cast("string").alias("series_id"),
             F.concat(

@@ -14,7 +14,7 @@ from monthloom.plans import inputs
 from monthloom.plans.catalogue import GRID_STARTUP, GRID_WARMUP, PANEL_FEATURES, REGIONS, SHORT_AR
 from monthloom.operators import tuning
 
-W, FIRST, END = inputs.WINDOW, inputs.FIRST_DAY, inputs.END_DAY
+W = inputs.WINDOW
 
 
 def r(expr: str, places: int) -> str:
@@ -39,7 +39,7 @@ def _with(*ctes: str, recursive: bool = False) -> str:
 
 # ------------------------------------------------------------------ base tables
 
-SHIPMENTS = f"""shipments AS (
+SHIPMENTS = """shipments AS (
   SELECT n_name AS nation, r_name AS region, p_type, p_brand, p_size,
          CAST(date_trunc('month', l_shipdate) AS DATE) AS month,
          CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT) AS cents
@@ -47,14 +47,13 @@ SHIPMENTS = f"""shipments AS (
   JOIN supplier ON l_suppkey = s_suppkey
   JOIN nation ON s_nationkey = n_nationkey
   JOIN region ON n_regionkey = r_regionkey
-  JOIN part ON l_partkey = p_partkey
-  WHERE l_shipdate >= TIMESTAMP '{FIRST}' AND l_shipdate < TIMESTAMP '{END}')"""
+  JOIN part ON l_partkey = p_partkey)"""
 
 
-def feat(grain: str) -> str:
+def feat(grain: str, feature: str = "p_type") -> str:
     return f"""{SHIPMENTS},
 feat AS (
-  SELECT {grain} AS entity, p_type AS feature,
+  SELECT {grain} AS entity, {feature} AS feature,
          CASE WHEN p_type IN ({_list(inputs.TOPIC_TYPES)}) THEN 'topic' ELSE 'category' END AS kind,
          month, CAST(sum(cents) AS DOUBLE) / 1e2 AS value
   FROM shipments GROUP BY ALL)"""
@@ -71,14 +70,14 @@ FILLED = """filled AS (
   SELECT s.entity, s.feature, s.kind, s.month, coalesce(f.value, 0) AS value
   FROM skel s LEFT JOIN feat f USING (entity, feature, kind, month))"""
 
-_NAMED_FILES = f"""files AS (
+_NAMED_FILES = """files AS (
   SELECT DISTINCT CAST(l_partkey * 10 AS VARCHAR) AS series_id, n_name AS entity
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey),
 cat AS (
   SELECT CAST(p_partkey * 10 AS VARCHAR) AS series_id,
          (CASE WHEN p_partkey * 10 >= 10000 THEN 't_' ELSE '' END)
          || replace(p_name, ' ', '_') || '_' || CAST(p_size AS VARCHAR) AS name
-  FROM part WHERE p_size % 2 = 0),
+  FROM part),
 named AS (
   SELECT f.series_id, f.entity,
          coalesce(c.name, (CASE WHEN CAST(f.series_id AS BIGINT) >= 10000 THEN 't_' ELSE 'cat_' END)
@@ -252,26 +251,23 @@ _PANEL = f"""panel AS (
   FROM logs GROUP BY ALL HAVING count(value) = {len(PANEL_FEATURES)})"""
 
 
-def rates(grain: str, thin_share: float) -> str:
-    column = "n_name" if grain == "nation" else "r_name"
-    return f"""order_cells AS (
-  SELECT {column} AS entity, CAST(last_day(o_orderdate) AS DATE) AS month, count(*) AS n,
-         sum(CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT)) AS c
+_GRAIN = {"nation": "n_name", "region": "r_name", "customer": "'CUSTOMER_' || c_custkey"}
+
+
+def rates(grain: str) -> str:
+    return f"""rates AS (
+  SELECT {_GRAIN[grain]} AS entity, CAST(last_day(o_orderdate) AS DATE) AS month,
+         CAST(sum(CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT)) AS DOUBLE) / count(*) / 1e6 AS level
   FROM orders JOIN customer ON o_custkey = c_custkey
   JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
-  WHERE o_orderdate >= TIMESTAMP '{FIRST}' AND o_orderdate < TIMESTAMP '{END}'
-  GROUP BY ALL),
-rates AS (
-  SELECT entity, month,
-         CASE WHEN n >= {thin_share}::DOUBLE * (SELECT avg(n) FROM order_cells)
-              THEN CAST(c AS DOUBLE) / n / 1e6 END AS level
-  FROM order_cells)"""
+  GROUP BY ALL)"""
 
 
-_KEYS = f"""keys AS (
-  SELECT entity, last_day(CAST(m AS DATE)) AS month
+_KEYS = """keys AS (
+  SELECT entity, last_day(month) AS month
   FROM (SELECT DISTINCT entity FROM rates),
-       generate_series(DATE '{FIRST}', DATE '{END}' - INTERVAL 1 MONTH, INTERVAL 1 MONTH) AS g(m)),
+       (SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 1 MONTH)) AS DATE) AS month
+        FROM (SELECT date_trunc('month', min(month)) AS lo, date_trunc('month', max(month)) AS hi FROM rates))),
 joined AS (SELECT k.entity, k.month, r.level FROM keys k LEFT JOIN rates r USING (entity, month))"""
 
 
@@ -294,7 +290,8 @@ chg AS (
 changes AS (SELECT * FROM chg WHERE target IS NOT NULL AND level_lag1 IS NOT NULL)"""
 
 
-_CHAIN_RATES = _with(rates("nation", inputs.THIN_SHARE), _KEYS, _interp("joined"))
+_CHAIN_RATES = _with(rates("nation"), _KEYS, _interp("joined"))
+_CHAIN_CUSTOMERS = _with(rates("customer"), _KEYS, _interp("joined"))
 
 
 def _lagged(count: int) -> str:
@@ -503,10 +500,11 @@ _CHAIN_STOP = _STOP.replace("WITH ", "WITH RECURSIVE ", 1)
 
 def all_oracles() -> dict[str, str]:
     region, nation = feat("region"), feat("nation")
+    brands = feat("nation", "p_brand || '_' || p_type")
     chain_panel = f"{_CHAIN_DETRENDED}, {_logs('detr')}, {_PANEL}"
     features_out = _cols(list(PANEL_FEATURES), 5)
     chain_model = (
-        f"{chain_panel}, {rates('region', 0)}, "
+        f"{chain_panel}, {rates('region')}, "
         f"joined AS (SELECT p.*, r.level FROM panel p LEFT JOIN rates r USING (entity, month)), "
         f"{_interp('joined', ', ' + ', '.join(PANEL_FEATURES))}"
     )
@@ -527,9 +525,13 @@ FROM lab GROUP BY ALL""",
 SELECT entity, feature, count(*) AS n_files, min(series_id) AS first_series_id,
        max(series_id) AS last_series_id
 FROM named GROUP BY entity, feature HAVING count(*) > 1""",
-        "calendar_skeleton_gaps": f"""{_with(nation, CALENDAR)}
+        "calendar_skeleton_gaps": f"""{_with(brands, CALENDAR)}
 SELECT entity, feature, kind, month FROM skel ANTI JOIN feat USING (entity, feature, kind, month)""",
-        "missing_counts": f"""{_with(nation, CALENDAR)}
+        "missing_by_series": f"""{_with(brands, CALENDAR)}
+SELECT entity, feature, kind, count(*) AS n_missing, min(month) AS first_missing,
+       max(month) AS last_missing
+FROM skel ANTI JOIN feat USING (entity, feature, kind, month) GROUP BY ALL""",
+        "missing_counts": f"""{_with(brands, CALENDAR)}
 SELECT entity, feature, kind, count(*) AS n_missing, min(month) AS first_missing,
        max(month) AS last_missing
 FROM skel ANTI JOIN feat USING (entity, feature, kind, month)
@@ -588,21 +590,21 @@ FROM orders WHERE {name} IS NOT NULL AND {name} <> '{want}' GROUP BY ALL
 UNION ALL SELECT '{name}', '{want}', 0 WHERE NOT EXISTS (SELECT 1 FROM orders WHERE {name} = '{want}')"""
             for name, want in inputs.DIMENSIONS.items()
         ),
-        "unmapped_areas": """SELECT DISTINCT 'NATION_' || c_nationkey AS "REF_AREA" FROM customer
-WHERE 'NATION_' || c_nationkey NOT IN (SELECT n_name FROM nation WHERE n_nationkey % 2 = 0)""",
-        "interpolated_rates": f"""{_CHAIN_RATES}
+        "unmapped_areas": f"""SELECT DISTINCT 'NATION_' || c_nationkey AS "REF_AREA" FROM customer
+WHERE 'NATION_' || c_nationkey NOT IN ({_list(inputs.AREA_CODES)})""",
+        "interpolated_rates": f"""{_CHAIN_CUSTOMERS}
 SELECT entity, month, imputed, {r('level', 7)} AS level FROM interp""",
-        "imputed_rates": f"""{_CHAIN_RATES}
+        "imputed_rates": f"""{_CHAIN_CUSTOMERS}
 SELECT entity, month, {r('level', 7)} AS imputed_value FROM interp WHERE imputed""",
-        "remaining_gaps": f"""{_CHAIN_RATES}
+        "remaining_gaps": f"""{_CHAIN_CUSTOMERS}
 SELECT entity, month FROM interp WHERE level IS NULL""",
-        "gap_audit": f"""{_CHAIN_RATES}
+        "gap_audit": f"""{_CHAIN_CUSTOMERS}
 SELECT entity, CASE WHEN imputed THEN 'filled' ELSE 'remaining' END AS status, count(*) AS n_months,
        min(month) AS first_month, max(month) AS last_month
 FROM interp WHERE imputed OR level IS NULL GROUP BY ALL""",
-        "change_target": f"""{_CHAIN_RATES}
+        "change_target": f"""{_CHAIN_CUSTOMERS}
 SELECT entity, month, {_cols(['level_lag1', 'target'], 7)} FROM changes""",
-        "target_lags": f"""{_CHAIN_RATES}, {_lagged(3)}
+        "target_lags": f"""{_CHAIN_CUSTOMERS}, {_lagged(3)}
 SELECT entity, month, {_cols(['target', 'target_lag1', 'target_lag2', 'target_lag3'], 7)} FROM lagged""",
         "inconsistent_lags": f"""{_CHAIN_RATES}, {_lagged(3)},
 pre AS (
