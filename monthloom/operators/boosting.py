@@ -21,7 +21,9 @@ from monthloom.operators.splits import month_axis, with_month_idx
 from monthloom.operators.target import TARGET
 from monthloom.session import checkpoint_folder
 
-ROWS_PER_TASK = 20_000
+#: Partitions of a fit. Spark ML samples rows by partition and place, so the number is an
+#: explicit setting: the same number gives the same trees.
+FIT_PARTITIONS = 8
 DEPTHWISE = "Boosted trees (depth-wise)"
 LEAFWISE = "Boosted trees (leaf-wise)"
 
@@ -47,10 +49,13 @@ class BoostingSettings:
     reg_alpha: float = 0.0
     reg_lambda: float = 0.0
     seed: int = params.SEED
+    fit_partitions: int = FIT_PARTITIONS
 
     def __post_init__(self) -> None:
         if self.n_estimators < 1:
             raise ValueError("n_estimators must be positive.")
+        if self.fit_partitions < 1:
+            raise ValueError("fit_partitions must be positive.")
         if self.reg_alpha or self.reg_lambda:
             raise ValueError("Spark ML has no L1 or L2 leaf penalty; set both to 0.")
 
@@ -149,10 +154,12 @@ def prepare(
 
 
 def fit_split(data: RollingData, test_idx: int, window: int, settings: BoostingSettings) -> PipelineModel:
-    train = data.rows.filter(F.col("month_idx").between(test_idx - window, test_idx - 1))
-    # every tree level is a job over all partitions, so small windows get few of them;
-    # with more rows than this the scan's own partitions stay
-    train = train.coalesce(math.ceil(data.n_train(test_idx, window) / ROWS_PER_TASK))
+    """The rows are laid out by their content alone, so a fit can be repeated exactly."""
+    train = (
+        data.rows.filter(F.col("month_idx").between(test_idx - window, test_idx - 1))
+        .repartition(settings.fit_partitions, "entity", "month")
+        .sortWithinPartitions("month_idx", "entity")
+    )
     assembler = VectorAssembler(inputCols=list(data.features), outputCol="features_vec")
     return Pipeline(stages=[assembler, settings.regressor(data.target)]).fit(train)
 

@@ -38,12 +38,13 @@ def disagreeing_actuals(common: DataFrame) -> DataFrame:
 
 
 def widest_spread(common: DataFrame, column: str = "actual") -> DataFrame:
-    """The one key over whose models the column spreads most."""
+    """The one key over whose models the column spreads most; of equals the last."""
     spreads = common.groupBy("month", "entity").agg(
         (F.max(column) - F.min(column)).alias("spread")
     )
     key = F.struct("month", "entity", "spread")
-    return spreads.agg(F.max_by(key, F.col("spread")).alias("k")).select("k.*")
+    order = F.struct("spread", "month", "entity")
+    return spreads.agg(F.max_by(key, order).alias("k")).select("k.*")
 
 
 def rows_per_model(predictions: DataFrame) -> DataFrame:

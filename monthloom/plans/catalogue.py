@@ -27,8 +27,8 @@ from monthloom.operators import (
 )
 from monthloom.operators.series import SERIES
 from monthloom.plans import inputs
-from monthloom.session import cut_lineage
-from monthloom.sources import rate_file, series_files
+from monthloom.session import cut_lineage, scratch_path
+from monthloom.sources import panel_store, prediction_files, rate_file, series_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -78,6 +78,25 @@ def duplicate_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series_files.duplicate_series(named)
 
 
+def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series_files.parse_files(inputs.series_contents(spark, sf_dir))
+
+
+@query
+def parsed_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series_files.usable(_parsed(spark, sf_dir))
+
+
+@query
+def files_without_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series_files.files_without_rows(_parsed(spark, sf_dir))
+
+
+@query
+def duplicate_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series_files.duplicate_months(_parsed(spark, sf_dir))
+
+
 # --------------------------------------------------------- calendar, coverage
 
 
@@ -243,6 +262,22 @@ def modelling_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _panel_columns(_modelling_panel(spark, sf_dir), level_lag1=7, target=7)
 
 
+@query
+def panel_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel written, loaded with its checks, and read back."""
+    path = scratch_path(spark, "panel")
+    panel_store.write_panel(_modelling_panel(spark, sf_dir), path)
+    rows, _ = panel_store.load_panel(spark, path)
+    return _panel_columns(rows, level_lag1=7, target=7)
+
+
+@query
+def panel_level_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "panel")
+    panel_store.write_panel(_modelling_panel(spark, sf_dir), path)
+    return rounded(panel_store.level_keys(spark, path), level_lag1=7, target=7)
+
+
 @query
 def panel_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     summary = panel.panel_summary(
@@ -270,6 +305,35 @@ def unmapped_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rate_file.unmapped_areas(rows, areas)
 
 
+def _parsed_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    areas = rate_file.area_map(spark, inputs.AREA_CODES)
+    return rate_file.to_rates(inputs.rate_rows(spark, sf_dir), areas)
+
+
+@query
+def parsed_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parsed_rates(spark, sf_dir)
+
+
+@query
+def invalid_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rate_file.invalid_rates(_parsed_rates(spark, sf_dir))
+
+
+@query
+def duplicate_rate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.duplicate_keys(_parsed_rates(spark, sf_dir))
+
+
+@query
+def entities_without_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers that never ordered."""
+    customers = inputs.table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("CUSTOMER_"), F.col("c_custkey").cast("string")).alias("entity")
+    )
+    return target.entities_without_rates(customers, inputs.rates(spark, sf_dir, "customer"))
+
+
 def _filled_rates(spark: SparkSession, sf_dir: str, grain: str = "customer") -> DataFrame:
     rates = inputs.rates(spark, sf_dir, grain)
     joined = target.attach_rates(inputs.panel_keys(rates), rates, check=False)
@@ -431,6 +495,17 @@ def metrics_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(both.withColumn("overall", big("overall")), mae=8, rmse=8, r2=8)
 
 
+@query
+def predictions_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evaluated forecasts written by run, loaded from all runs with their checks."""
+    folder = scratch_path(spark, "evaluation")
+    predictions = cut_lineage(_predictions(_staged_changes(spark, sf_dir)))
+    for run, model in (("walk", forecast.RANDOM_WALK), ("ar", forecast.POOLED_AR), ("ar2", SHORT_AR)):
+        prediction_files.save_evaluation(predictions.filter(F.col("model") == model), folder, run)
+    rows = prediction_files.load_predictions(spark, folder).drop("source_file")
+    return rounded(rows, actual=7, prediction=7)
+
+
 # ----------------------------------------------------------------- comparison
 
 
@@ -658,6 +733,8 @@ def tuned_ar_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -------------------------------------------------------------- boosted trees
 
+#: The tree queries show the rolling machinery on a budget of a few trees; the jobs' default
+#: is 300 (`BoostingSettings`). All rows, features and splits are those of the full run.
 FEW_TREES = 5
 _FEW = dict(n_estimators=FEW_TREES, learning_rate=0.1)
 
@@ -738,4 +815,4 @@ def tuned_vs_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tuning.tuning_report(
         "depthwise", trials, states, design,
         tuning.zero_change_rmse(data.rows, design), data.rows,
-    ).drop("best_params", "entities")
+    )

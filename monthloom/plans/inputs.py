@@ -25,6 +25,7 @@ WINDOWS, LAGS = (12, 24, 36), (0, 1, 2, 3)
 REFERENCE_REGION, REFERENCE_NATION = "AFRICA", "NATION_0"
 #: Entity code by customer nation; a nation that is not listed has none.
 AREA_CODES = {f"NATION_{k}": f"N{k:02d}" for k in range(0, 25, 2)}
+WORDS_ONLY, REPEATING = "NATION_3", "NATION_5"
 EXCLUDED_SERIES = ("10050", "10100", "20")
 EXCLUDED_ENTITIES = ("NATION_3", "NATION_7")
 DIMENSIONS = {"o_orderstatus": "F", "o_orderpriority": "5-LOW"}
@@ -166,3 +167,57 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
             ).alias("name"),
         )
     )
+
+
+def series_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): the nation series as the text files they would come in, with the
+    faults such files have. By its last digit a cell is censored, blank or misspelt; files
+    of one nation hold no number, and those of another repeat each January."""
+    digit = F.col("cents") % 10
+    number = (F.col("cents").cast("double") / 100.0).cast("decimal(20,2)").cast("string")
+    cell = (
+        F.when(F.col("entity") == WORDS_ONLY, F.lit("n/a"))
+        .when(digit == 0, "<1")
+        .when(digit == 1, "")
+        .when(digit == 2, F.concat(number, F.lit("d")))
+        .when(digit == 3, F.concat(F.lit("  "), number, F.lit(" ")))
+        .otherwise(number)
+    )
+    line = F.concat(F.date_format("month", "yyyy-MM"), F.lit(","), cell)
+    twice = (F.col("entity") == REPEATING) & (F.month("month") == 1)
+    text = F.concat(
+        F.lit("id,series\nunit,x\n"),
+        F.array_join(F.array_sort(F.flatten(F.collect_list("lines"))), "\n"),
+        F.lit("\n"),
+    )
+    return (
+        shipments(spark, sf_dir)
+        .groupBy(F.col("nation").alias("entity"), "p_type", month_start(F.col("l_shipdate")).alias("month"))
+        .agg(F.sum(cents("l_extendedprice")).alias("cents"))
+        .select(
+            F.concat_ws("/", "entity", "p_type").alias("path"),
+            F.when(twice, F.array(line, line)).otherwise(F.array(line)).alias("lines"),
+        )
+        .groupBy("path")
+        .agg(F.encode(text, "UTF-8").alias("content"))
+    )
+
+
+def rate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as the text rows of a rate file: by its last digit a key spoils its month or
+    its value."""
+    digit = F.col("o_orderkey") % 10
+    price = (cents("o_totalprice").cast("double") / 100.0).cast("decimal(20,2)").cast("string")
+    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    return (
+        table(spark, sf_dir, "orders")
+        .select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
+        .join(customer, F.col("o_custkey") == F.col("c_custkey"))
+        .select(
+            F.concat(F.lit("NATION_"), F.col("c_nationkey").cast("string")).alias("REF_AREA"),
+            F.when(digit == 1, "soon")
+            .otherwise(F.date_format("o_orderdate", "yyyy-MM"))
+            .alias("TIME_PERIOD"),
+            F.when(digit == 2, F.concat(price, F.lit("f"))).otherwise(price).alias("OBS_VALUE"),
+        )
+    )

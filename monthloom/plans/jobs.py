@@ -223,15 +223,23 @@ def tune_boosting(
 
 
 def compare_models(
-    spark: SparkSession, predictions_folder: str, panel_path: str, out_folder: str
+    spark: SparkSession,
+    predictions_folder: str,
+    panel_path: str,
+    out_folder: str,
+    csv_folder: str | None = None,
+    plot_entities: Sequence[str] = (),
 ) -> dict[str, str]:
-    """Common sample, level metrics and rank of all runs; returns the written paths."""
-    rows = prediction_files.load_predictions(spark, predictions_folder)
+    """Common sample, level metrics and rank of all runs, with the chart tables of the
+    metrics and of the given entities; returns the written paths."""
+    rows = prediction_files.load_predictions(spark, predictions_folder, csv_folder)
     common = cut_lineage(compare.checked_common_sample(rows))
     keys = panel_store.level_keys(spark, panel_path)
     require_none(duplicate_keys(keys), "The panel repeats an entity and month.")
     levels = cut_lineage(compare.attach_levels(common, keys))
     compare.check_levels(levels)
+    if plot_entities:
+        compare.check_plot_series(levels, plot_entities)
     return artifacts.write_comparison(
-        levels, compare.ranking(compare.level_metrics(levels)), out_folder
+        levels, compare.ranking(compare.level_metrics(levels)), out_folder, plot_entities
     )

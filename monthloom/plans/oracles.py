@@ -85,6 +85,22 @@ named AS (
   FROM files f LEFT JOIN cat c USING (series_id))"""
 
 
+_FILES = f"""WITH {SHIPMENTS},
+sums AS (SELECT nation, p_type, month, sum(cents) AS c FROM shipments GROUP BY ALL),
+cells AS (
+  SELECT nation || '/' || p_type AS path, month,
+         CASE WHEN nation = '{inputs.WORDS_ONLY}' OR c % 10 IN (1, 2) THEN NULL WHEN c % 10 = 0 THEN 0.5
+              ELSE CAST(CAST(c AS DOUBLE) / 100 AS DECIMAL(20, 2))::DOUBLE END AS value
+  FROM sums, range(CASE WHEN nation = '{inputs.REPEATING}' AND month(month) = 1 THEN 2 ELSE 1 END))"""
+
+_RATE_ROWS = f"""WITH prates AS (
+  SELECT CASE WHEN c_nationkey % 2 = 0 THEN 'N' || lpad(CAST(c_nationkey AS VARCHAR), 2, '0') END AS entity,
+         CASE WHEN o_orderkey % 10 <> 1 THEN CAST(last_day(o_orderdate) AS DATE) END AS month,
+         CASE WHEN o_orderkey % 10 <> 2
+              THEN CAST(floor(o_totalprice * 100 + 0.5) / 100 AS DECIMAL(20, 2))::DOUBLE END AS level
+  FROM orders JOIN customer ON o_custkey = c_custkey)"""
+
+
 # ---------------------------------------------------------------------- breaks
 
 
@@ -521,6 +537,21 @@ lab AS (
 SELECT label, CASE label WHEN 'series' THEN series_id WHEN 'entity' THEN entity ELSE feature END AS code,
        count(*) AS n_files
 FROM lab GROUP BY ALL""",
+        "parsed_series": f"""{_FILES}
+SELECT path, month, value FROM cells WHERE value IS NOT NULL""",
+        "files_without_rows": f"""{_FILES}
+SELECT path, count(value) AS n_usable FROM cells GROUP BY path HAVING count(value) = 0""",
+        "duplicate_months": f"""{_FILES}
+SELECT path, strftime(month, '%Y-%m') AS month, count(*) AS n FROM cells WHERE value IS NOT NULL
+GROUP BY ALL HAVING count(*) > 1""",
+        "parsed_rates": f"""{_RATE_ROWS}
+SELECT * FROM prates""",
+        "invalid_rates": f"""{_RATE_ROWS}
+SELECT * FROM prates WHERE entity IS NULL OR month IS NULL OR level IS NULL""",
+        "duplicate_rate_keys": f"""{_RATE_ROWS}
+SELECT month, entity, count(*) AS n FROM prates GROUP BY ALL HAVING count(*) > 1""",
+        "entities_without_rates": """SELECT 'CUSTOMER_' || c_custkey AS entity FROM customer
+WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""",
         "duplicate_series": f"""{_with(_NAMED_FILES)}
 SELECT entity, feature, count(*) AS n_files, min(series_id) AS first_series_id,
        max(series_id) AS last_series_id
@@ -578,6 +609,10 @@ SELECT count(*) FILTER (WHERE k < {len(PANEL_FEATURES)}) AS rows_dropped
 FROM (SELECT entity, month, count(value) AS k FROM logs GROUP BY entity, month)""",
         "modelling_panel": f"""{chain_model}
 SELECT entity, month, {features_out}, {_DUMMY}, {_cols(['level_lag1', 'target'], 7)} FROM changes""",
+        "panel_roundtrip": f"""{chain_model}
+SELECT entity, month, {features_out}, {_DUMMY}, {_cols(['level_lag1', 'target'], 7)} FROM changes""",
+        "panel_level_keys": f"""{chain_model}
+SELECT entity, month, {_cols(['level_lag1', 'target'], 7)} FROM changes""",
         "panel_summary": f"""{chain_model}
 SELECT count(DISTINCT entity) AS n_entities, {len(PANEL_FEATURES)}::BIGINT AS n_features,
        {len(REGIONS) - 1}::BIGINT AS n_dummies, count(*) AS n_rows,
@@ -643,7 +678,9 @@ SELECT model, entity, CAST(grouping(entity) AS BIGINT) AS overall, {_METRICS}
 FROM preds GROUP BY GROUPING SETS ((model), (model, entity))""",
         "widest_forecast_spread": f"""{_CHAIN_COMMON}
 SELECT month, entity, {r('max(prediction) - min(prediction)', 7)} AS spread
-FROM common GROUP BY month, entity ORDER BY max(prediction) - min(prediction) DESC LIMIT 1""",
+FROM common GROUP BY month, entity ORDER BY max(prediction) - min(prediction) DESC, month DESC, entity DESC LIMIT 1""",
+        "predictions_roundtrip": f"""{_CHAIN_PREDS}
+SELECT {prediction_out} FROM preds""",
         "common_sample": f"""{_CHAIN_COMMON}
 SELECT {prediction_out} FROM common""",
         "sample_sizes": f"""{_CHAIN_COMMON}

@@ -41,12 +41,21 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return named or context.getCheckpointDir()
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the session's part of the shared folder."""
+    return f"{_scratch(spark)}/{name}-{uuid4().hex}"
+
+
+def _scratch(spark: SparkSession) -> str:
+    return f"{checkpoint_folder(spark).rstrip('/')}/staged/{spark.sparkContext.applicationId}"
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write `df` as Parquet to the shared folder and go on from the files: several
     consumers share one computation, later plans prune columns and know sizes, and a
     lost executor costs a read. `release` deletes what a session has staged."""
     spark = df.sparkSession
-    path = f"{checkpoint_folder(spark)}/staged/{spark.sparkContext.applicationId}/{uuid4().hex}"
+    path = scratch_path(spark, "table")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -54,9 +63,7 @@ def stage(df: DataFrame) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Delete the tables this session has staged; call it when their results are written."""
     context = spark.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(
-        f"{checkpoint_folder(spark)}/staged/{context.applicationId}"
-    )
+    path = context._jvm.org.apache.hadoop.fs.Path(_scratch(spark))
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 

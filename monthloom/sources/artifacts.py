@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from monthloom.operators.compare import prediction_audit
+from monthloom.operators.compare import plot_metrics, plot_series, prediction_audit
 
 
 def write_importance(table: DataFrame, folder: str, prefix: str) -> str:
@@ -43,11 +45,17 @@ def read_tuning(spark: SparkSession, path: str, report_schema) -> DataFrame:
     return spark.read.schema(report_schema).json(path)
 
 
-def write_comparison(levels: DataFrame, ranked: DataFrame, folder: str) -> dict[str, str]:
-    """Comparison table and prediction audit, the latter in rank order."""
+def write_comparison(
+    levels: DataFrame, ranked: DataFrame, folder: str, plot_entities: Sequence[str] = ()
+) -> dict[str, str]:
+    """Comparison table, prediction audit in rank order, and the tables behind the charts."""
     base = folder.rstrip("/")
-    paths = {"comparison": f"{base}/comparison.parquet", "audit": f"{base}/audit.parquet"}
+    names = ["comparison", "audit", "plot_metrics", *(["plot_series"] if plot_entities else [])]
+    paths = {name: f"{base}/{name}.parquet" for name in names}
     ranked.write.mode("overwrite").parquet(paths["comparison"])
     table = ranked.sparkSession.read.parquet(paths["comparison"])
     prediction_audit(levels, table).write.mode("overwrite").parquet(paths["audit"])
+    plot_metrics(table).write.mode("overwrite").parquet(paths["plot_metrics"])
+    if plot_entities:
+        plot_series(levels, plot_entities).write.mode("overwrite").parquet(paths["plot_series"])
     return paths

@@ -1,4 +1,9 @@
-"""The modelling panel at rest: Parquet by entity, sorted by month inside."""
+"""The modelling panel at rest: Parquet in ranges of months and entities.
+
+Keys are columns of the files, never folder names, so their types are those written: an
+entity '01' stays text and apart from '1'. Readers that want some months skip files and row
+groups by their statistics.
+"""
 
 from __future__ import annotations
 
@@ -22,16 +27,14 @@ _KEYS = ("month", "entity")
 
 
 def write_panel(panel: DataFrame, path: str, csv: bool = False) -> None:
-    """Rows of an entity go together; adaptive execution splits a large entity over
-    several writing tasks and merges small ones."""
+    """Sorted files; their number follows the size, not the number of entities."""
     if csv:
         panel.orderBy(*_KEYS).write.mode("overwrite").option("header", "true").csv(path)
         return
     (
-        panel.hint("rebalance", "entity")
-        .sortWithinPartitions("entity", "month")
+        panel.repartitionByRange(*_KEYS)
+        .sortWithinPartitions(*_KEYS)
         .write.mode("overwrite")
-        .partitionBy("entity")
         .parquet(path)
     )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from monthloom.operators.checks import duplicate_keys, not_finite, require_none, require_rows
+from monthloom.operators.checks import DataCheckError, duplicate_keys, not_finite, require_none, require_rows
 from monthloom.operators.evaluate import metrics_by_entity, metrics_overall, with_errors
 from monthloom.session import cut_lineage
 
@@ -41,17 +41,33 @@ def read_predictions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_prediction_csv(spark: SparkSession, folder: str) -> DataFrame:
-    """Every `*_predictions.csv` at any depth below the folder. A header that departs
-    from the layout, or a cell that does not parse, is an error."""
-    return _compared(
-        spark.read.schema(SCHEMA)
-        .option("header", "true")
-        .option("enforceSchema", "false")
-        .option("mode", "FAILFAST")
+    """Every `*_predictions.csv` at any depth below the folder; the five compared columns
+    are taken by header name, whatever else a file holds and in whatever order. A file
+    without one of them, or a cell that does not parse, is an error. Files are one per
+    model run; only their headers are looked at one by one."""
+    listing = (
+        spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*_predictions.csv")
-        .csv(folder)
+        .load(folder)
     )
+    paths = sorted(r.path for r in listing.select("path").collect())
+    kinds = dict(part.split(" ") for part in SCHEMA.split(", "))
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for path in paths:
+        header = tuple(spark.read.option("header", "true").csv(path).columns)
+        by_header.setdefault(header, []).append(path)
+    rows = spark.createDataFrame([], SCHEMA + ", source_file string").select(*COMPARED, "source_file")
+    for header, same in sorted(by_header.items()):
+        missing = sorted(set(COMPARED) - set(header))
+        if missing:
+            raise DataCheckError(f"Prediction files lack the columns {missing}: {same[:10]}.")
+        schema = ", ".join(f"`{c}` {kinds[c] if c in COMPARED else 'string'}" for c in header)
+        read = (
+            spark.read.schema(schema).option("header", "true").option("mode", "FAILFAST").csv(same)
+        )
+        rows = rows.unionByName(_compared(read))
+    return rows
 
 
 def checked_predictions(rows: DataFrame) -> DataFrame:
@@ -70,5 +86,11 @@ def checked_predictions(rows: DataFrame) -> DataFrame:
     return rows
 
 
-def load_predictions(spark: SparkSession, folder: str) -> DataFrame:
-    return checked_predictions(read_predictions(spark, folder))
+def load_predictions(
+    spark: SparkSession, folder: str, csv_folder: str | None = None
+) -> DataFrame:
+    """Rows of the jobs' own files and, if a folder is given, of CSV files from elsewhere."""
+    rows = read_predictions(spark, folder)
+    if csv_folder is not None:
+        rows = rows.unionByName(read_prediction_csv(spark, csv_folder))
+    return checked_predictions(rows)

@@ -110,39 +110,50 @@ def list_series_files(
     excluded_entities: Sequence[str] = params.EXCLUDED_ENTITIES,
 ) -> DataFrame:
     """(path, series_id, entity, label) of every monthly file; no content is read."""
-    return _with_key(_scan(spark, folder), excluded_series, excluded_entities).select(
-        F.col("_metadata.file_path").alias("path"), "series_id", "entity", "label"
-    )
+    return _listed(keyed_files(spark, folder, excluded_series, excluded_entities))
 
 
-def parse_lines(
+def keyed_files(
     spark: SparkSession,
     folder: str,
     excluded_series: Sequence[str] = params.EXCLUDED_SERIES,
     excluded_entities: Sequence[str] = params.EXCLUDED_ENTITIES,
 ) -> DataFrame:
-    """One row per data line of the retained files; bad cells are NULL. A file whose
-    every line is missing keeps one row, so that it can be reported."""
-    retained = _with_key(_scan(spark, folder), excluded_series, excluded_entities).filter(
-        F.col("label").isNull()
+    """The one listing of a folder that keys, checks and contents are taken from."""
+    return _with_key(_scan(spark, folder), excluded_series, excluded_entities)
+
+
+def _listed(keyed: DataFrame) -> DataFrame:
+    return keyed.select(
+        F.col("_metadata.file_path").alias("path"), "series_id", "entity", "label"
     )
-    lines = retained.select(
-        F.col("_metadata.file_path").alias("path"),
-        "series_id",
-        "entity",
+
+
+def parse_files(files: DataFrame, keep: Sequence[str] = ("path",)) -> DataFrame:
+    """From rows with `content` (bytes of a series file): one row per data line with the
+    columns in `keep`, `month` and `value`; bad cells are NULL. A file whose every line is
+    missing keeps one row, so that it can be reported."""
+    lines = files.select(
+        *keep,
         F.posexplode(F.split(decode_text(F.col("content")), r"\r\n|\r|\n")).alias("pos", "line"),
     )
     cells = F.from_csv(F.col("line"), F.lit("m string, v string"))
     body = F.col("pos") >= PREAMBLE_LINES
     return lines.withColumn("c", F.when(body, cells)).select(
-        "path",
-        "series_id",
-        "entity",
+        *keep,
         parse_month(F.col("c.m")).alias("month"),
         parse_series_value(F.col("c.v")).alias("value"),
     )
 
 
+def parse_lines(keyed: DataFrame) -> DataFrame:
+    """Data lines of the retained files of a listing with keys."""
+    retained = keyed.filter(F.col("label").isNull()).select(
+        F.col("_metadata.file_path").alias("path"), "series_id", "entity", "content"
+    )
+    return parse_files(retained, ["path", "series_id", "entity"])
+
+
 def usable(lines: DataFrame) -> DataFrame:
     return lines.dropna(subset=["month", "value"])
 
@@ -174,8 +185,9 @@ def read_series(
     check: bool = True,
 ) -> DataFrame:
     """Every retained file as rows (entity, feature, kind, month, value)."""
+    keyed = keyed_files(spark, folder, excluded_series, excluded_entities)
     if check:
-        files = list_series_files(spark, folder, excluded_series, excluded_entities)
+        files = _listed(keyed)
         require_rows(files, f"No monthly series files under {folder}.")
         retained = files.filter(F.col("label").isNull())
         require_rows(retained, "No series files remain after the exclusions.")
@@ -184,7 +196,7 @@ def read_series(
             "More than one file maps to the same entity and feature.",
             examples=10,
         )
-    lines = parse_lines(spark, folder, excluded_series, excluded_entities)
+    lines = parse_lines(keyed)
     if check:
         # two checks and the caller read the lines; the files are opened once
         lines = cut_lineage(lines)

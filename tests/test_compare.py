@@ -126,11 +126,15 @@ def test_prediction_csv(spark, tmp_path):
     (tmp_path / "a_predictions.csv").write_text(head + line)
     (tmp_path / "sub" / "b_predictions.csv").write_text(head + line.replace(",m,", ",k,"))
     (tmp_path / "other.csv").write_text("junk\n")
+    (tmp_path / "d_predictions.csv").write_text("note,prediction,actual,model,entity,month\nx,1,2,o,A,2020-01-31\n")
     rows = prediction_files.checked_predictions(prediction_files.read_prediction_csv(spark, str(tmp_path)))
-    assert sorted(r.model for r in rows.collect()) == ["k", "m"]
+    assert sorted((r.model, r.prediction) for r in rows.collect()) == [("k", 0.5), ("m", 0.5), ("o", 1.0)]
     (tmp_path / "c_predictions.csv").write_text(head + line.replace("2020-01-31", "soon", 1))
     with pytest.raises(Exception, match="MALFORMED|soon"):
         prediction_files.read_prediction_csv(spark, str(tmp_path)).collect()
+    (tmp_path / "c_predictions.csv").write_text("month,entity,model,actual\n")
+    with pytest.raises(DataCheckError, match="lack the columns.*prediction"):
+        prediction_files.read_prediction_csv(spark, str(tmp_path))
 
 
 def test_comparison_tables(spark, tmp_path):

@@ -67,7 +67,7 @@ def test_reading(spark, folder):
 
 def test_excluded_files_are_not_opened(spark, folder):
     """The name filter prunes the listing, so only retained files are scanned."""
-    lines = sf.parse_lines(spark, str(folder))
+    lines = sf.parse_lines(sf.keyed_files(spark, str(folder)))
     lines.collect()
     scan = lines._jdf.queryExecution().executedPlan().collectLeaves().head()
     assert scan.metrics().apply("numFiles").value() == 4
