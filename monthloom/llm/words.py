@@ -11,6 +11,8 @@ Hashes have 64 bits. Two different words (or shingles) are taken as one with pro
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,8 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-CHUNK_BYTES = 2_000_000
-BATCH_ROWS = 512
+CHUNK_BYTES = 1_000_000
+BATCH_ROWS = 256
 
 _RANDOM = np.random.default_rng(20)
 _BYTE_CODE = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -47,8 +49,24 @@ def limit_batches(spark: SparkSession) -> None:
 
 
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
+    """`mapInArrow` in small batches. A worker gives freed memory back when a task ends:
+    idle workers stay alive beside the next stages' JVM work."""
     limit_batches(df.sparkSession)
-    return df.mapInArrow(function, schema)
+
+    def task(batches):
+        yield from function(batches)
+        give_back()
+
+    return df.mapInArrow(task, schema)
+
+
+def give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def _powers(base: int, count: int) -> np.ndarray:
