@@ -38,7 +38,7 @@ VOCABULARY = "word_bpe_49k.json"
 #: Words a Python worker remembers; beyond it forgets all of them.
 REMEMBERED = 3_000_000
 #: Documents of one length that are ranked in one group.
-GROUP = 20_000
+GROUP = 2_000
 
 _SEPARATOR = "<|endoftext|>"
 _TAIL = np.zeros(256, dtype=bool)
