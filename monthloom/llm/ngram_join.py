@@ -20,8 +20,9 @@ members of large groups of near copies, stay in frequent nodes.
 
 *Lower level.* In a node the first document is paired with all others: as many pairs as
 documents. If the links found so far join the node's documents, it is done. Otherwise those
-outside the largest part are searched in an R-tree over the count vectors of the rest, block
-by block, with the bound above at inner nodes and leaves. Surviving pairs are verified on
+outside the largest part are paired with a few of its documents. What is still apart is
+searched in an R-tree over the count vectors of the rest, block by block, with the bound
+above at inner nodes and leaves. Surviving pairs are verified on
 the sets themselves. Pairs inside a found group are not verified again, so a group of copies
 costs what it holds, not its square.
 
@@ -49,7 +50,8 @@ FAMILY_RATIO = 1.5
 #: Slices in proportion to the least number that is lossless.
 SPARE = 1.35
 FREQUENT = 64
-BLOCK = 256
+BLOCK = 512
+PIVOTS = 6
 FANOUT = 16
 _VALUE_BITS = np.uint64(54)
 _VALUE_MASK = np.uint64(2**54 - 1)
@@ -411,8 +413,9 @@ class JaccardJoin:
         )
         return stage(words.map_arrow(both, _verified(self.num, self.den), "u long, v long").distinct())
 
-    def open_pairs(self, members: DataFrame, parts: DataFrame) -> DataFrame:
-        """Candidate pairs left in nodes whose points are in several parts, by R-tree."""
+    def open_nodes(self, members: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Members with their part, and the nodes whose points are in several parts: each
+        with its largest part. Nodes with the same points are given once."""
         labelled = members.join(parts.toDF("point", "part"), "point", "left").select(
             "node", "point", F.coalesce("part", "point").alias("part")
         )
@@ -421,7 +424,6 @@ class JaccardJoin:
             F.bit_xor(F.xxhash64("point")).alias("x"),
             F.sum(F.hash("point").cast("long")).alias("y"),
         )
-        # Nodes with the same points are searched once.
         nodes = (
             by_part.groupBy("node")
             .agg(
@@ -442,6 +444,31 @@ class JaccardJoin:
                 F.ceil((F.col("n") - F.col("s.most")) / BLOCK).alias("searched"),
             )
         )
+        return stage(labelled), stage(nodes)
+
+    def pivot_pairs(self, labelled: DataFrame, nodes: DataFrame) -> DataFrame:
+        """Each point outside the largest part of its node with a few points of that part.
+        They settle nearly all of a large group of near copies; the tree does the rest."""
+        rows = labelled.join(nodes, "node")
+        drawn = [
+            F.min_by("point", F.xxhash64("point", F.lit(seed))).alias(f"p{seed}") for seed in range(PIVOTS)
+        ]
+        pivots = (
+            rows.where("part = main")
+            .groupBy("node")
+            .agg(*drawn)
+            .select("node", F.array_distinct(F.array(*(f"p{k}" for k in range(PIVOTS)))).alias("pivots"))
+        )
+        return (
+            rows.where("part <> main")
+            .join(pivots, "node")
+            .select("point", F.explode("pivots").alias("pivot"))
+            .select(F.least("point", "pivot").alias("u"), F.greatest("point", "pivot").alias("v"))
+            .distinct()
+        )
+
+    def tree_pairs(self, labelled: DataFrame, nodes: DataFrame) -> DataFrame:
+        """All candidate pairs left in open nodes, by R-tree and block by block."""
         rows = labelled.join(nodes, "node").join(self.unique.select("point", "counts"), "point")
         blocks = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
         place = lambda n, seed: F.pmod(F.xxhash64("point", F.lit(seed)), F.col(n))
@@ -469,14 +496,13 @@ class JaccardJoin:
             F.least("point", "first").alias("u"), F.greatest("point", "first").alias("v")
         ).distinct()
         links = self.verify(pairs)
-        parts = stage(components(links))
-        more = stage(self.open_pairs(members, parts))
-        if more.isEmpty():
-            return parts
-        further = self.verify(more)
-        if further.isEmpty():
-            return parts
-        return stage(components(links.unionByName(further)))
+        for candidates in (self.pivot_pairs, self.tree_pairs):
+            parts = stage(components(links))
+            labelled, nodes = self.open_nodes(members, parts)
+            if nodes.isEmpty():
+                return parts
+            links = links.unionByName(self.verify(stage(candidates(labelled, nodes))))
+        return stage(components(links))
 
 
 def jaccard_groups(
