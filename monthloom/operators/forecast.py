@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from monthloom import params
-from monthloom.operators.splits import test_rows, training_rows
+from monthloom.operators.splits import test_rows
 from monthloom.operators.target import LEVEL_LAG, TARGET
 from monthloom.session import cut_lineage
 
@@ -37,11 +37,53 @@ def random_walk(indexed: DataFrame, splits: DataFrame, target: str = TARGET) ->
     return prediction_rows(test, RANDOM_WALK, F.col(target), F.lit(0.0))
 
 
+def rolling_moments(
+    rows: DataFrame, tests: DataFrame, window: int, by: Sequence[str] = ()
+) -> DataFrame:
+    """Moments of the `window` months before each test month, per entity (and `by`):
+    (test_idx, entity, mean_x, mean_y, sxx, sxy), only where the window has rows.
+
+    `rows` has (month_idx, entity, x, y). Every entity gets one row more per test month, which
+    sums its frame; a partition is twice the calendar at most. No training row is copied, and
+    an entity counts in a month it has no row in."""
+    months = tests.agg(F.array_sort(F.collect_set("test_idx"))).scalar()
+    wanted = (
+        rows.select(*by, "entity")
+        .distinct()
+        .select(
+            *by,
+            "entity",
+            F.explode(months).alias("month_idx"),
+            F.lit(None).cast("double").alias("x"),
+            F.lit(None).cast("double").alias("y"),
+            F.lit(True).alias("asked"),
+        )
+    )
+    held = rows.select(*by, "entity", "month_idx", "x", "y", F.lit(False).alias("asked"))
+    frame = Window.partitionBy(*by, "entity").orderBy("month_idx").rangeBetween(-window, -1)
+    return (
+        held.unionByName(wanted)
+        .select(
+            *by,
+            "entity",
+            F.col("month_idx").alias("test_idx"),
+            "asked",
+            F.avg("x").over(frame).alias("mean_x"),
+            F.avg("y").over(frame).alias("mean_y"),
+            F.regr_sxx("y", "x").over(frame).alias("sxx"),
+            F.regr_sxy("y", "x").over(frame).alias("sxy"),
+        )
+        .filter(F.col("asked") & F.col("mean_x").isNotNull())
+        .drop("asked")
+    )
+
+
 def fixed_effect_forecasts(
-    train: DataFrame, test: DataFrame, keys: Sequence[str], reference: str
+    moments: DataFrame, test: DataFrame, keys: Sequence[str], reference: str
 ) -> DataFrame:
     """Least squares of y on x, entity dummies and an intercept, per `keys`, applied to
-    the test rows; adds `slope`, `prediction` and `rank_deficient`.
+    the test rows; adds `slope`, `prediction` and `rank_deficient`. `moments` are those of
+    the training rows per `keys` and entity.
 
     With a dummy per entity the fit separates: the slope comes from the within-entity
     moments and the forecast is mean(y) + slope * (x - mean(x)) of the row's entity. The
@@ -52,16 +94,7 @@ def fixed_effect_forecasts(
       - when x does not vary within any entity, the slope is shared between x and the
         dummies.
     """
-    # two consumers need different columns of the moments, and pruned plans would expand
-    # the training rows once for each; the written moments are a window's length smaller
-    moments = cut_lineage(
-        train.groupBy(*keys, "entity").agg(
-            F.avg("x").alias("mean_x"),
-            F.avg("y").alias("mean_y"),
-            F.regr_sxx("y", "x").alias("sxx"),
-            F.regr_sxy("y", "x").alias("sxy"),
-        )
-    )
+    moments = cut_lineage(moments)  # read twice
     is_reference = F.col("entity") == reference
     mx, my = F.col("mean_x"), F.col("mean_y")
     pooled = (
@@ -118,8 +151,8 @@ def pooled_ar_fits(
     narrow = indexed.select(
         "month_idx", "month", "entity", F.col(regressor).alias("x"), F.col(target).alias("y")
     ).dropna(subset=["x", "y"])
-    train = training_rows(narrow, splits, window).select("test_idx", "entity", "x", "y")
-    return fixed_effect_forecasts(train, test_rows(narrow, splits), ["test_idx"], reference)
+    moments = rolling_moments(narrow, splits, window)
+    return fixed_effect_forecasts(moments, test_rows(narrow, splits), ["test_idx"], reference)
 
 
 def pooled_ar(

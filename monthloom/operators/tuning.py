@@ -7,6 +7,7 @@ import statistics
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from monthloom.functions.calendar import day_text, month_end, month_text, next_m
 from monthloom.functions.numeric import ratio
 from monthloom.operators.boosting import BoostingSettings, RollingData, fit_split, predict_split
 from monthloom.operators.checks import DataCheckError
-from monthloom.operators.forecast import fixed_effect_forecasts
+from monthloom.operators.forecast import fixed_effect_forecasts, rolling_moments
 from monthloom.operators.target import TARGET
 
 HEX_DIGITS = 13
@@ -269,48 +270,55 @@ def ar_folds(
     """(study, trial, step, n, sse) of autoregression trials, all in one plan.
 
     `trials` has (study, trial, window_months, target_lags), a search budget's worth of
-    rows; `regressors[k]` is the column that a trial with `target_lags = k` uses. The
-    panel is unpivoted to one row per regressor, and each row then serves only the
-    validation months its trial's window reaches.
+    rows; `regressors[k]` is the column that a trial with `target_lags = k` uses. Every
+    pair of window and lag is fitted once, however many trials share it: the panel is
+    unpivoted to one row per regressor and summed over one frame per window. Trials meet
+    the small table of pairs and months at the end.
     """
-    validation = design.filter("role = 'validation'")
-    bounds = validation.agg(
-        F.struct(F.min("month_idx").alias("low"), F.max("month_idx").alias("high")).alias("b")
-    ).scalar()
+    validation = design.filter("role = 'validation'").select(F.col("month_idx").alias("test_idx"))
+    first = validation.agg(F.min("test_idx")).scalar()
     pairs = F.array(
         *[
             F.struct(F.lit(k).alias("target_lags"), F.col(name).alias("x"))
             for k, name in enumerate(regressors)
         ]
     )
+    used = trials.select("target_lags").distinct()
     narrow = (
-        indexed.select(
-            "month_idx", "entity", F.col(target).alias("y"), F.inline(pairs)
-        )
+        indexed.select("month_idx", "entity", F.col(target).alias("y"), F.inline(pairs))
         .dropna(subset=["x", "y"])
-        .join(F.broadcast(trials), "target_lags")
+        .join(F.broadcast(used), "target_lags", "left_semi")
     )
-    first = F.greatest(F.col("month_idx") + 1, bounds["low"])
-    last = F.least(F.col("month_idx") + F.col("window_months"), bounds["high"])
-    train = narrow.filter(first <= last).select(
-        "study", "trial", "entity", "x", "y", F.explode(F.sequence(first, last)).alias("test_idx")
+    test = narrow.withColumnRenamed("month_idx", "test_idx").join(
+        F.broadcast(validation), "test_idx"
     )
-    test = narrow.filter(F.col("month_idx").between(bounds["low"], bounds["high"])).select(
-        "study", "trial", "entity", "x", "y", F.col("month_idx").alias("test_idx")
+    windows = sorted(r.window_months for r in trials.select("window_months").distinct().collect())
+    moments = reduce(
+        DataFrame.unionByName,
+        [
+            rolling_moments(narrow, validation, w, ["target_lags"]).withColumn(
+                "window_months", F.lit(w)
+            )
+            for w in windows
+        ],
     )
-    fits = fixed_effect_forecasts(train, test, ["study", "trial", "test_idx"], reference)
+    sizes = F.explode(F.array(*[F.lit(w) for w in windows])).alias("window_months")
+    keys = ["window_months", "target_lags", "test_idx"]
+    fits = fixed_effect_forecasts(moments, test.select("*", sizes), keys, reference)
     error = F.col("y") - F.col("prediction")
-    return (
-        fits.groupBy("study", "trial", "test_idx")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(error * error).alias("sse"))
-        .select(
-            "study",
-            "trial",
-            (F.col("test_idx") - bounds["low"]).cast("int").alias("step"),
-            "n",
-            "sse",
-        )
+    folds = fits.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(error * error).alias("sse")
     )
+    return folds.join(
+        F.broadcast(trials.select("study", "trial", "window_months", "target_lags")),
+        ["window_months", "target_lags"],
+    ).select("study", "trial", (F.col("test_idx") - first).cast("int").alias("step"), "n", "sse")
+
+
+def complete_folds(folds: DataFrame, trials: DataFrame, design: DataFrame) -> DataFrame:
+    """Folds of the trials that have them all: a trial scored on fewer months may not win."""
+    failed = incomplete_trials(folds, trials, design).select("study", "trial")
+    return folds.join(failed, ["study", "trial"], "left_anti")
 
 
 def incomplete_trials(folds: DataFrame, trials: DataFrame, design: DataFrame) -> DataFrame:

@@ -639,13 +639,11 @@ def _grid(spark: SparkSession) -> DataFrame:
 def _folds(changes: DataFrame) -> DataFrame:
     indexed, _, _ = _indexed(lags.add_target_lags(changes, max(inputs.LAGS)))
     regressors = [target.LEVEL_LAG, *[lags.lag_name(k) for k in inputs.LAGS[1:]]]
-    return tuning.ar_folds(
-        indexed,
-        _design(changes),
-        _grid(changes.sparkSession),
-        regressors,
-        inputs.REFERENCE_NATION,
+    trials, design = _grid(changes.sparkSession), _design(changes)
+    folds = cut_lineage(
+        tuning.ar_folds(indexed, design, trials, regressors, inputs.REFERENCE_NATION)
     )
+    return tuning.complete_folds(folds, trials, design)
 
 
 def _states(changes: DataFrame) -> DataFrame:

@@ -721,7 +721,7 @@ FROM changes WHERE month IN (SELECT month FROM design WHERE role = 'validation')
 SELECT CAST(0 AS BIGINT) AS study, CAST(trial AS BIGINT) AS trial, step, n, {r('sse', 7)} AS sse,
        {r('running_rmse', 8)} AS running_rmse FROM curves""",
         "monthly_rmse": f"""{_FOLDS}
-SELECT CAST(trial AS BIGINT) AS trial, step, {r('sqrt(sse / n)', 8)} AS rmse FROM folds""",
+SELECT CAST(trial AS BIGINT) AS trial, step, {r(r('sqrt(sse / n)', 10), 8)} AS rmse FROM folds""",
         "median_stopping": f"""{_CHAIN_STOP}
 SELECT study, trial, state, months_evaluated, {r('value', 8)} AS value FROM states""",
         "trial_counts": f"""{_CHAIN_STOP}

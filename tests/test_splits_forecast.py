@@ -104,13 +104,12 @@ def dummy_ols(train, test, entities, reference):
 
 
 def fixed(spark, train, test, reference):
-    schema = "k int, entity string, x double, y double"
-    out = forecast.fixed_effect_forecasts(
-        spark.createDataFrame([(0, *r) for r in train], schema).repartition(3),
-        spark.createDataFrame([(0, *r) for r in test], schema),
-        ["k"],
-        reference,
-    )
+    """One test month, with all training rows in the month before it."""
+    schema = "test_idx int, entity string, x double, y double"
+    rows = spark.createDataFrame([(0, *r) for r in train], schema).withColumnRenamed("test_idx", "month_idx")
+    asked = spark.createDataFrame([(1, *r) for r in test], schema)
+    moments = forecast.rolling_moments(rows.repartition(3), asked, 2)
+    out = forecast.fixed_effect_forecasts(moments, asked, ["test_idx"], reference)
     return {(r.entity, r.x): (r.prediction, r.rank_deficient) for r in out.collect()}
 
 
@@ -179,3 +178,24 @@ def test_rolling_autoregression_equals_refits(spark):
     walk = forecast.random_walk(indexed, windows)
     assert walk.columns == list(forecast.PREDICTION_COLUMNS)
     assert {r.prediction for r in walk.collect()} == {0.0} and walk.count() == len(got)
+
+
+def test_moments_are_those_of_each_window(spark):
+    rng = np.random.default_rng(5)
+    rows = [
+        (e, i, float(rng.normal()), float(rng.normal()))
+        for e in "AB"
+        for i in range(14)
+        if rng.random() < 0.7 and not (e == "B" and i > 9)
+    ]
+    frame = spark.createDataFrame(rows, "entity string, month_idx int, x double, y double")
+    tests = spark.createDataFrame([(t,) for t in range(5, 14)], "test_idx int")
+    found = {(r.entity, r.test_idx): r for r in forecast.rolling_moments(frame, tests, 4).collect()}
+    for e in "AB":
+        for t in range(5, 14):
+            inside = [(x, y) for f, i, x, y in rows if f == e and t - 4 <= i <= t - 1]
+            assert ((e, t) in found) == bool(inside)
+            if inside:
+                x, y = np.array(inside).T
+                assert found[e, t].mean_x == pytest.approx(x.mean())
+                assert found[e, t].sxy == pytest.approx(((x - x.mean()) * (y - y.mean())).sum(), abs=1e-9)

@@ -1,3 +1,4 @@
+import datetime as dt
 import math
 import random
 import statistics
@@ -5,7 +6,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from monthloom.operators import splits, tuning
+from monthloom.operators import boosting, splits, tuning
 from monthloom.operators.boosting import BoostingSettings, leafwise_defaults
 
 
@@ -140,3 +141,38 @@ def test_boosting_settings():
     assert leafwise_defaults(num_leaves=5, max_depth=5).depth == 3
     assert leafwise_defaults(num_leaves=3, max_depth=1).depth == 1
     assert BoostingSettings(max_depth=3).depth == 3
+
+
+def test_tree_fits_can_be_repeated(spark):
+    """Two stagings, with other shuffle partitions, give equal forecasts."""
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    rows = [
+        (e, dt.date(2020 + m // 12, m % 12 + 1, 28), float(rng.normal()), float(rng.normal()), float(rng.normal()))
+        for e in "ABCDEFGH"
+        for m in range(14)
+    ]
+    frame = spark.createDataFrame(rows, "entity string, month date, x double, z double, target double")
+    settings = BoostingSettings(n_estimators=4, learning_rate=0.3, min_rows=2)
+    results = []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in ("4", "7"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            data = boosting.prepare(frame.repartition(int(parts)), ["x", "z"])
+            out = boosting.rolling_boosting(data, 12, settings).predictions
+            results.append(sorted((r.entity, r.month, r.prediction) for r in out.collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert results[0] == results[1] and len(results[0]) == 16
+
+
+def test_a_trial_that_lacks_a_fold_is_left_out(spark):
+    design = spark.createDataFrame([(i, "validation") for i in (5, 6)], "month_idx int, role string")
+    trials = spark.createDataFrame([(0, 1), (0, 2), (0, 3)], "study int, trial int")
+    folds = spark.createDataFrame(
+        [(0, 1, 0, 1, 2.0), (0, 1, 1, 1, 2.0), (0, 2, 0, 1, 0.1)], "study int, trial int, step int, n bigint, sse double"
+    )
+    assert {r.trial for r in tuning.incomplete_trials(folds, trials, design).collect()} == {2, 3}
+    assert {r.trial for r in tuning.complete_folds(folds, trials, design).collect()} == {1}
