@@ -3,7 +3,7 @@
 One entity may hold a large share of all series, so series are never shuffled by
 entity alone. A per-entity table of checked size is broadcast. Beyond that, series are
 spread over salts by a hash of the feature, and the per-entity rows are repeated per
-salt: an entity's series then meet their row in many tasks.
+salt: an entity's series then meet their row in as many tasks as its largest number needs.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BROADCAST_BYTES = 64 * 1024 * 1024
-SALTS = 32
+SERIES_PER_SALT = 2_000
 
 
 def table_bytes(df: DataFrame) -> int:
@@ -31,6 +31,8 @@ def join_by_entity(series: DataFrame, per_entity: DataFrame, how: str = "inner")
     """`series` (with `feature`) joined to a written table with one row per entity."""
     if table_bytes(per_entity) <= BROADCAST_BYTES:
         return series.join(F.broadcast(per_entity), "entity", how)
-    salted = series.withColumn("_salt", F.pmod(F.xxhash64("feature"), F.lit(SALTS)).cast("int"))
-    repeated = per_entity.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    most = series.groupBy("entity").count().agg(F.max("count").alias("n")).first().n or 1
+    salts = -(-most // SERIES_PER_SALT)
+    salted = series.withColumn("_salt", F.pmod(F.xxhash64("feature"), F.lit(salts)).cast("int"))
+    repeated = per_entity.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(repeated, ["entity", "_salt"], how).drop("_salt")

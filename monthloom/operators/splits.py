@@ -79,8 +79,12 @@ def split_rows(
     clean = indexed.dropna(subset=needed)
     train = training_rows(clean, splits, window).drop("month_idx")
     test = test_rows(clean, splits).drop("train_start", "train_end")
-    both = train.select("test_idx").distinct().join(
-        test.select("test_idx").distinct(), "test_idx"
+    months = clean.select("month_idx").distinct()  # decides which splits have both sides
+    both = (
+        training_rows(months, splits, window)
+        .select("test_idx")
+        .distinct()
+        .join(months.withColumnRenamed("month_idx", "test_idx"), "test_idx")
     )
     rows = train.withColumn("role", F.lit("train")).unionByName(
         test.withColumn("role", F.lit("test"))

@@ -472,6 +472,7 @@ def tuning_report(
             F.col("period.tuning_end").alias("tuning_end"),
             F.col("period.n_validation").alias("n_validation"),
             F.col("period.test_start").alias("recommended_test_start"),
+            F.col("period.holdout_start").alias("holdout_start"),
             F.col("period.holdout_end").alias("holdout_end"),
             F.col("period.n_holdout").alias("n_holdout"),
             F.col("counts.total").alias("n_trials"),

@@ -62,7 +62,7 @@ def series_label_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = series_files.exclusion_label(
         F.col("series_id"), F.col("entity"), inputs.EXCLUDED_SERIES, inputs.EXCLUDED_ENTITIES
     )
-    labelled = inputs.files(spark, sf_dir).withColumn("label", label)
+    labelled = cut_lineage(inputs.files(spark, sf_dir).withColumn("label", label))
     kept = series_files.with_names(
         labelled.filter(F.col("label").isNull()), inputs.catalogue(spark, sf_dir)
     )

@@ -219,7 +219,16 @@ def tune_boosting(
     report = tuning.tuning_report(
         run, trials, states, design, tuning.zero_change_rmse(rows, design), rows, seed, mode
     )
-    return artifacts.write_tuning(report, trials, states, out_folder, run)
+    record = {
+        "n_base_features": len(base),
+        "window_options": list(windows),
+        "lag_options": list(lag_options),
+        "feasible_windows": splits.feasible_windows(design, list(windows)),
+        "startup_trials": startup_trials,
+        "warmup_months": warmup_months,
+        "boundary": mode,
+    }
+    return artifacts.write_tuning(report, trials, states, out_folder, run, folds, record)
 
 
 def compare_models(

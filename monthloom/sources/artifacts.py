@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from monthloom.operators.compare import plot_metrics, plot_series, prediction_audit
+from monthloom.operators.tuning import monthly_rmse
 
 
 def write_importance(table: DataFrame, folder: str, prefix: str) -> str:
@@ -28,15 +29,33 @@ def read_last_model(path: str) -> PipelineModel:
 
 
 def write_tuning(
-    report: DataFrame, trials: DataFrame, states: DataFrame, folder: str, prefix: str
+    report: DataFrame,
+    trials: DataFrame,
+    states: DataFrame,
+    folder: str,
+    prefix: str,
+    folds: DataFrame | None = None,
+    record: dict | None = None,
 ) -> dict[str, str]:
-    """The nested one-row result as JSON and the trial history as Parquet."""
+    """The nested one-row result as JSON and the trial history as Parquet. With `folds` the
+    history has the predictions and the monthly errors of every trial, and the result the
+    predictions of the best one; `record` adds the options of the search."""
     base = f"{folder.rstrip('/')}/{prefix}"
     paths = {"result": f"{base}_best.json", "trials": f"{base}_trials.parquet"}
+    history = trials.join(states, ["study", "trial"], "left")
+    if folds is not None:
+        sizes = folds.groupBy("study", "trial").agg(F.sum("n").alias("n_predictions"))
+        history = history.join(sizes, ["study", "trial"], "left").join(
+            monthly_rmse(folds), ["study", "trial"], "left"
+        )
+        best = sizes.select(F.col("trial").alias("best_trial"), "n_predictions")
+        report = report.join(best, "best_trial", "left")
+    for name, value in (record or {}).items():
+        many = isinstance(value, (list, tuple))
+        report = report.withColumn(name, F.array(*map(F.lit, value)) if many else F.lit(value))
     report.withColumn("created_utc", F.current_timestamp()).write.mode("overwrite").json(
         paths["result"]
     )
-    history = trials.join(states, ["study", "trial"], "left")
     history.write.mode("overwrite").parquet(paths["trials"])
     return paths
 
