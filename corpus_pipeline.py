@@ -9,8 +9,9 @@ read again before the next stage. All but the last return the columns of `docume
 4. `decontamination` drops documents that share a passage with the benchmark.
 5. `packing` cuts and packs the tokens of what is left into sequences.
 
-Documents are told apart by row within a stage, so repeated ids are safe. A document with a
-null text has no language and goes in the first stage.
+Documents are told apart by id and text, so repeated ids are safe; of rows that agree in both,
+one is left after the third stage. A document with a null text has no language and goes in the
+first stage.
 """
 
 from __future__ import annotations
@@ -24,11 +25,19 @@ from monthloom.session import stage
 LEAST_SCORE = 0.5
 SHINGLE, SIMILAR = 5, (80, 100)
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-_ROW = "row_"
+_KEY = "key_"
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    return stage(docs.select(*COLUMNS).withColumn(_ROW, F.monotonically_increasing_id()))
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Documents with a key of id and text; rows that agree in both are one document."""
+    key = F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    return docs.select(*COLUMNS, key.alias(_KEY))
+
+
+def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    keys = keys.select(F.col(f"{_KEY}.id").alias("gone_id"), F.col(f"{_KEY}.hash").alias("gone_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col(f"{_KEY}.hash") == F.col("gone_hash"))
+    return docs.join(keys, same, "left_anti").select(*COLUMNS)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,19 +55,22 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = _rows(docs)
-    keyed = rows.select(F.struct("doc_id", _ROW).alias("key"), "text")
-    groups = ngram_join.jaccard_groups(keyed, "key", "text", SHINGLE, *SIMILAR)
-    copies = stage(groups.where(F.col("key") != F.col("component_id")).select(f"key.{_ROW}"))
-    return rows.join(copies, _ROW, "left_anti").select(*COLUMNS)
+    keyed = _keyed(docs)
+    groups = ngram_join.jaccard_groups(keyed, _KEY, "text", SHINGLE, *SIMILAR)
+    groups = stage(groups.select(_KEY, "component_id"))
+    copies = stage(groups.where(F.col(_KEY) != F.col("component_id")))
+    kept = _without(keyed, copies)
+    repeated = groups.groupBy(_KEY).count().where("count > 1")
+    if repeated.isEmpty():
+        return kept
+    return kept.withColumn("hash", F.xxhash64("text")).dropDuplicates(["doc_id", "hash"]).drop("hash")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = _rows(docs)
+    keyed = _keyed(docs)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.shared_passages(rows, items, doc_id=_ROW)
-    hit = stage(found.where("n_hit > 0").select(_ROW))
-    return rows.join(hit, _ROW, "left_anti").select(*COLUMNS)
+    found = decontaminate.shared_passages(keyed, items, doc_id=_KEY)
+    return _without(keyed, stage(found.where("n_hit > 0").select(_KEY)))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
