@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+from contextlib import contextmanager
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,14 +59,58 @@ def stage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, "table")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    if _scopes:
+        _scopes[-1].made.append((staged, path))
+    return staged
+
+
+class _Scope:
+    def __init__(self):
+        self.made: list[tuple[DataFrame, str]] = []
+        self.kept: list[DataFrame] = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.kept.append(df)
+        return df
+
+
+_scopes: list[_Scope] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables staged inside are deleted at the end, but for those given to `keep` and any
+    that are read later: give all of them. The driver is asked to collect its garbage, upon
+    which Spark removes the shuffle files of the finished steps from all executors."""
+    scope = _Scope()
+    _scopes.append(scope)
+    try:
+        yield scope
+    finally:
+        _scopes.remove(scope)
+    for df, path in scope.made:
+        if not any(df is k for k in scope.kept):
+            _delete(spark, path)
+        elif _scopes:
+            _scopes[-1].made.append((df, path))
+    reclaim(spark)
+
+
+def reclaim(spark: SparkSession) -> None:
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def release(spark: SparkSession) -> None:
     """Delete the tables this session has staged; call it when their results are written."""
-    context = spark.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(_scratch(spark))
-    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, _scratch(spark))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
