@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from monthloom.functions.arrays import let
-from monthloom.session import stage
+from monthloom.session import scratch, stage
 
 MIN_WORDS = 50
 _BLANK = r"[\x20\x09-\x0D]+"
@@ -214,7 +214,9 @@ def dedup_lines(
     while row in docs.columns or found in docs.columns:
         row, found = row + "_", found + "_"
     rows = stage(docs.withColumn(row, F.monotonically_increasing_id()))
-    runs = stage(deleted_runs(rows, row, doc_id, text, min_words)).toDF(row, found)
+    with scratch(docs.sparkSession) as tables:
+        runs = tables.keep(stage(deleted_runs(rows, row, doc_id, text, min_words)))
+    runs = runs.toDF(row, found)
 
     def without(runs_: Column) -> Column:
         kept = F.filter(

@@ -41,10 +41,10 @@ from pyspark.sql import functions as F
 
 from monthloom.llm import words
 from monthloom.llm.components import components
-from monthloom.session import stage
+from monthloom.session import reclaim, scratch, stage
 
 #: Coordinates of the count vectors in the R-tree.
-GROUPS = 128
+GROUPS = 64
 #: Growth of the size families.
 FAMILY_RATIO = 1.5
 #: Slices in proportion to the least number that is lossless.
@@ -52,6 +52,8 @@ SPARE = 1.35
 FREQUENT = 64
 BLOCK = 512
 PIVOTS = 6
+#: Ids up to this number are sent to all tasks; more are joined by a shuffle.
+SENT_IDS = 500_000
 FANOUT = 16
 _VALUE_BITS = np.uint64(54)
 _VALUE_MASK = np.uint64(2**54 - 1)
@@ -392,6 +394,10 @@ class JaccardJoin:
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """Those of the distinct pairs (`u`, `v`) that link."""
+        with scratch(self.docs.sparkSession) as tables:
+            return tables.keep(self._verify(pairs))
+
+    def _verify(self, pairs: DataFrame) -> DataFrame:
         vectors = self.unique.select("point", "counts")
         close = stage(
             words.map_arrow(
@@ -401,8 +407,13 @@ class JaccardJoin:
             )
         )
         needed = close.select("u").unionByName(close.select(F.col("v").alias("u"))).distinct()
-        ids = stage(self.unique.join(needed, self.unique["point"] == needed["u"], "left_semi").select("id"))
-        texts = self.docs.join(ids.distinct(), self.docs["id"].eqNullSafe(ids["id"]), "left_semi")
+        ids = stage(
+            self.unique.join(needed, self.unique["point"] == needed["u"], "left_semi")
+            .select(F.col("id").alias("wanted"))
+            .distinct()
+        )
+        wanted = F.broadcast(ids) if ids.count() <= SENT_IDS else ids
+        texts = self.docs.join(wanted, F.col("id").eqNullSafe(F.col("wanted")), "left_semi")
         sets = stage(
             words.map_arrow(
                 texts.select("text"), _set_rows(self.length), "point long, shingles binary"
@@ -491,18 +502,21 @@ class JaccardJoin:
 
     def groups(self) -> DataFrame:
         """(`node`, `component`) over the points that link with another one."""
-        members = self.members()
-        pairs = members.select(
-            F.least("point", "first").alias("u"), F.greatest("point", "first").alias("v")
-        ).distinct()
-        links = self.verify(pairs)
-        for candidates in (self.pivot_pairs, self.tree_pairs):
-            parts = stage(components(links))
-            labelled, nodes = self.open_nodes(members, parts)
-            if nodes.isEmpty():
-                return parts
-            links = links.unionByName(self.verify(stage(candidates(labelled, nodes))))
-        return stage(components(links))
+        spark = self.docs.sparkSession
+        with scratch(spark) as tables:
+            members = self.members()
+            reclaim(spark)  # the nodes' shuffle is by far the largest
+            pairs = members.select(
+                F.least("point", "first").alias("u"), F.greatest("point", "first").alias("v")
+            ).distinct()
+            links = self.verify(pairs)
+            for candidates in (self.pivot_pairs, self.tree_pairs):
+                parts = stage(components(links))
+                labelled, nodes = self.open_nodes(members, parts)
+                if nodes.isEmpty():
+                    return tables.keep(parts)
+                links = links.unionByName(self.verify(stage(candidates(labelled, nodes))))
+            return tables.keep(stage(components(links)))
 
 
 def jaccard_groups(
