@@ -16,7 +16,7 @@ that below it if a partner there is possible.
 nodes more (`slack`). It leaves out nodes with more than `FREQUENT` documents, such as those
 of a widespread passage, if all of them fit in its slack; a partner's common nodes are the
 same ones, so again no link is lost. Only documents with nearly nothing but frequent nodes,
-members of large groups of near copies, stay in frequent nodes.
+members of large groups of near copies, stay in frequent nodes, and in no more than they need.
 
 *Lower level.* In a node the first document is paired with all others: as many pairs as
 documents. If the links found so far join the node's documents, it is done. Otherwise those
@@ -36,7 +36,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from monthloom.llm import words
@@ -51,8 +51,8 @@ FAMILY_RATIO = 1.5
 SPARE = 1.35
 FREQUENT = 64
 BLOCK = 512
-PIVOTS = 6
-#: Ids up to this number are sent to all tasks; more are joined by a shuffle.
+PIVOTS = 3
+#: Ids or pairs up to this number are sent to all tasks; more are joined by a shuffle.
 SENT_IDS = 500_000
 FANOUT = 16
 _VALUE_BITS = np.uint64(54)
@@ -381,13 +381,24 @@ class JaccardJoin:
         left_out = crowd.groupBy("point", family.alias("family")).agg(F.count("*").alias("out"))
         bound = (
             left_out.join(self.unique.select("point", "size", "slack_own", "slack_below"), "point")
-            .where(
+            .withColumn(
+                "keep",
                 F.col("out")
-                > F.when(F.col("family") == own, F.col("slack_own")).otherwise(F.col("slack_below"))
+                - F.when(F.col("family") == own, F.col("slack_own")).otherwise(F.col("slack_below")),
             )
-            .select("point", "family")
+            .where("keep > 0")
+            .select("point", "family", "keep")
+        )
+        # In one order of all nodes (rare ones, then frequent ones by key) two linked documents
+        # share one of their first `reach + 1`: of its frequent nodes a document needs so many.
+        place = F.row_number().over(Window.partitionBy("point", "family").orderBy("node"))
+        kept = (
+            crowd.withColumn("family", family)
+            .withColumn("place", place)
+            .join(bound, ["point", "family"])
+            .where(F.col("place") <= F.col("keep"))
+            .select("node", "point")
         )
-        kept = crowd.withColumn("family", family).join(bound, ["point", "family"], "left_semi")
         heads = kept.groupBy("node").agg(F.min("point").alias("first"))
         kept = kept.join(heads, "node").where("point <> first").select("node", "point", "first")
         return stage(rare.unionByName(kept))
@@ -397,11 +408,18 @@ class JaccardJoin:
         with scratch(self.docs.sparkSession) as tables:
             return tables.keep(self._verify(pairs))
 
+    def _sent(self, staged: DataFrame) -> DataFrame:
+        """Ids or pairs of ids, broadcast if they are few: the long rows then stay in place."""
+        return F.broadcast(staged) if staged.count() <= SENT_IDS else staged
+
     def _verify(self, pairs: DataFrame) -> DataFrame:
         vectors = self.unique.select("point", "counts")
         close = stage(
             words.map_arrow(
-                pairs.join(vectors.toDF("u", "a"), "u").join(vectors.toDF("v", "b"), "v").select("u", "v", "a", "b"),
+                self._sent(stage(pairs))
+                .join(vectors.toDF("u", "a"), "u")
+                .join(vectors.toDF("v", "b"), "v")
+                .select("u", "v", "a", "b"),
                 _bounded(self.num, self.den),
                 "u long, v long",
             )
@@ -412,15 +430,17 @@ class JaccardJoin:
             .select(F.col("id").alias("wanted"))
             .distinct()
         )
-        wanted = F.broadcast(ids) if ids.count() <= SENT_IDS else ids
-        texts = self.docs.join(wanted, F.col("id").eqNullSafe(F.col("wanted")), "left_semi")
+        texts = self.docs.join(self._sent(ids), F.col("id").eqNullSafe(F.col("wanted")), "left_semi")
         sets = stage(
             words.map_arrow(
                 texts.select("text"), _set_rows(self.length), "point long, shingles binary"
-            ).join(needed, F.col("point") == needed["u"], "left_semi")
+            )
         )
         both = (
-            close.join(sets.toDF("v", "b"), "v").join(sets.toDF("u", "a"), "u").select("u", "v", "a", "b")
+            self._sent(close)
+            .join(sets.toDF("v", "b"), "v")
+            .join(sets.toDF("u", "a"), "u")
+            .select("u", "v", "a", "b")
         )
         return stage(words.map_arrow(both, _verified(self.num, self.den), "u long, v long").distinct())
 
