@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -19,7 +18,7 @@ from monthloom.operators.checks import DataCheckError
 from monthloom.operators.forecast import prediction_rows
 from monthloom.operators.splits import month_axis, with_month_idx
 from monthloom.operators.target import TARGET
-from monthloom.session import checkpoint_folder
+from monthloom.session import scratch_path
 
 #: Partitions of a fit. Spark ML samples rows by partition and place, so the number is an
 #: explicit setting: the same number gives the same trees.
@@ -111,7 +110,7 @@ def stage(
     the months of the whole panel."""
     axis = month_axis(panel) if axis is None else axis
     spark = panel.sparkSession
-    folder = f"{checkpoint_folder(spark).rstrip('/')}/panel-{uuid.uuid4().hex}"
+    folder = scratch_path(spark, "panel")
     (
         with_month_idx(panel, axis)
         .select("month_idx", "month", "entity", target, *columns)
@@ -210,7 +209,7 @@ def rolling_boosting(
     splits = usable_splits(data, window, test_idx)
     if not splits:
         raise DataCheckError("No split has training and test rows.")
-    folder = f"{checkpoint_folder(spark).rstrip('/')}/rolling-{uuid.uuid4().hex}"
+    folder = scratch_path(spark, "rolling")
 
     def run(t: int):
         model = fit_split(data, t, window, settings)

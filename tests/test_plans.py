@@ -15,8 +15,7 @@ FITS = {"gbt_depthwise", "gbt_leafwise", "gbt_importance", "tuned_vs_benchmark"}
 
 
 def written_parts(spark):
-    checkpoint_folder(spark)
-    return Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")).rglob("part-*")
+    return Path(checkpoint_folder(spark).removeprefix("file:")).rglob("part-*")
 
 
 def plan_of(frame):
@@ -80,11 +79,14 @@ def test_staged_results_survive_a_lost_executor(spark):
 
 
 def test_staged_tables_can_be_released(spark):
-    from monthloom.session import build_session, release, stage
-
-    other = build_session("local[4]", 4)
-    stage(other.range(3))
-    kept = list(written_parts(other))
-    assert kept
-    release(other)
-    assert not [p for p in kept if p.exists()]
+    from monthloom.session import release, scratch, stage
+
+    staged = lambda: [p for p in written_parts(spark) if spark.sparkContext.applicationId in str(p)]
+    with scratch(spark) as tables:
+        gone, kept = stage(spark.range(3)), tables.keep(stage(spark.range(5)))
+    assert kept.count() == 5
+    with pytest.raises(Exception, match="does not exist|FILE_NOT_EXIST"):
+        gone.collect()
+    assert staged()
+    release(spark)
+    assert not staged()
