@@ -1,21 +1,20 @@
-"""Language-model scores by deleted interpolation.
+"""Language-model scores by deleted interpolation over words.
 
-Every word of every training text is counted. The most frequent `WORDS` words are symbols of
-their own; any other word belongs to a class of its length and ending. The model is
+    P(w | u v) = a3 n(u v w) / n(u v) + a2 n(v w) / n(v) + a1 n(w) / n + a0 / (V + 1)
 
-    P(word | history) = P(symbol | history) * P(word | symbol).
+Every word, pair and triple of the training texts is counted, whatever its rank. An order
+whose context was never seen takes the estimate of the order below. The weights `a` depend on
+how frequent the contexts are (buckets of powers of two) and are learned by
+expectation-maximisation on documents kept out of the estimates; then the estimates are taken
+from all training documents. V is the number of training words with the text's end; one more
+stands for all unknown words.
 
-The first factor mixes maximum-likelihood n-gram estimates: by the two symbols before (as
-coarser context symbols), by the symbol before, by none, and a uniform share. The weights of
-the mixture depend on how frequent the contexts are (buckets of powers of two) and are
-learned by expectation-maximisation on documents kept out of the estimates; then the
-estimates are taken from all training documents. The second factor is the word's smoothed
-share in its class.
+Documents are put together to chunks of about `LOCAL` words. A chunk asks for each of its
+distinct n-grams once and says how often it holds it itself, so the most frequent n-gram of a
+corpus costs one entry per chunk. Entries meet by their hash, are summed, and only the sums
+go back, in the order of the hashes. No table of n-grams is sent to tasks or to the driver.
 
-What goes to every task has a bound that no corpus exceeds: n-gram counts over the symbols
-(at most 64 * 64 * 1073 + 1074 * 1073 numbers) and the counts of the `LOCAL` most frequent words. Counts of
-all other words stay in Spark: a document asks for them by a join on the word. No such word
-is frequent, so the join has no hot key.
+n-grams are compared by 63 bits of a hash.
 
 Defined cases: a null or empty text is the end token alone; with no training text every
 estimate is uniform; null ids are hashed as null and count as held out; repeated rows are
@@ -26,194 +25,65 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from monthloom.llm import words
-from monthloom.session import stage
+from monthloom.session import reclaim, scratch, stage
 
-WORDS = 1024
+#: Words of a chunk, at least, where there are as many in its partition.
 LOCAL = 1 << 18
-CLASSES = 48
 DELTA = 0.1
 ROUNDS = 8
 BUCKETS = 24
-#: Context symbols of the two-word context: the first words, the classes, the text's start.
-COARSE_WORDS = 15
-COARSE = COARSE_WORDS + CLASSES + 1
-#: Predicted symbols: words, classes, the text's end.
-SYMBOLS = WORDS + CLASSES + 1
-END = SYMBOLS - 1
-START = SYMBOLS
-PAIRS = (SYMBOLS + 1) * SYMBOLS
-TRIPLES = COARSE * COARSE * SYMBOLS
-
-_ENDING = np.zeros(256, dtype=np.int64)
-_ENDING[[ord(c) for c in "aeiou"]] = 1
-_ENDING[[ord(c) for c in "nrst"]] = 2
-_ENDING[128:] = 3
-_ENDING[48:58] = 4
-_ENDING[ord(".")] = 5
-_ENDING[ord(",")] = 6
-_ENDING[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in ".,"]] = 7
-_LENGTHS = np.array([3, 5, 7, 10, 15])
-
-
-def word_class(w: words.Words) -> np.ndarray:
-    length = np.searchsorted(_LENGTHS, w.ends - w.starts, side="right")
-    return length * 8 + _ENDING[w.data[w.ends - 1]]
-
-
-def _look_up(table: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Place of each value in the sorted table, and whether it is there."""
-    if len(table) == 0:
-        return np.zeros(len(values), dtype=np.int64), np.zeros(len(values), dtype=bool)
-    at = np.minimum(np.searchsorted(table, values), len(table) - 1)
-    return at, table[at] == values
-
-
-class _Sums:
-    """Counts of keys, summed in memory before they leave the task."""
-
-    def __init__(self, room: int = 3_000_000):
-        self.room, self.held, self.size = room, [], 0
-
-    def add(self, keys: np.ndarray) -> bool:
-        self.held.append(keys)
-        self.size += len(keys)
-        return self.size >= self.room
-
-    def take(self):
-        keys, count = np.unique(np.concatenate([np.zeros(0, np.int64), *self.held]), return_counts=True)
-        self.held, self.size = [], 0
-        return keys, count.astype(np.int64)
-
-
-def _count_words(batches):
-    sums = _Sums()
-    classes: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def out():
-        keys, count = sums.take()
-        known = np.concatenate([np.zeros(0, np.int64), *(k for k, _ in classes)])
-        kind = np.concatenate([np.zeros(0, np.int64), *(c for _, c in classes)])
-        known, first = np.unique(known, return_index=True)
-        classes.clear()
-        return pa.record_batch(
-            [pa.array(keys), pa.array(kind[first]), pa.array(count)], names=["word", "kind", "n"]
-        )
+#: Sizes of a dense `Model`.
+SYMBOLS = 64
+COARSE = 8
 
-    for batch in batches:
-        for a, b in words.slices(batch.column(0)):
-            w = words.cut(batch.column(0), a, b, words.NOT_BLANK)
-            hashes = words.signed(w.hashes())
-            distinct, first = np.unique(hashes, return_index=True)
-            classes.append((distinct, word_class(w)[first]))
-            if sums.add(hashes):
-                yield out()
-    yield out()
-
-
-class Lexicon:
-    """Symbols of words: the frequent ones by hash, others by class."""
-
-    def __init__(self, ranked: list[int]):
-        self.hashes = np.array(sorted(ranked), dtype=np.int64)
-        order = {h: i for i, h in enumerate(ranked)}
-        self.rank = np.array([order[h] for h in self.hashes.tolist()], dtype=np.int64)
-
-    def symbols(self, hashes: np.ndarray, kind: np.ndarray) -> np.ndarray:
-        at, known = _look_up(self.hashes, hashes)
-        if not len(self.rank):
-            return WORDS + kind
-        return np.where(known, self.rank[at], WORDS + kind)
-
-
-def coarse(symbol: np.ndarray, kind_of: np.ndarray) -> np.ndarray:
-    """Context symbols: the first words keep theirs, others fall back to their class."""
-    return np.where(symbol < COARSE_WORDS, symbol, COARSE_WORDS + kind_of)
-
-
-def _sequences(w: words.Words, symbol: np.ndarray, kind: np.ndarray):
-    """Per token (words and ends, in order): document, symbol, context and two-word context."""
-    count = w.counts()
-    rows = w.documents
-    total = len(symbol) + rows
-    doc = np.repeat(np.arange(rows), count + 1)
-    ends = np.cumsum(count + 1) - 1
-    word = np.ones(total, dtype=bool)
-    word[ends] = False
-    now = np.full(total, END, dtype=np.int64)
-    now[word] = symbol
-    wide = np.full(total, COARSE - 1, dtype=np.int64)
-    wide[word] = coarse(symbol, kind)
-    starts = ends - count
-    before = np.empty(total, dtype=np.int64)
-    before[1:] = now[:-1]
-    before[starts] = START
-    near = np.empty(total, dtype=np.int64)
-    near[1:] = wide[:-1]
-    near[starts] = COARSE - 1
-    far = np.empty(total, dtype=np.int64)
-    far[2:] = wide[:-2]
-    far[starts] = COARSE - 1
-    second = starts[count > 0] + 1
-    far[second] = COARSE - 1
-    return doc, now, before, far * COARSE + near
-
-
-def _count_symbols(lexicon):
-    """Rows (key, n, kept): pairs first, triples after them; `kept` leaves out EM documents."""
+_START, _END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+_TIMES, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
+_ONE = np.uint64(1)
+_CODEC = pa.Codec("zstd", compression_level=1)
+#: Ranges of hashes that are summed one after the other; n-grams that a task sums, about.
+SHARES = 4
+_ENTRIES = 2_000_000
 
-    def task(batches):
-        sums = _Sums()
 
-        def out():
-            keys, count = sums.take()
-            return pa.record_batch(
-                [pa.array(keys >> 1), pa.array(count), pa.array(count * (keys & 1))],
-                names=["key", "n", "kept"],
-            )
+def _level(n: np.ndarray) -> np.ndarray:
+    return np.minimum(np.ceil(np.log2(n + 1)), BUCKETS - 1).astype(np.int64)
 
-        for batch in batches:
-            kept = np.asarray(batch.column(1)).astype(np.int64)
-            for a, b in words.slices(batch.column(0)):
-                w = words.cut(batch.column(0), a, b, words.NOT_BLANK)
-                kind = word_class(w)
-                symbol = lexicon.symbols(words.signed(w.hashes()), kind)
-                doc, now, before, context = _sequences(w, symbol, kind)
-                flag = kept[a:b][doc]
-                keys = np.concatenate([before * SYMBOLS + now, PAIRS + context * SYMBOLS + now])
-                if sums.add(keys * 2 + np.concatenate([flag, flag])):
-                    yield out()
-        yield out()
 
-    return task
+def estimates(triple, two, pair, one, single, tokens: int, types: int):
+    """Estimates of the four orders, one column each, and the bucket. `two` and `one` are the
+    counts of the contexts of `triple` and `pair`."""
+    out = np.empty((len(triple), 4))
+    out[:, 3] = 1 / types
+    out[:, 2] = single / tokens if tokens else out[:, 3]
+    out[:, 1] = np.where(one > 0, pair / np.maximum(one, 1), out[:, 2])
+    out[:, 0] = np.where(two > 0, triple / np.maximum(two, 1), out[:, 1])
+    return out, _level(two) * BUCKETS + _level(one)
 
 
 class Model:
-    """Maximum-likelihood tables and mixture weights."""
+    """The mixture over dense tables, rows contexts and columns words, where those are few."""
 
     def __init__(self, pairs: np.ndarray, triples: np.ndarray, weights: np.ndarray):
         self.pairs, self.triples, self.weights = pairs, triples, weights
         self.pair_context = pairs.sum(axis=1, dtype=np.int64)
         self.triple_context = triples.sum(axis=1, dtype=np.int64)
-        single = pairs.sum(axis=0, dtype=np.int64)
-        self.single = single / max(1, single.sum())
-
-    def parts(self, now, before, context):
-        """Estimates of the four orders, one column each, and the bucket."""
-        two, three = self.pair_context[before], self.triple_context[context]
-        out = np.empty((len(now), 4))
-        out[:, 0] = self.triples[context, now] / np.maximum(three, 1)
-        out[:, 1] = self.pairs[before, now] / np.maximum(two, 1)
-        out[:, 2] = self.single[now]
-        out[:, 3] = 1 / SYMBOLS
-        level = lambda n: np.minimum(np.ceil(np.log2(n + 1)), BUCKETS - 1).astype(np.int64)
-        return out, level(three) * BUCKETS + level(two)
+        self.single = pairs.sum(axis=0, dtype=np.int64)
 
     def log10(self, now, before, context) -> np.ndarray:
-        parts, bucket = self.parts(now, before, context)
+        parts, bucket = estimates(
+            self.triples[context, now],
+            self.triple_context[context],
+            self.pairs[before, now],
+            self.pair_context[before],
+            self.single[now],
+            int(self.single.sum()),
+            self.pairs.shape[1],
+        )
         return np.log10((parts * self.weights[bucket]).sum(axis=1))
 
 
@@ -221,23 +91,235 @@ def even_weights() -> np.ndarray:
     return np.full((BUCKETS * BUCKETS, 4), 0.25)
 
 
-def _expectation(shared):
+def _pack(values: np.ndarray) -> bytes:
+    """Numbers from 0 by byte planes, compressed; `_unpack` is the inverse."""
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
+    return len(values).to_bytes(4, "little") + bytes([width]) + _CODEC.compress(planes.tobytes(), asbytes=True)
+
+
+def _unpack(data) -> np.ndarray:
+    size, width = int.from_bytes(data[:4], "little"), data[4]
+    planes = np.frombuffer(_CODEC.decompress(data[5:], size * width, asbytes=True), dtype=np.uint8)
+    out = np.zeros((size, 8), dtype=np.uint8)
+    out[:, :width] = planes.reshape(width, size).T
+    return out.view("<u8")[:, 0]
+
+
+def _chunks(size: int):
+    """Documents put together: distinct words, and all words in order as places among them."""
+
+    def task(batches):
+        part, made, room = TaskContext.get().partitionId(), 0, size
+        held: list[tuple[pa.RecordBatch, np.ndarray, np.ndarray]] = []
+
+        def out():
+            columns = [pa.concat_arrays([r.column(k) for r, _, _ in held]) for k in range(3)]
+            count = np.concatenate([c for _, c, _ in held])
+            known, index = np.unique(np.concatenate([h for _, _, h in held]), return_inverse=True)
+            held.clear()
+            train = ~np.asarray(columns[1])
+            kept = train & ~np.asarray(columns[2])
+            lists = [*columns, pa.array(count.astype(np.int32))]
+            whole = pa.array(np.array([0, len(count)], dtype=np.int32))
+            return pa.record_batch(
+                [
+                    pa.array([(part << 32) + made]),
+                    *(pa.ListArray.from_arrays(whole, a) for a in lists),
+                    _packed([np.diff(known, prepend=np.uint64(0))]),
+                    _packed([index]),
+                    pa.array([int((count + 1).sum())]),
+                    pa.array([int((count + 1)[train].sum())]),
+                    pa.array([int((count + 1)[kept].sum())]),
+                ],
+                names=["chunk", "ids", "held_out", "em", "count", "known", "places", "size", "tokens", "kept"],
+            )
+
+        for batch in batches:
+            about = pa.RecordBatch.from_arrays([batch.column(k) for k in (0, 2, 3)], names=["id", "held_out", "em"])
+            for a, b in words.slices(batch.column(1)):
+                w = words.cut(batch.column(1), a, b, words.NOT_BLANK)
+                held.append((about.slice(a, b - a), w.counts(), w.hashes()))
+                room -= len(w.starts) + b - a
+                if room <= 0:
+                    yield out()
+                    made, room = made + 1, size
+        if held:
+            yield out()
+
+    return task
+
+
+class _Chunk:
+    """The n-grams of a chunk: hashes of each token's word, then the pairs and triples it ends."""
+
+    def __init__(self, held_out, em, count, known, places):
+        self.count = np.asarray(count).astype(np.int64)
+        self.train = ~np.asarray(held_out)
+        self.em = self.train & np.asarray(em)
+        known = np.cumsum(_unpack(known), dtype=np.uint64)
+        places = _unpack(places).astype(np.int64)
+        self.tokens = len(places) + len(self.count)
+        self.ends = np.cumsum(self.count + 1) - 1
+        self.starts = self.ends - self.count
+        word = np.ones(self.tokens, dtype=bool)
+        word[self.ends] = False
+        now = np.full(self.tokens, _END)
+        now[word] = known[places]
+        before = self.after(now, _START)
+        far = self.after(before, _START)
+        one = words.mix(now) | _ONE
+        two = words.mix(before * _TIMES + now + _STEP) & ~_ONE
+        three = words.mix((far * _TIMES + before) * _TIMES + now + _STEP + _STEP) & ~_ONE
+        self.grams = np.concatenate([one, two, three])
+
+    def after(self, values, first):
+        """The value of the token before, `first` for a text's first token."""
+        out = np.empty_like(values)
+        out[1:] = values[:-1]
+        out[self.starts] = first
+        return out
+
+    def each(self, of_document):
+        return np.repeat(of_document, self.count + 1)
+
+    def counts(self, sums):
+        """Per token: counts for `estimates` in its order."""
+        _, at = np.unique(self.grams, return_inverse=True)
+        single, pair, triple = sums[at].reshape(3, -1)
+        texts = single[self.ends[0]]
+        return triple, self.after(pair, texts), pair, self.after(single, texts), single
+
+
+def _packed(arrays) -> pa.Array:
+    return pa.array([_pack(a) for a in arrays], pa.binary())
+
+
+def _rows_of(batches):
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield {name: batch.column(name)[k] for name in batch.schema.names}
+
+
+def _chunk_of(row):
+    held_out, em, count = (row[c].values for c in ("held_out", "em", "count"))
+    return _Chunk(held_out, em, count, row["known"].as_py(), row["places"].as_py())
+
+
+_ASKED = "chunk long, part int, steps binary, n binary, kept binary"
+
+
+def _ask(bits: int, share: int):
+    """A chunk's n-grams with how often it holds them, cut by the first bits of the hash. Of
+    `SHARES` equal ranges of hashes only one is taken, so that their tables can follow each other."""
+    edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+
+    def task(batches):
+        for row in _rows_of(batches):
+            chunk = _chunk_of(row)
+            mine = np.flatnonzero(chunk.grams // np.uint64(2**64 // SHARES) == share)
+            keys, at = np.unique(chunk.grams[mine], return_inverse=True)
+            owner = mine % chunk.tokens
+            times = lambda documents: np.bincount(at[chunk.each(documents)[owner]], minlength=len(keys))
+            n = times(chunk.train)
+            kept = n - times(chunk.em)
+            cuts = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+            part = np.flatnonzero(np.diff(cuts))
+            steps = np.diff(keys, prepend=np.uint64(0))
+            steps[cuts[part]] = keys[cuts[part]]
+            cut = lambda a: _packed(a[cuts[p] : cuts[p + 1]] for p in part)
+            yield pa.record_batch(
+                [pa.array(np.full(len(part), row["chunk"].as_py())), pa.array(part.astype(np.int32)),
+                 cut(steps), cut(n), cut(kept)],
+                names=["chunk", "part", "steps", "n", "kept"],
+            )
+
+    return task
+
+
+_ANSWERS = "chunk long, part int, n binary, kept binary, types long, kept_types long"
+
+
+def _answer(batches):
+    """The sums over all chunks for every entry; `types` is about words and counts once a task."""
+    rows = [[], [], [], [], []]
+    for batch in batches:
+        for k in range(5):
+            rows[k] += batch.column(k).to_pylist()
+    chunk, part, keys, n, kept = rows
+    if not chunk:
+        return
+    keys = [np.cumsum(_unpack(x), dtype=np.uint64) for x in keys]
+    bounds = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
+    distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+    n, kept = (np.bincount(at, np.concatenate([_unpack(y) for y in x]), len(distinct)).astype(np.int64) for x in (n, kept))
+    word = (distinct & _ONE).astype(bool)
+    types, kept_types = (int((word & (x > 0)).sum()) for x in (n, kept))
+    for a in range(0, len(chunk), words.BATCH_ROWS):
+        b = min(len(chunk), a + words.BATCH_ROWS)
+        first = np.zeros(b - a, dtype=np.int64)
+        first[:1] = a == 0
+        places = [at[bounds[k] : bounds[k + 1]] for k in range(a, b)]
+        yield pa.record_batch(
+            [pa.array(chunk[a:b], pa.int64()), pa.array(part[a:b], pa.int32()),
+             _packed(n[p] for p in places), _packed(kept[p] for p in places),
+             pa.array(first * types), pa.array(first * kept_types)],
+            names=["chunk", "part", "n", "kept", "types", "kept_types"],
+        )
+
+
+def _with_answers(chunks: DataFrame, answers: DataFrame, column: str, function, schema: str) -> DataFrame:
+    """`function(chunk row, its _Chunk, sums)` gives a record batch per chunk; a chunk comes before its answers."""
+    parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    data = F.struct("ids", "held_out", "em", "count", "known", "places")
+    own = chunks.select("chunk", F.lit(-1).alias("part"), data.alias("data"), F.lit(None).cast("binary").alias("sums"))
+    found = answers.select("chunk", "part", F.lit(None).cast(own.schema["data"].dataType).alias("data"), F.col(column).alias("sums"))
+    both = own.unionByName(found).repartition(parts, "chunk").sortWithinPartitions("chunk", "part")
+    names = [f.name for f in own.schema["data"].dataType]
+
+    def task(batches):
+        row, sums = None, []
+
+        def out():
+            chunk = _chunk_of(row)
+            return function(row, chunk, np.concatenate(sums))
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                if batch.column(1)[k].as_py() < 0:
+                    if row is not None:
+                        yield out()
+                    data = batch.column(2)[k]
+                    row, sums = {n: data[n] for n in names}, []
+                else:
+                    sums.append(_unpack(batch.column(3)[k].as_py()).astype(np.int64))
+        if row is not None:
+            yield out()
+
+    return words.map_arrow(both, task, schema)
+
+
+_COUNTS = ("triple", "two", "pair", "one", "single")
+
+
+def _kept_counts(row, chunk, sums):
+    """Counts of the tokens the weights are learned from."""
+    mine = chunk.each(chunk.em)
+    return pa.record_batch([_packed([c[mine]]) for c in chunk.counts(sums)], names=_COUNTS)
+
+
+def _expectation(weights, tokens: int, types: int):
     """Responsibilities of the four orders, summed by bucket."""
 
     def task(batches):
-        model, lexicon = shared.value
         total = np.zeros((BUCKETS * BUCKETS, 4))
-        for batch in batches:
-            for a, b in words.slices(batch.column(0)):
-                w = words.cut(batch.column(0), a, b, words.NOT_BLANK)
-                kind = word_class(w)
-                symbol = lexicon.symbols(words.signed(w.hashes()), kind)
-                _, now, before, context = _sequences(w, symbol, kind)
-                parts, bucket = model.parts(now, before, context)
-                share = parts * model.weights[bucket]
-                share /= share.sum(axis=1, keepdims=True)
-                for k in range(4):
-                    total[:, k] += np.bincount(bucket, share[:, k], minlength=len(total))
+        for row in _rows_of(batches):
+            counts = (_unpack(row[c].as_py()).astype(np.int64) for c in _COUNTS)
+            parts, bucket = estimates(*counts, tokens, types)
+            share = parts * weights[bucket]
+            share /= share.sum(axis=1, keepdims=True)
+            for k in range(4):
+                total[:, k] += np.bincount(bucket, share[:, k], minlength=len(total))
         at = np.flatnonzero(total.sum(axis=1))
         yield pa.record_batch(
             [pa.array(at), *(pa.array(total[at, k]) for k in range(4))],
@@ -247,16 +329,12 @@ def _expectation(shared):
     return task
 
 
-def learn_weights(texts: DataFrame, pairs, triples, lexicon, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights by EM over `texts` (one column), which `pairs` and `triples` don't count."""
-    spark = texts.sparkSession
+def learn_weights(counts: DataFrame, tokens: int, types: int, rounds: int = ROUNDS) -> np.ndarray:
+    """Weights by EM over rows of `_kept_counts`."""
     weights = even_weights()
     for _ in range(rounds):
-        shared = spark.sparkContext.broadcast((Model(pairs, triples, weights), lexicon))
         found = (
-            words.map_arrow(
-                texts, _expectation(shared), "bucket long, p0 double, p1 double, p2 double, p3 double"
-            )
+            words.map_arrow(counts, _expectation(weights, tokens, types), "bucket long, p0 double, p1 double, p2 double, p3 double")
             .groupBy("bucket")
             .agg(*(F.sum(f"p{k}").alias(f"p{k}") for k in range(4)))
             .collect()
@@ -265,57 +343,34 @@ def learn_weights(texts: DataFrame, pairs, triples, lexicon, rounds: int = ROUND
         for r in found:
             new[r["bucket"]] += [r["p0"], r["p1"], r["p2"], r["p3"]]
         weights = new / new.sum(axis=1, keepdims=True)
-        shared.destroy()
     return weights
 
 
-def _score(shared):
-    def task(batches):
-        model, lexicon, local, local_count, total, kinds, floor = shared.value
-        class_log = lambda count, kind: np.log10(
-            (count + DELTA) / (kinds[kind, 0] + DELTA * (kinds[kind, 1] + 1))
+def _score(weights, tokens: int, types: int):
+    def function(row, chunk, sums):
+        counts = chunk.counts(sums)
+        parts, bucket = estimates(*counts, tokens, types + 1)
+        base = np.log10((counts[-1] + DELTA) / (tokens + DELTA * (types + 1)))
+        score = np.log10((parts * weights[bucket]).sum(axis=1))
+        by_document = lambda v: np.add.reduceat(v, chunk.starts)
+        return pa.record_batch(
+            [
+                row["ids"].values,
+                row["held_out"].values,
+                pa.array(chunk.count + 1),
+                pa.array(by_document((counts[-1] > 0).astype(np.int64))),
+                pa.array(by_document(base)),
+                pa.array(by_document(score)),
+            ],
+            names=["id", "held_out", "n_tokens", "n_known", "base_score", "score"],
         )
-        for batch in batches:
-            for a, b in words.slices(batch.column(1)):
-                rows = b - a
-                w = words.cut(batch.column(1), a, b, words.NOT_BLANK)
-                kind, hashes = word_class(w), words.signed(w.hashes())
-                distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-                symbol = lexicon.symbols(distinct, kind[first])
-                at, known = _look_up(local, distinct)
-                count = np.where(known, local_count[at] if len(local) else 0, 0)
-                base = np.log10((count + DELTA) / floor)
-                inner = np.where(symbol < WORDS, 0.0, class_log(count, kind[first]))
-                here = known[which]
-                doc = w.doc
-                add = lambda v: np.bincount(doc[here], v[which][here], minlength=rows)
-                base_sum, inner_sum = add(base), add(inner)
-                seen = np.bincount(doc[here], minlength=rows)
-                owner, now, before, context = _sequences(w, symbol[which], kind)
-                outer = np.bincount(owner, model.log10(now, before, context), minlength=rows)
-                base_sum += np.log10((total[1] + DELTA) / floor)
-                pairs = doc[~here] * np.int64(len(distinct) or 1) + which[~here]
-                pairs, times = np.unique(pairs, return_counts=True)
-                row, word = pairs // max(1, len(distinct)), pairs % max(1, len(distinct))
-                rare = pa.StructArray.from_arrays(
-                    [pa.array(distinct[word]), pa.array(times.astype(np.int32)),
-                     pa.array(kind[first][word].astype(np.int16))],
-                    names=["word", "times", "kind"],
-                )
-                yield pa.record_batch(
-                    [
-                        batch.column(0).slice(a, rows),
-                        batch.column(2).slice(a, rows),
-                        pa.array(w.counts() + 1),
-                        pa.array(seen + int(total[1] > 0)),
-                        pa.array(base_sum),
-                        pa.array(outer + inner_sum),
-                        words.lists(row, rare, rows),
-                    ],
-                    names=["id", "held_out", "n_tokens", "seen", "base", "score", "rare"],
-                )
 
-    return task
+    return function
+
+
+def _sums(chunks: DataFrame, bits: int, share: int, parts: int) -> DataFrame:
+    asked = words.map_arrow(chunks.drop("ids"), _ask(bits, share), _ASKED)
+    return stage(words.map_arrow(asked.repartition(parts, "part"), _answer, _ANSWERS))
 
 
 def interpolated_scores(
@@ -330,84 +385,42 @@ def interpolated_scores(
         (~F.coalesce(training, F.lit(False))).alias("held_out"),
         F.coalesce(em_part, F.lit(False)).alias("em"),
     )
-    learn = keyed.where(~F.col("held_out"))
-    counts = stage(
-        words.map_arrow(learn.select("text"), _count_words, "word long, kind long, n long")
-        .groupBy("word")
-        .agg(F.min("kind").cast("smallint").alias("kind"), F.sum("n").alias("n"))
-    )
-    ends = learn.count()
-    first = (
-        counts.orderBy(F.desc("n"), "word").limit(LOCAL).select("word", "n", "kind").toArrow().combine_chunks()
-    )
-    local, local_count, local_kind = (np.asarray(first[c]) for c in ("word", "n", "kind"))
-    lexicon = Lexicon(local[:WORDS].tolist())
-    order = np.argsort(local)
-    kinds = np.zeros((CLASSES, 2))
-    for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
-        kinds[r["kind"]] = r["n"], r["v"]
-    tokens, distinct = (int(x) for x in kinds.sum(axis=0))
-    named = local_kind[:WORDS].astype(np.int64)  # words that are symbols leave their class
-    np.subtract.at(kinds, (named, 0), local_count[:WORDS])
-    np.subtract.at(kinds, (named, 1), 1)
-    tokens, distinct = tokens + ends, distinct + int(ends > 0)
-    grams = (
+    kind = keyed.schema["id"].dataType.simpleString()
+    chunks = stage(
         words.map_arrow(
-            learn.select("text", (~F.col("em")).alias("kept")), _count_symbols(lexicon), "key long, n long, kept long"
-        )
-        .groupBy("key")
-        .agg(F.sum("n").alias("n"), F.sum("kept").alias("kept"))
-        .toArrow()
-        .combine_chunks()
-    )
-    key = np.asarray(grams["key"])
-
-    def tables(column):
-        flat = np.zeros(PAIRS + TRIPLES, dtype=np.int64)
-        flat[key] = np.asarray(grams[column])
-        if flat.max() < 2**31:
-            flat = flat.astype(np.int32)
-        return flat[:PAIRS].reshape(-1, SYMBOLS), flat[PAIRS:].reshape(-1, SYMBOLS)
-
-    weights = learn_weights(learn.where("em").select("text"), *tables("kept"), lexicon, rounds)
-    model = Model(*tables("n"), weights)
-    floor = tokens + DELTA * (distinct + 1)
-    shared = spark.sparkContext.broadcast(
-        (model, lexicon, local[order], local_count[order], (tokens, ends), kinds, floor)
-    )
-    kind_name = keyed.schema["id"].dataType.simpleString()
-    part = stage(
-        words.map_arrow(
-            keyed.select("id", "text", "held_out"),
-            _score(shared),
-            f"id {kind_name}, held_out boolean, n_tokens long, seen long, base double, score double, "
-            "rare array<struct<word:long,times:int,kind:smallint>>",
-        ).withColumn("row", F.monotonically_increasing_id())
-    )
-    sizes = F.array(*(F.lit(float(v)) for v in kinds[:, 0] + DELTA * (kinds[:, 1] + 1)))
-    n = F.coalesce("n", F.lit(0))
-    asked = (
-        part.select("row", F.explode("rare").alias("r"))
-        .select("row", "r.*")
-        .join(counts.select("word", "n"), "word", "left")
-        .groupBy("row")
-        .agg(
-            F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("more"),
-            F.sum(F.col("times") * F.log10((n + DELTA) / F.lit(float(floor)))).alias("more_base"),
-            F.sum(
-                F.col("times") * F.log10((n + DELTA) / F.element_at(sizes, F.col("kind").cast("int") + 1))
-            ).alias("more_score"),
+            keyed,
+            _chunks(LOCAL),
+            f"chunk long, ids array<{kind}>, held_out array<boolean>, em array<boolean>, count array<int>, "
+            "known binary, places binary, size long, tokens long, kept long",
         )
     )
-    zero = F.lit(0)
-    return part.drop("rare").join(asked, "row", "left").select(
+    size, tokens, kept = (x or 0 for x in chunks.agg(F.sum("size"), F.sum("tokens"), F.sum("kept")).first())
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * size // (SHARES * _ENTRIES))
+    bits = max(9, parts.bit_length() + 3)
+    answers = None
+    for share in range(SHARES):
+        found = _sums(chunks, bits, share, parts)
+        answers = found if answers is None else answers.unionByName(found)
+        reclaim(spark)
+    types, kept_types = (x or 0 for x in answers.agg(F.sum("types"), F.sum("kept_types")).first())
+    with scratch(spark):
+        used = stage(_with_answers(chunks, answers, "kept", _kept_counts, ", ".join(f"{c} binary" for c in _COUNTS)))
+        reclaim(spark)
+        weights = learn_weights(used, kept, kept_types + 1, rounds)
+    return _with_answers(
+        chunks,
+        answers,
+        "n",
+        _score(weights, tokens, types),
+        f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double",
+    ).select(
         F.col("id").alias(doc_id),
         "held_out",
         "n_tokens",
-        (F.col("seen") + F.coalesce("more", zero)).cast("long").alias("n_known"),
+        "n_known",
         F.lit(int(tokens)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more_base", zero)).alias("base_score"),
-        (F.col("score") + F.coalesce("more_score", zero)).alias("score"),
+        "base_score",
+        "score",
     )
 
 

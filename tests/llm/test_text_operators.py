@@ -259,3 +259,58 @@ def test_empty_tables(spark):
     assert pii.personal_data(none).collect() == []
     assert language_model.interpolated_scores(none, F.lit(True), F.lit(False), rounds=1).collect() == []
     assert sha("") == pii.base_digest([])
+
+
+def test_scores_against_plain_interpolation_over_all_words(spark, monkeypatch):
+    """More words than any table of the most frequent ones holds; pairs and triples of rare words."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(9)
+    pairs = [f"r{i} s{i} t{i}" for i in range(900)]
+    texts = [(i, " ".join(rng.choice(pairs) for _ in range(rng.randint(0, 60)))) for i in range(90)]
+    part = {i: zlib.crc32(str(i).encode()) % 10 for i, _ in texts}
+    tokens = {i: ["<s>", "<s>", *BLANK_WORD.findall(t), None] for i, t in texts}
+
+    def counts(ids):
+        grams = [Counter() for _ in range(4)]
+        for i in ids:
+            for k in range(2, len(tokens[i])):
+                for n in range(1, 4):
+                    grams[n][tuple(tokens[i][k - n + 1 : k + 1])] += 1
+                    if n > 1:
+                        grams[0][n, *tokens[i][k - n + 1 : k]] += 1
+        return grams
+
+    def parts(grams, i):
+        level = lambda n: math.ceil(math.log2(n + 1))
+        for k in range(2, len(tokens[i])):
+            u, v, w = tokens[i][k - 2 : k + 1]
+            c3, c2 = grams[0][3, u, v], grams[0][2, v]
+            p0 = 1 / (len(grams[1]) + 1)
+            p1 = grams[1][w,] / grams[1].total()
+            p2 = grams[2][v, w] / c2 if c2 else p1
+            p3 = grams[3][u, v, w] / c3 if c3 else p2
+            yield (level(c3), level(c2)), (p3, p2, p1, p0)
+
+    kept = counts([i for i in part if part[i] > 1])
+    weights = Counter()
+    for _ in range(3):
+        new = {}
+        for i in part:
+            for bucket, p in parts(kept, i) if part[i] == 1 else ():
+                a = weights.get(bucket, (0.25,) * 4)
+                whole = sum(x * y for x, y in zip(a, p))
+                new[bucket] = [s + x * y / whole for s, x, y in zip(new.get(bucket, [1.0] * 4), a, p)]
+        weights = {b: [x / sum(s) for x in s] for b, s in new.items()}
+    every = counts([i for i in part if part[i] > 0])
+    expected = {
+        i: sum(
+            math.log10(sum(x * y for x, y in zip(weights.get(b, (0.25,) * 4), p))) for b, p in parts(every, i)
+        )
+        for i in part
+    }
+    rule = F.crc32(F.col("doc_id").cast("string")) % 10
+    for size in (language_model.LOCAL, 200):
+        monkeypatch.setattr(language_model, "LOCAL", size)
+        rows = language_model.interpolated_scores(frame(spark, texts), rule != 0, rule == 1, rounds=3).collect()
+        assert {r.doc_id: r.score for r in rows} == pytest.approx(expected)
