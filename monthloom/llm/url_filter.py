@@ -6,8 +6,10 @@ their path belongs to. Templates are the nodes of a tree per host, built from th
 1. Segments that are numbers or codes become shapes (`{n}`, `{x}`), file endings stay.
 2. At each node, children that are many and each rare are one wildcard.
 3. Children that continue alike are merged: the Bhattacharyya coefficient of what follows
-   them, compared with the node's largest child, must reach `ALIKE`. Only children with the
-   same kind of labels (none, mostly blocked, mixed, mostly allowed) are compared.
+   them must reach `ALIKE`. Children of the same kind of labels (mostly blocked, mixed, mostly
+   allowed) are compared with each other, those without labels with all. In order, labelled
+   and large ones first, each goes to the pivot it is most alike (of equal ones the first) or
+   becomes a pivot.
 4. A template is rejected if its share of blocked labels, smoothed by `PRIOR_WEIGHT`
    labels at the overall share, reaches `REJECT`. Without labels it is not.
 
@@ -80,6 +82,25 @@ def _label_kind(bad: Column, good: Column) -> Column:
     )
 
 
+def _place() -> Column:
+    """The order in which children become pivots: labelled ones first, then by size."""
+    return F.struct((F.col("kind") == 0).alias("bare"), (-F.col("n")).alias("less"), F.col("child").alias("name"))
+
+
+def _groups(children: Column) -> Column:
+    """(child, pivot) of a node's children in order: each goes to the pivot it is most alike,
+    or else is a pivot itself."""
+    none = F.array().cast("array<struct<child:string,pivot:string>>")
+
+    def step(groups, x):
+        pivots = F.transform(F.filter(groups, lambda g: g["child"] == g["pivot"]), lambda g: g["pivot"])
+        near = F.filter(x["near"], lambda c: F.array_contains(pivots, c["pivot"]))
+        pivot = F.coalesce(F.get(near, F.lit(0))["pivot"], x["child"])
+        return F.concat(groups, F.array(F.struct(x["child"].alias("child"), pivot.alias("pivot"))))
+
+    return F.aggregate(children, none, step)
+
+
 def _grow(paths: DataFrame, level: int) -> DataFrame:
     """`paths` with the segment at `level` generalised or merged in its node."""
     here = (
@@ -105,24 +126,33 @@ def _grow(paths: DataFrame, level: int) -> DataFrame:
         )
     )
     named = children.where(F.col("name") != ANY)
-    largest = named.groupBy(*key, "kind").agg(
-        F.max_by("child", F.struct("n", "child")).alias("pivot"), F.max("n").alias("pivot_n")
+    follows = (
+        here.groupBy(*key, "child", "rest")
+        .agg(F.sum("n").alias("m"))
+        .join(named, [*key, "child"])
+        .select(*key, "rest", "child", F.col("m") / F.col("n"), _place().alias("place"), "kind")
+        .toDF(*key, "rest", "child", "share", "place", "kind")
     )
-    follows = here.groupBy(*key, "child", "rest").agg(F.sum("n").alias("m"))
-    of_child = named.join(largest, [*key, "kind"]).join(follows, [*key, "child"])
-    of_pivot = (
-        largest.withColumnRenamed("pivot", "child")
-        .join(follows, [*key, "child"])
-        .select(*key, F.col("child").alias("pivot"), "rest", F.col("m").alias("pivot_m"))
+    before = follows.toDF(*key, "rest", "pivot", "pivot_share", "pivot_place", "pivot_kind")
+    # A node has few named children, so a rest has few holders.
+    near = (
+        follows.join(before, [*key, "rest"])
+        .where((F.col("pivot_place") < F.col("place")) & ((F.col("kind") == 0) | (F.col("kind") == F.col("pivot_kind"))))
+        .groupBy(*key, "child", "pivot")
+        .agg(F.sum(F.sqrt(F.col("share") * F.col("pivot_share"))).alias("alike"), F.min("pivot_place").alias("pivot_place"))
+        .where(F.col("alike") >= ALIKE)
+        .groupBy(*key, "child")
+        .agg(F.sort_array(F.collect_list(F.struct((-F.round("alike", 9)).alias("far"), "pivot_place", "pivot"))).alias("near"))
     )
     alike = (
-        of_child.join(of_pivot, [*key, "pivot", "rest"])
-        .groupBy(*key, "child", "pivot")
-        .agg(F.sum(F.sqrt(F.col("m") / F.col("n") * F.col("pivot_m") / F.col("pivot_n"))).alias("alike"))
-        .where((F.col("alike") >= ALIKE) & (F.col("child") != F.col("pivot")))
-        .select(*key, "child", "pivot")
+        named.join(near, [*key, "child"], "left")
+        .groupBy(*key)
+        .agg(F.sort_array(F.collect_list(F.struct(_place().alias("place"), "child", "near"))).alias("children"))
+        .select(*key, F.explode(_groups(F.col("children"))).alias("group"))
+        .select(*key, "group.child", "group.pivot")
+        .where("child != pivot")
     )
-    # A merged branch is named after its largest child, marked as a group.
+    # A merged branch is named after its pivot.
     renamed = children.join(alike, [*key, "child"], "left").select(
         *key, "child", F.coalesce("pivot", "name").alias("new")
     )

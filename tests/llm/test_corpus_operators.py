@@ -232,3 +232,18 @@ def test_pipeline_against_plain_stages(spark, tmp_path):
 
 def test_plain_helpers_agree():
     assert shingles("A a\tb", 5) == {("a", "a", "b")} and lower(None) == ""
+
+
+def test_branches_without_labels_join_the_labelled_ones_they_resemble(spark):
+    rules = (("block", "s.t/bad/"), ("allow", "s.t/good/"))
+    urls = [f"http://s.t/bad/{a}/{i}" for a in ("buy", "win") for i in range(20)]
+    urls += [f"http://s.t/good/{a}/{i}" for a in ("read", "learn") for i in range(30)]
+    urls += [f"http://s.t/new/{a}/{i}" for a in ("buy", "win") for i in range(8)]
+    urls += [f"http://s.t/old/{a}/{i}" for a in ("read", "learn") for i in range(9)]
+    urls += [f"http://s.t/{c}/x/y{k}" for c in ("p", "q", "r") for k in "ab"] + ["http://s.t/z/alone"]
+    table = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rows = {u: r for r in url_filter.filter_urls(table, rules).collect() for u in [urls[r.page_id]]}
+    assert all(rows[u].verdict == ("block" if "/bad/" in u or "/new/" in u else "allow") for u in urls)
+    assert {rows[u].template.split("/")[1] for u in urls if "/old/" in u} == {"good"}
+    # A second and a third pivot of the node: neither is the largest child.
+    assert len({rows[f"http://s.t/{c}/x/ya"].template for c in "pqr"}) == 1
