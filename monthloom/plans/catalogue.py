@@ -731,10 +731,7 @@ def tuned_ar_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -------------------------------------------------------------- boosted trees
 
-#: The tree queries show the rolling machinery on a budget of a few trees; the jobs' default
-#: is 300 (`BoostingSettings`). All rows, features and splits are those of the full run.
-FEW_TREES = 5
-_FEW = dict(n_estimators=FEW_TREES, learning_rate=0.1)
+# The fits take the jobs' defaults, 300 trees. Only the search below is a small one.
 
 
 def _boost_data(
@@ -759,17 +756,17 @@ def _boost(spark: SparkSession, sf_dir: str, settings: boosting.BoostingSettings
 @query
 def gbt_depthwise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forecasts of the holdout months."""
-    return _boost(spark, sf_dir, boosting.BoostingSettings(**_FEW)).predictions
+    return _boost(spark, sf_dir, boosting.BoostingSettings()).predictions
 
 
 @query
 def gbt_leafwise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _boost(spark, sf_dir, boosting.leafwise_defaults(**_FEW, min_rows=10)).predictions
+    return _boost(spark, sf_dir, boosting.leafwise_defaults()).predictions
 
 
 @query
 def gbt_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    result = _boost(spark, sf_dir, boosting.BoostingSettings(**_FEW))
+    result = _boost(spark, sf_dir, boosting.BoostingSettings())
     return boosting.importance_table(result.importances)
 
 

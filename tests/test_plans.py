@@ -90,3 +90,24 @@ def test_staged_tables_can_be_released(spark):
     assert staged()
     release(spark)
     assert not staged()
+
+
+def test_tree_queries_fit_with_the_defaults_of_the_jobs(monkeypatch):
+    from monthloom.operators import boosting
+    from monthloom.plans import catalogue
+
+    asked = []
+
+    class Asked(Exception):
+        pass
+
+    def fit(spark, sf_dir, settings):
+        asked.append(settings)
+        raise Asked
+
+    monkeypatch.setattr(catalogue, "_boost", fit)
+    for name in ("gbt_depthwise", "gbt_leafwise", "gbt_importance"):
+        with pytest.raises(Asked):
+            getattr(catalogue, name)(None, "")
+    assert asked == [boosting.BoostingSettings(), boosting.leafwise_defaults(), boosting.BoostingSettings()]
+    assert {s.n_estimators for s in asked} == {300}
