@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from monthloom.llm import (
+    centroids,
     chat,
     decontaminate,
     language_id,
@@ -26,10 +27,12 @@ QUERIES = {
     "op3_ngram_jaccard_join": ngram_join.op3_ngram_jaccard_join,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op7_winnowing_decontamination": decontaminate.op7_winnowing_decontamination,
+    "op11_bit_plane_clusters": centroids.op11_bit_plane_clusters,
 }
 
 ORACLES = {
     "op8_preference_chat": chat.ORACLE,
     "op3_ngram_jaccard_join": ngram_join.ORACLE,
     "op7_winnowing_decontamination": decontaminate.ORACLE,
+    "op11_bit_plane_clusters": centroids.ORACLE,
 }
