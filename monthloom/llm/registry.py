@@ -6,6 +6,7 @@ from monthloom.llm import (
     centroids,
     chat,
     decontaminate,
+    hard_negatives,
     language_id,
     language_model,
     line_dedup,
@@ -28,6 +29,7 @@ QUERIES = {
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op7_winnowing_decontamination": decontaminate.op7_winnowing_decontamination,
     "op11_bit_plane_clusters": centroids.op11_bit_plane_clusters,
+    "op13_hyperplane_tree_negatives": hard_negatives.op13_hyperplane_tree_negatives,
 }
 
 ORACLES = {
@@ -35,4 +37,5 @@ ORACLES = {
     "op3_ngram_jaccard_join": ngram_join.ORACLE,
     "op7_winnowing_decontamination": decontaminate.ORACLE,
     "op11_bit_plane_clusters": centroids.ORACLE,
+    "op13_hyperplane_tree_negatives": hard_negatives.ORACLE,
 }
