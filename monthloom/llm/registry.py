@@ -12,6 +12,7 @@ from monthloom.llm import (
     line_dedup,
     ngram_join,
     packing,
+    page_text,
     pii,
     quality,
     url_filter,
@@ -29,6 +30,7 @@ QUERIES = {
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op7_winnowing_decontamination": decontaminate.op7_winnowing_decontamination,
     "op11_bit_plane_clusters": centroids.op11_bit_plane_clusters,
+    "op12_recurrent_page_text": page_text.op12_recurrent_page_text,
     "op13_hyperplane_tree_negatives": hard_negatives.op13_hyperplane_tree_negatives,
 }
 
