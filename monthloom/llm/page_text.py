@@ -34,8 +34,11 @@ from monthloom.llm import words
 
 SAMPLE = 300
 SAMPLE_CHARS = 100_000
-DRAWN = 900
+DRAWN = 1000
+INVENTED = 5000
 EPOCHS = 10
+#: Share of blocks that a round of fitting shows without their words.
+WORDLESS = 0.3
 HIDDEN = 20
 SLICE = 4096
 #: Names a task remembers before it starts anew.
@@ -355,6 +358,7 @@ class Labeller:
                 part = part[np.argsort([-len(pages[i][1]) for i in part], kind="stable")]
                 x, y = (np.concatenate([pages[i][k] for i in part]) for k in (0, 1))
                 length = np.array([len(pages[i][1]) for i in part])
+                x[rng.random(len(x)) < WORDLESS, PATH + OWN : PATH + OWN + WORDS] = 0.0
                 grads = self._gradients(x, y, np.cumsum(length) - length, length)
                 steps += 1
                 rate = 0.012 * (1 - epoch / epochs) + 0.001
@@ -419,7 +423,10 @@ class _Drawer:
 
     def __init__(self, texts: list[str], seed: int):
         self.rng = np.random.default_rng(seed)
-        self.words = [w for t in texts for w in t.split()][:50_000] or "a word of text".split()
+        self.words = [w for t in texts for w in t.split()][:50_000]
+        # Invented words as well, so that few texts do not make their words a sign of main text.
+        letters = np.array(list("etaoinsrhldcumfpgwybvk" + "éäßñ.,ETAS"))
+        self.words += ["".join(self.rng.choice(letters, int(n))) for n in self.rng.integers(1, 10, INVENTED)]
 
     def chance(self, share: float) -> bool:
         return self.rng.random() < share
@@ -475,10 +482,11 @@ class _Drawer:
             out.append(f"<header>{head}</header>" if self.chance(0.1) and begin.startswith("<article") else head)
         if self.chance(0.4):
             out.append(f"<p><b>{title}<br>")
-        for _ in range(int(self.rng.integers(1, 14))):
+        again = self.prose() if self.chance(0.1) else None
+        for _ in range(int(np.exp(self.rng.uniform(0, np.log(40))))):
             kind = self.rng.random()
             if kind < 0.8:
-                out.append(f"<p>{self.prose()}" + "</p>" * self.chance(0.9))
+                out.append(f"<p>{again or self.prose()}" + "</p>" * self.chance(0.9))
             elif kind < 0.86:
                 out.append("<ul>" + "".join(f"<li>{self.prose(20)}</li>" for _ in range(3)) + "</ul>")
             elif kind < 0.9:
