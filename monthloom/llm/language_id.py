@@ -9,9 +9,11 @@ the work, so each distinct word is computed once per worker, many at a time as a
 The pieces are fitted on a bounded sample of labelled rows: about `SAMPLE` documents of
 each language, chosen by a hash of the id. Everything else reads all rows whole.
 
-Words are runs of letters, lower-cased, with a mark of their start; a run of more than
-`LONGEST` letters is scored in blocks. Letters outside the vocabulary are pieces of
-probability `UNKNOWN` in every language.
+Words are runs of letters, lower-cased, with a mark of their start, however long; those of more
+than `SHORT` letters are summed in logarithms, as their probabilities are too small for a
+double. Letters outside the vocabulary are pieces of probability `UNKNOWN` in every language;
+all letter pieces of the vocabulary are used. A word without any known piece still has its
+mark's probability in each language.
 
 Defined cases: a null text, or one without letters, is `und` with score 0; without
 labelled rows every text is; ties go to the language that comes first by name; repeated
@@ -31,8 +33,7 @@ from monthloom.session import stage
 VOCABULARY = "piece_bpe_32k.model"
 SAMPLE = 500
 ROUNDS = 3
-LONGEST = 31
-LONGEST_PIECE = 12
+SHORT = 32
 UNKNOWN = 1e-7
 FLOOR = 1e-9
 REMEMBERED = 3_000_000
@@ -53,7 +54,7 @@ def pieces_of(path: str) -> list[str]:
     for i in range(model.get_piece_size()):
         piece = model.id_to_piece(i).lower()
         body = piece.removeprefix(_MARK)
-        if (not body or body.isalpha()) and piece and len(piece) <= LONGEST_PIECE:
+        if (not body or body.isalpha()) and piece:
             found.add(piece)
     return sorted(found | {_MARK})
 
@@ -131,21 +132,64 @@ def expected(pieces: Pieces, probability, codes, counts) -> np.ndarray:
     return out
 
 
+def _ending(pieces: Pieces, codes: np.ndarray) -> np.ndarray:
+    """For one word: the piece of each length (column) that ends at each letter, or -1."""
+    prefix = _prefix_hashes(codes)[0]
+    width = codes.shape[1]
+    out = np.full((width, pieces.longest), -1, dtype=np.int64)
+    for n in range(1, min(pieces.longest, width) + 1):
+        value = prefix[n:] - prefix[:-n] * pieces.power[n]
+        at = np.minimum(np.searchsorted(pieces.hashes, value), len(pieces.hashes) - 1)
+        known = pieces.hashes[at] == value
+        out[n - 1 :, n - 1] = np.where(known, pieces.index[at], pieces.size if n == 1 else -1)
+    return out
+
+
+def _log_total(terms: np.ndarray) -> np.ndarray:
+    most = terms.max(axis=0)
+    return most + np.log(np.exp(terms - most).sum(axis=0))
+
+
+def log_forward(pieces: Pieces, logs: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """`forward` of one word of any length, in logarithms: [end] and an axis for languages."""
+    ending = _ending(pieces, codes)
+    alpha = np.zeros((codes.shape[1] + 1, *logs.shape[1:]))
+    for end, row in enumerate(ending, 1):
+        size = np.flatnonzero(row >= 0)
+        alpha[end] = _log_total(alpha[end - 1 - size] + logs[row[size]])
+    return alpha
+
+
+def log_expected(pieces: Pieces, logs: np.ndarray, codes: np.ndarray, count) -> np.ndarray:
+    """`expected` of one word of any length and one language."""
+    ending = _ending(pieces, codes)
+    alpha = log_forward(pieces, logs, codes)
+    beta = np.full_like(alpha, -np.inf)
+    beta[-1] = 0
+    out = np.zeros(pieces.size + 1)
+    for end in range(codes.shape[1], 0, -1):
+        row = ending[end - 1]
+        size = np.flatnonzero(row >= 0)
+        after = logs[row[size]] + beta[end]
+        start = end - 1 - size
+        beta[start] = np.logaddexp(beta[start], after)
+        np.add.at(out, row[size], count * np.exp(alpha[start] + after - alpha[-1]))
+    return out
+
+
 def letter_runs(text: str) -> list[str]:
-    """Marked blocks of letters of a lower-cased word."""
+    """Marked runs of letters of a lower-cased word."""
     if not text.isalpha():
         text = "".join(c if c.isalpha() else " " for c in text)
-    return [
-        _MARK + run[i : i + LONGEST] for run in text.split() for i in range(0, len(run), LONGEST)
-    ]
+    return [_MARK + run for run in text.split()]
 
 
 def by_width(texts: list[str], cells: int = 400_000):
-    """Indices of texts of equal length, in blocks of bounded size."""
+    """Indices of texts of equal length, in blocks of bounded size; long ones one by one."""
     length = np.array([len(t) for t in texts])
     for width in np.unique(length).tolist():
         at = np.flatnonzero(length == width)
-        step = max(1, cells // (width * width))
+        step = max(1, cells // (width * width)) if width <= SHORT else 1
         for i in range(0, len(at), step):
             part = at[i : i + step]
             yield part, _codes([texts[k] for k in part], width)
@@ -156,6 +200,7 @@ class Scorer:
 
     def __init__(self, pieces: list[str], probability: np.ndarray):
         self.pieces, self.probability = Pieces(pieces), probability
+        self.log_probability = np.log(probability)
         self.forget()
 
     def forget(self) -> None:
@@ -172,8 +217,11 @@ class Scorer:
         found = np.zeros((len(texts), self.logs.shape[1]))
         owner = np.array(owner, dtype=np.int64)
         for part, codes in by_width(runs):
-            total = forward(self.pieces, self.probability, codes)[-1]
-            np.add.at(found, owner[part], np.column_stack([np.log(total), np.ones(len(part))]))
+            if codes.shape[1] > SHORT:
+                total = log_forward(self.pieces, self.log_probability, codes)[-1:]
+            else:
+                total = np.log(forward(self.pieces, self.probability, codes)[-1])
+            np.add.at(found, owner[part], np.column_stack([total, np.ones(len(part))]))
         place = np.searchsorted(self.hashes, hashes)
         self.hashes = np.insert(self.hashes, place, hashes)
         self.logs = np.insert(self.logs, place, found, axis=0)
@@ -240,8 +288,13 @@ def _expected_rows(shared):
             lang = np.array([column[x] for x in batch.column(0).to_pylist()])
             for k in np.unique(lang).tolist():
                 mine = np.flatnonzero(lang == k)
+                logs = np.log(probability[:, k])
                 for part, codes in by_width([texts[i] for i in mine]):
-                    total[:, k] += expected(pieces, probability[:, k], codes, count[mine[part]])
+                    n = count[mine[part]]
+                    if codes.shape[1] > SHORT:
+                        total[:, k] += log_expected(pieces, logs, codes, n[0])
+                    else:
+                        total[:, k] += expected(pieces, probability[:, k], codes, n)
         piece, lang = np.nonzero(total[:-1])
         yield pa.record_batch(
             [pa.array(piece), pa.array(lang), pa.array(total[piece, lang])],
