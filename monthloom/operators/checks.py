@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from monthloom.functions.numeric import is_finite
@@ -44,17 +44,21 @@ def duplicate_keys(df: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     return df.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
-def not_finite(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Rows in which any of the columns is missing, NaN or infinite."""
-    if not columns:
-        return df.limit(0)
-    # a balanced `or` tree keeps very wide panels within the parser's depth
-    tests = [~is_finite(F.col(f"`{c}`")) for c in columns]
+def any_of(tests: Sequence[Column]) -> Column:
+    """`or` as a balanced tree, which keeps very wide panels within the parser's depth."""
+    tests = list(tests)
     while len(tests) > 1:
         tests = [
             reduce(lambda a, b: a | b, tests[i : i + 8]) for i in range(0, len(tests), 8)
         ]
-    return df.filter(tests[0])
+    return tests[0]
+
+
+def not_finite(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows in which any of the columns is missing, NaN or infinite."""
+    if not columns:
+        return df.limit(0)
+    return df.filter(any_of([~is_finite(F.col(f"`{c}`")) for c in columns]))
 
 
 def unexpected_dimension_values(df: DataFrame, expected: dict[str, str]) -> DataFrame:

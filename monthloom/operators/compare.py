@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from monthloom.functions.numeric import is_close, level_ape
 from monthloom.operators.checks import DataCheckError, duplicate_keys, require_none, require_rows
 from monthloom.operators.evaluate import mae, rmse
+from monthloom.operators.rules import Rule, check
 from monthloom.operators.target import LEVEL_LAG, TARGET
 
 TOLERANCE = 1e-9
@@ -87,22 +88,29 @@ def attach_levels(predictions: DataFrame, panel: DataFrame) -> DataFrame:
     )
 
 
-def check_levels(levels: DataFrame) -> None:
+def level_rules() -> list[Rule]:
+    """Every prediction has a panel row with the same outcome, and a positive level."""
     matched = F.col(LEVEL_LAG).isNotNull() & F.col("panel_target").isNotNull()
-    require_none(
-        levels.filter(~matched).select("month", "entity", "model"),
-        "Some predictions have no panel row.",
-    )
-    require_none(
-        levels.filter(~is_close(F.col("actual"), F.col("panel_target"), atol=TOLERANCE)).select(
-            "month", "entity", "model", "actual", "panel_target"
+    key = ("month", "entity", "model")
+    return [
+        Rule("unmatched", "Some predictions have no panel row.", ~matched, key),
+        Rule(
+            "other_outcome",
+            "The outcome of a prediction differs from the panel.",
+            ~is_close(F.col("actual"), F.col("panel_target"), atol=TOLERANCE),
+            (*key, "actual", "panel_target"),
         ),
-        "The outcome of a prediction differs from the panel.",
-    )
-    require_none(
-        levels.filter(F.col("actual_level") <= 0).select("month", "entity"),
-        "Percentage errors need positive levels.",
-    )
+        Rule(
+            "level_not_positive",
+            "Percentage errors need positive levels.",
+            F.col("actual_level") <= 0,
+            ("month", "entity"),
+        ),
+    ]
+
+
+def check_levels(levels: DataFrame) -> None:
+    check(levels, level_rules())
 
 
 def level_metrics(levels: DataFrame) -> DataFrame:

@@ -10,13 +10,9 @@ from pyspark.sql import functions as F
 from monthloom import params
 from monthloom.functions.calendar import month_end
 from monthloom.functions.numeric import nan_to_null
-from monthloom.operators.checks import (
-    DataCheckError,
-    duplicate_keys,
-    not_finite,
-    require_none,
-)
+from monthloom.operators.checks import DataCheckError, any_of
 from monthloom.operators.coverage import require_equal_coverage
+from monthloom.operators.rules import Rule, check, finite, unique
 
 DUMMY_PREFIX = "C_"
 
@@ -124,32 +120,82 @@ def panel_summary(panel: DataFrame, features: Sequence[str], target: str | None
     )
 
 
+def panel_rules(
+    panel: DataFrame,
+    features: Sequence[str],
+    excluded: Sequence[str] = params.EXCLUDED_ENTITIES,
+) -> list[Rule]:
+    """Excluded entities are absent, each row's dummies are those of its entity, and every
+    feature is finite."""
+    marked = [c for c in panel.columns if c.startswith(DUMMY_PREFIX)]
+    wrong = [
+        ~F.col(f"`{c}`").eqNullSafe((F.col("entity") == c[len(DUMMY_PREFIX) :]).cast("int"))
+        for c in marked
+    ]
+    return [
+        Rule(
+            "excluded_entity",
+            "Excluded entities are still in the panel.",
+            F.col("entity").isin(*excluded),
+            ("entity",),
+        ),
+        Rule(
+            "wrong_dummies",
+            "The dummies of a row are not those of its entity.",
+            any_of(wrong) if wrong else F.lit(False),
+        ),
+        finite("not_finite", "The panel has missing or non-finite features.", features),
+    ]
+
+
+def combined_rules(panel: DataFrame, features: Sequence[str], target: str) -> list[Rule]:
+    """The rules of the panel, unique keys, and a finite target and lag."""
+    others = [c for c in panel.columns if c not in ("entity", "month", *features)]
+    return [
+        unique("The panel repeats an entity and month."),
+        *panel_rules(panel, features),
+        finite(
+            "target_not_finite",
+            "The combined panel has missing or non-finite values.",
+            list(dict.fromkeys([*others, target])),
+        ),
+    ]
+
+
+def shape_totals(target: str | None = None) -> dict[str, Column]:
+    """Totals that ride along: entities (as many as dummy columns, and one), span, target."""
+    found = {
+        "n_entities": F.size(F.collect_set("entity")),
+        "first_month": F.min("month"),
+        "last_month": F.max("month"),
+    }
+    if target is not None:
+        found |= {"target_min": F.min(target), "target_max": F.max(target)}
+    return found
+
+
+def require_dummies(panel: DataFrame, n_entities: int) -> None:
+    n_dummies = sum(c.startswith(DUMMY_PREFIX) for c in panel.columns)
+    if n_dummies != max(n_entities - 1, 0):
+        raise DataCheckError(f"Expected {n_entities - 1} dummies, found {n_dummies}.")
+
+
+def _check(panel: DataFrame, rules: list[Rule]) -> None:
+    found = check(panel, rules, {"n_entities": F.count_distinct("entity")})
+    require_dummies(panel, found["n_entities"])
+
+
 def check_panel(
     panel: DataFrame,
     features: Sequence[str],
     excluded: Sequence[str] = params.EXCLUDED_ENTITIES,
 ) -> None:
-    require_none(
-        panel.filter(F.col("entity").isin(*excluded)).select("entity").distinct(),
-        "Excluded entities are still in the panel.",
-    )
-    require_none(duplicate_keys(panel), "The panel repeats an entity and month.")
-    require_none(
-        not_finite(panel, features).select("entity", "month"),
-        "The panel has missing or non-finite features.",
+    """The rules of a panel at rest, in one job."""
+    _check(
+        panel,
+        [unique("The panel repeats an entity and month."), *panel_rules(panel, features, excluded)],
     )
-    shape = panel_summary(panel, features).first()
-    if shape.n_dummies != max(shape.n_entities - 1, 0):
-        raise DataCheckError(
-            f"Expected {shape.n_entities - 1} dummies, found {shape.n_dummies}."
-        )
 
 
 def check_combined(panel: DataFrame, features: Sequence[str], target: str) -> None:
-    check_panel(panel, features)
-    others = [c for c in panel.columns if c not in ("entity", "month")]
-    numeric = [c for c in others if c not in features]
-    require_none(
-        not_finite(panel, [*numeric, target]).select("entity", "month"),
-        "The combined panel has missing or non-finite values.",
-    )
+    _check(panel, combined_rules(panel, features, target))

@@ -21,6 +21,7 @@ from monthloom.operators import (
     forecast,
     lags,
     panel,
+    rules,
     series,
     splits,
     target,
@@ -53,15 +54,22 @@ def build_panel(
         series.unpack(transforms.log_transforms(detrend.detrend(adjusted, orient=orient)))
     )
     built, features = panel.build_panel(features_long, reference)
-    built = cut_lineage(built)
-    panel.check_panel(built, features)
+    # the rules ride on the writes; no job looks at the rows again unless one is broken
+    counted = rules.watched(built, panel.panel_rules(built, features), panel.shape_totals())
+    built = cut_lineage(counted.frame)
+    panel.require_dummies(built, counted.require(built)["n_entities"])
     filled = cut_lineage(
         target.fill_isolated_gaps(target.attach_rates(built, rate_file.load_rates(spark, rate_path)))
     )
     combined = target.with_target(target.add_change(filled))
-    panel_store.write_panel(combined, out_path)
+    totals = panel_store.write_checked(
+        combined,
+        out_path,
+        panel.combined_rules(combined, features, target.TARGET),
+        panel.shape_totals(target.TARGET),
+    )
     written = spark.read.parquet(out_path)
-    panel.check_combined(written, features, target.TARGET)
+    panel.require_dummies(written, totals["n_entities"])
     return run_summary(labelled, features_long, features, filled, written)
 
 
@@ -245,8 +253,9 @@ def compare_models(
     common = cut_lineage(compare.checked_common_sample(rows))
     keys = panel_store.level_keys(spark, panel_path)
     require_none(duplicate_keys(keys), "The panel repeats an entity and month.")
-    levels = cut_lineage(compare.attach_levels(common, keys))
-    compare.check_levels(levels)
+    counted = rules.watched(compare.attach_levels(common, keys), compare.level_rules())
+    levels = cut_lineage(counted.frame)
+    counted.require(levels)
     if plot_entities:
         compare.check_plot_series(levels, plot_entities)
     return artifacts.write_comparison(

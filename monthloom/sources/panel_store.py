@@ -9,18 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from monthloom.functions.calendar import month_end
-from monthloom.operators.checks import (
-    DataCheckError,
-    duplicate_keys,
-    not_finite,
-    require_columns,
-    require_none,
-)
+from monthloom.operators.checks import DataCheckError, require_columns
+from monthloom.operators.rules import Rule, check, finite, unique, watched_by_key
 from monthloom.operators.target import LEVEL, LEVEL_LAG, TARGET
 
 _KEYS = ("month", "entity")
@@ -31,12 +26,21 @@ def write_panel(panel: DataFrame, path: str, csv: bool = False) -> None:
     if csv:
         panel.orderBy(*_KEYS).write.mode("overwrite").option("header", "true").csv(path)
         return
-    (
-        panel.repartitionByRange(*_KEYS)
-        .sortWithinPartitions(*_KEYS)
-        .write.mode("overwrite")
-        .parquet(path)
-    )
+    _write(panel.repartitionByRange(*_KEYS).sortWithinPartitions(*_KEYS), path)
+
+
+def _write(laid: DataFrame, path: str) -> None:
+    laid.write.mode("overwrite").parquet(path)
+
+
+def write_checked(
+    panel: DataFrame, path: str, rules: Sequence[Rule], totals: dict[str, Column] | None = None
+) -> dict:
+    """Write the panel as `write_panel` does and count its rules on the way, unique keys
+    included. Raises after the write if one is broken; returns the counters and totals."""
+    found = watched_by_key(panel, rules, totals, _KEYS)
+    _write(found.frame, path)
+    return found.require(panel.sparkSession.read.schema(panel.schema).parquet(path))
 
 
 def feature_columns(panel: DataFrame, target: str = TARGET) -> list[str]:
@@ -44,6 +48,17 @@ def feature_columns(panel: DataFrame, target: str = TARGET) -> list[str]:
     return [c for c in panel.columns if c not in (*_KEYS, target)]
 
 
+def model_rules(features: Sequence[str], target: str = TARGET) -> list[Rule]:
+    """The rules on the rows of a modelling panel."""
+    return [
+        Rule("invalid_month", "The panel has invalid months.", F.col("month").isNull(), ("entity",)),
+        unique("The panel repeats an entity and month."),
+        finite(
+            "not_finite", "The panel has missing or non-finite values.", list(dict.fromkeys([*features, target]))
+        ),
+    ]
+
+
 def check_model_panel(panel: DataFrame, target: str = TARGET) -> list[str]:
     """The rules of a modelling panel; returns its feature list."""
     if LEVEL in panel.columns:
@@ -60,14 +75,7 @@ def check_model_panel(panel: DataFrame, target: str = TARGET) -> list[str]:
     ]
     if text:
         raise DataCheckError(f"Predictors must be numeric: {text[:10]}.")
-    require_none(
-        panel.filter(F.col("month").isNull()).select("entity"), "The panel has invalid months."
-    )
-    require_none(duplicate_keys(panel), "The panel repeats an entity and month.")
-    require_none(
-        not_finite(panel, [*features, target]).select("entity", "month"),
-        "The panel has missing or non-finite values.",
-    )
+    check(panel, model_rules(features, target))
     return features
 
 

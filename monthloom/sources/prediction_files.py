@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from monthloom.operators.checks import DataCheckError, duplicate_keys, not_finite, require_none, require_rows
+from monthloom.operators.checks import DataCheckError
 from monthloom.operators.evaluate import metrics_by_entity, metrics_overall, with_errors
+from monthloom.operators.rules import Rule, check, finite, unique
 from monthloom.session import cut_lineage
 
 # fixed value: the layout of a prediction row
@@ -14,6 +15,7 @@ SCHEMA = (
     "month date, entity string, model string, actual double, prediction double, "
     "train_start date, train_end date, error double, absolute_error double, squared_error double"
 )
+MODEL_KEY = ("month", "entity", "model")
 COMPARED = ("month", "entity", "model", "actual", "prediction")
 
 
@@ -70,19 +72,23 @@ def read_prediction_csv(spark: SparkSession, folder: str) -> DataFrame:
     return rows
 
 
+def prediction_rules() -> list[Rule]:
+    return [
+        finite(
+            "not_finite",
+            "Prediction files hold missing or non-finite values.",
+            ["actual", "prediction"],
+            ("source_file", "entity", "month"),
+        ),
+        unique("A model has two predictions for an entity and month.", MODEL_KEY),
+    ]
+
+
 def checked_predictions(rows: DataFrame) -> DataFrame:
-    """The rows, read once and checked."""
+    """The rows, read once and checked in one job."""
     rows = cut_lineage(rows)
-    require_rows(rows, "There are no prediction rows.")
-    require_none(
-        not_finite(rows, ["actual", "prediction"]).select("source_file", "entity", "month"),
-        "Prediction files hold missing or non-finite values.",
-    )
-    require_none(
-        duplicate_keys(rows, ("month", "entity", "model")).orderBy("month", "entity", "model"),
-        "A model has two predictions for an entity and month.",
-        examples=10,
-    )
+    if not check(rows, prediction_rules(), {"n": F.count(F.lit(1))}, MODEL_KEY)["n"]:
+        raise DataCheckError("There are no prediction rows.")
     return rows
 
 
