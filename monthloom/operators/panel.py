@@ -148,12 +148,17 @@ def panel_rules(
     ]
 
 
-def combined_rules(panel: DataFrame, features: Sequence[str], target: str) -> list[Rule]:
+def combined_rules(
+    panel: DataFrame,
+    features: Sequence[str],
+    target: str,
+    excluded: Sequence[str] = params.EXCLUDED_ENTITIES,
+) -> list[Rule]:
     """The rules of the panel, unique keys, and a finite target and lag."""
     others = [c for c in panel.columns if c not in ("entity", "month", *features)]
     return [
         unique("The panel repeats an entity and month."),
-        *panel_rules(panel, features),
+        *panel_rules(panel, features, excluded),
         finite(
             "target_not_finite",
             "The combined panel has missing or non-finite values.",

@@ -19,6 +19,7 @@ from monthloom.operators import (
     forecast,
     lags,
     panel,
+    rules,
     series,
     splits,
     target,
@@ -286,6 +287,49 @@ def panel_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(summary, target_min=7, target_max=7)
 
 
+def _faulty_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The modelling panel with faults of every kind, by calendar month and region."""
+    rows = _modelling_panel(spark, sf_dir)
+    at = lambda entity, month: (F.col("entity") == entity) & (F.month("month") == month)
+    rows = rows.unionByName(rows.where(at("AMERICA", 12))).withColumns(
+        {
+            "ECONOMY": F.when(at("ASIA", 3), F.lit(float("nan"))).otherwise(F.col("ECONOMY")),
+            "target": F.when(~at("EUROPE", 7), F.col("target")),
+            "C_EUROPE": F.when(at("EUROPE", 5), 0).otherwise(F.col("C_EUROPE")),
+        }
+    )
+    return rows.withColumn("month", F.when(~at("AFRICA", 9), F.col("month")))
+
+
+@query
+def panel_rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Violations of every rule of a combined panel, counted in one pass."""
+    rows = _faulty_panel(spark, sf_dir)
+    own = panel.combined_rules(rows, PANEL_FEATURES, target.TARGET, excluded=("MIDDLE EAST",))
+    return rules.violations(rows, own)
+
+
+@query
+def model_panel_rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _faulty_panel(spark, sf_dir)
+    return rules.violations(rows, panel_store.model_rules(panel_store.feature_columns(rows)))
+
+
+@query
+def observed_panel_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a checked write of the sound panel counts on its way: rows, entities, span, target."""
+    rows, path = _modelling_panel(spark, sf_dir), scratch_path(spark, "panel")
+    own = panel.combined_rules(rows, PANEL_FEATURES, target.TARGET)
+    seen = panel_store.write_checked(rows, path, own, panel.shape_totals(target.TARGET))
+    row = (seen["_rows"], seen["n_entities"], seen["repeated_key"], seen["first_month"], seen["last_month"],
+           seen["target_min"], seen["target_max"])
+    schema = (
+        "n_rows long, n_entities long, repeated_key long, first_month date, last_month date, "
+        "target_min double, target_max double"
+    )
+    return rounded(spark.createDataFrame([row], schema), target_min=7, target_max=7)
+
+
 # ---------------------------------------------------------------------- rates
 
 
@@ -547,6 +591,21 @@ def sample_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return before.join(after.withColumnRenamed("n", "n_common"), "model", "left")
 
 
+@query
+def level_rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Violations of the rules of reconstructed levels, against a panel with faults."""
+    changes = _staged_changes(spark, sf_dir)
+    june = F.month("month") == 6
+    faulty = changes.where("entity <> 'NATION_4'").withColumns(
+        {
+            "target": F.col("target") + F.when(june, 0.5).otherwise(0.0),
+            "level_lag1": F.when(F.col("entity") == "NATION_2", -100.0).otherwise(F.col("level_lag1")),
+        }
+    )
+    common = compare.common_sample(_staged_predictions(changes))
+    return rules.violations(compare.attach_levels(common, faulty), compare.level_rules())
+
+
 @query
 def level_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(compare.level_metrics(_levels(spark, sf_dir)), rmse=8, mae=8, mape=8)
@@ -604,6 +663,13 @@ def validation_design_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _design_columns(_design(_staged_changes(spark, sf_dir)))
 
 
+@query
+def month_axis_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Months of an axis with holes that are not followed by the next calendar month."""
+    kept = _staged_changes(spark, sf_dir).where((F.year("month") * 12 + F.month("month")) % 11 != 0)
+    return splits.axis_gaps(splits.month_axis(kept))
+
+
 @query
 def rw_validation_rmse(spark: SparkSession, sf_dir: str) -> DataFrame:
     changes = _staged_changes(spark, sf_dir)

@@ -267,6 +267,17 @@ _PANEL = f"""panel AS (
   FROM logs GROUP BY ALL HAVING count(value) = {len(PANEL_FEATURES)})"""
 
 
+#: The modelling panel with the faults that the rule counts look for.
+_FAULTY = """faulty AS (
+  SELECT * REPLACE (
+    CASE WHEN entity = 'AFRICA' AND month(month) = 9 THEN NULL ELSE month END AS month,
+    CASE WHEN entity = 'ASIA' AND month(month) = 3 THEN 'nan'::DOUBLE ELSE ECONOMY END AS ECONOMY,
+    CASE WHEN entity = 'EUROPE' AND month(month) = 7 THEN NULL ELSE target END AS target)
+  FROM (SELECT * FROM changes
+        UNION ALL SELECT * FROM changes WHERE entity = 'AMERICA' AND month(month) = 12))"""
+_REPEATED = "(SELECT CAST(sum(n - 1) AS BIGINT) FROM (SELECT count(*) AS n FROM faulty GROUP BY entity, month))"
+
+
 _GRAIN = {"nation": "n_name", "region": "r_name", "customer": "'CUSTOMER_' || c_custkey"}
 
 
@@ -619,6 +630,34 @@ SELECT count(DISTINCT entity) AS n_entities, {len(PANEL_FEATURES)}::BIGINT AS n_
        min(month) AS first_month, max(month) AS last_month,
        {r('min(target)', 7)} AS target_min, {r('max(target)', 7)} AS target_max
 FROM changes""",
+        "panel_rule_counts": f"""{chain_model}, {_FAULTY}
+SELECT 'repeated_key' AS rule, {_REPEATED} AS n_rows
+UNION ALL SELECT 'excluded_entity', count(*) FILTER (WHERE entity = 'MIDDLE EAST') FROM faulty
+UNION ALL SELECT 'wrong_dummies', count(*) FILTER (WHERE entity = 'EUROPE' AND month(month) = 5) FROM faulty
+UNION ALL SELECT 'not_finite', count(*) FILTER (WHERE isnan(ECONOMY)) FROM faulty
+UNION ALL SELECT 'target_not_finite', count(*) FILTER (WHERE target IS NULL) FROM faulty""",
+        "model_panel_rule_counts": f"""{chain_model}, {_FAULTY}
+SELECT 'invalid_month' AS rule, count(*) FILTER (WHERE month IS NULL) AS n_rows FROM faulty
+UNION ALL SELECT 'repeated_key', {_REPEATED}
+UNION ALL SELECT 'not_finite', count(*) FILTER (WHERE isnan(ECONOMY) OR target IS NULL) FROM faulty""",
+        "observed_panel_write": f"""{chain_model}
+SELECT count(*) AS n_rows, count(DISTINCT entity) AS n_entities, CAST(0 AS BIGINT) AS repeated_key,
+       min(month) AS first_month, max(month) AS last_month,
+       {r('min(target)', 7)} AS target_min, {r('max(target)', 7)} AS target_max
+FROM changes""",
+        "level_rule_counts": f"""{_CHAIN_COMMON},
+fp AS (
+  SELECT month, entity, CASE WHEN entity = 'NATION_2' THEN -100 ELSE level_lag1 END AS lag1,
+         target + CASE WHEN month(month) = 6 THEN 0.5::DOUBLE ELSE 0 END AS outcome
+  FROM changes WHERE entity <> 'NATION_4'),
+fl AS (SELECT c.*, lag1, outcome FROM common c LEFT JOIN fp USING (month, entity))
+SELECT 'unmatched' AS rule, count(*) FILTER (WHERE outcome IS NULL) AS n_rows FROM fl
+UNION ALL SELECT 'other_outcome', count(*) FILTER (WHERE abs(outcome - actual) > 0.1) FROM fl
+UNION ALL SELECT 'level_not_positive', count(*) FILTER (WHERE lag1 + actual <= 0) FROM fl""",
+        "month_axis_gaps": f"""{_CHAIN_AXIS},
+fewer AS (SELECT DISTINCT month FROM changes WHERE {_ord('month')} % 11 <> 0),
+nxt AS (SELECT month, lead(month) OVER (ORDER BY month) AS next_month FROM fewer)
+SELECT month, next_month FROM nxt WHERE {_ord('next_month')} - {_ord('month')} <> 1""",
         "rate_dimension_check": "\nUNION ALL\n".join(
             f"""SELECT '{name}' AS dimension, {name} AS value, count(*) AS n_rows
 FROM orders WHERE {name} IS NOT NULL AND {name} <> '{want}' GROUP BY ALL
