@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import math
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
@@ -18,11 +21,12 @@ from monthloom.operators.checks import DataCheckError
 from monthloom.operators.forecast import prediction_rows
 from monthloom.operators.splits import month_axis, with_month_idx
 from monthloom.operators.target import TARGET
-from monthloom.session import scratch_path
+from monthloom.session import path_exists, scratch_path, scratch_root
 
-#: Partitions of a fit. Spark ML samples rows by partition and place, so the number is an
-#: explicit setting: the same number gives the same trees.
-FIT_PARTITIONS = 8
+#: Training rows in a partition of a fit, unless the settings name the number of partitions.
+#: Spark ML samples rows by partition and place, so the number follows from the window's rows
+#: alone: the same data give the same trees on any cluster.
+ROWS_PER_PARTITION = 20_000
 DEPTHWISE = "Boosted trees (depth-wise)"
 LEAFWISE = "Boosted trees (leaf-wise)"
 
@@ -48,12 +52,12 @@ class BoostingSettings:
     reg_alpha: float = 0.0
     reg_lambda: float = 0.0
     seed: int = params.SEED
-    fit_partitions: int = FIT_PARTITIONS
+    fit_partitions: int | None = None
 
     def __post_init__(self) -> None:
         if self.n_estimators < 1:
             raise ValueError("n_estimators must be positive.")
-        if self.fit_partitions < 1:
+        if self.fit_partitions is not None and self.fit_partitions < 1:
             raise ValueError("fit_partitions must be positive.")
         if self.reg_alpha or self.reg_lambda:
             raise ValueError("Spark ML has no L1 or L2 leaf penalty; set both to 0.")
@@ -65,6 +69,9 @@ class BoostingSettings:
             return self.max_depth
         return max(1, min(self.max_depth, math.ceil(math.log2(self.num_leaves))))
 
+    def partitions(self, n_rows: int) -> int:
+        return self.fit_partitions or max(1, math.ceil(n_rows / ROWS_PER_PARTITION))
+
     def regressor(self, target: str) -> GBTRegressor:
         fraction = "all" if self.column_fraction >= 1.0 else str(self.column_fraction)
         return GBTRegressor(
@@ -156,7 +163,7 @@ def fit_split(data: RollingData, test_idx: int, window: int, settings: BoostingS
     """The rows are laid out by their content alone, so a fit can be repeated exactly."""
     train = (
         data.rows.filter(F.col("month_idx").between(test_idx - window, test_idx - 1))
-        .repartition(settings.fit_partitions, "entity", "month")
+        .repartition(settings.partitions(data.n_train(test_idx, window)), "entity", "month")
         .sortWithinPartitions("month_idx", "entity")
     )
     assembler = VectorAssembler(inputCols=list(data.features), outputCol="features_vec")
@@ -190,9 +197,48 @@ def usable_splits(
 
 @dataclass(frozen=True)
 class RollingResult:
+    """Forecasts, importances and the last model; `fitted` are the splits this run had to fit."""
+
     predictions: DataFrame
     importances: DataFrame
     last_model: PipelineModel
+    fitted: tuple[int, ...] = ()
+
+
+def data_version(data: RollingData) -> str:
+    """A digest of the rows, whatever their order and layout: two sums of row hashes."""
+    row = F.struct(*sorted(data.rows.columns))
+    found = data.rows.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.xxhash64(row).cast("decimal(20,0)")).alias("a"),
+        F.bit_xor(F.xxhash64(row, F.lit(1))).alias("b"),
+    ).first()
+    return f"{found.n}-{found.a}-{found.b}"
+
+
+def fit_digest(data: RollingData, window: int, settings: BoostingSettings) -> str:
+    """What a fit depends on: settings, window, features, target, months and rows."""
+    record = [asdict(settings), window, data.features, data.target, [str(m) for m in data.months]]
+    text = json.dumps([*record, data_version(data)], sort_keys=True, default=list)
+    return hashlib.sha256(text.encode()).hexdigest()[:24]
+
+
+def _commit_split(
+    folder: str, data: RollingData, t: int, window: int, settings: BoostingSettings, keep_model: bool
+) -> None:
+    """Fit one split and write its importances, its model if it is the last, and its forecasts.
+    The forecasts come last: the marker that Spark leaves on them commits the split."""
+    spark = data.rows.sparkSession
+    model = fit_split(data, t, window, settings)
+    weights = model.stages[-1].featureImportances
+    held = [(t, int(i), float(w)) for i, w in zip(weights.indices, weights.values)]
+    spark.createDataFrame(held, "test_idx int, position int, importance double").coalesce(1).write.mode(
+        "overwrite"
+    ).parquet(f"{folder}/importances/split={t}")
+    if keep_model:
+        model.write().overwrite().save(f"{folder}/models/split={t}")
+    forecast = predict_split(data, model, t, window, settings.model)
+    forecast.write.mode("overwrite").parquet(f"{folder}/predictions/split={t}")
 
 
 def rolling_boosting(
@@ -200,33 +246,54 @@ def rolling_boosting(
     window: int,
     settings: BoostingSettings,
     test_idx: Sequence[int] | None = None,
-    parallel_fits: int = 4,
+    parallel_fits: int | None = None,
+    log_folder: str | None = None,
 ) -> RollingResult:
-    """Fit and forecast every split. A few fits run side by side; each writes its
-    forecasts to the shared folder, so a finished split is never fitted again and the
-    result is one flat table."""
+    """Fit and forecast every split; as many fits run side by side as the cluster has cores,
+    at most eight, unless `parallel_fits` says otherwise.
+
+    Below `log_folder` (by default the session's scratch) a split is committed in a folder
+    named by a digest of settings, features and rows. A run that was stopped, or another one
+    that needs the same fits, takes the committed splits and fits the others only.
+    """
     spark: SparkSession = data.rows.sparkSession
     splits = usable_splits(data, window, test_idx)
     if not splits:
         raise DataCheckError("No split has training and test rows.")
-    folder = scratch_path(spark, "rolling")
-
-    def run(t: int):
-        model = fit_split(data, t, window, settings)
-        forecast = predict_split(data, model, t, window, settings.model)
-        forecast.write.mode("overwrite").parquet(f"{folder}/split={t}")
-        weights = model.stages[-1].featureImportances.toArray()
-        shares = [(t, f, float(w)) for f, w in zip(data.features, weights)]
-        return shares, (model if t == splits[-1] else None)
-
-    with ThreadPoolExecutor(max_workers=parallel_fits) as pool:
-        done = list(pool.map(run, splits))
-    importances = spark.createDataFrame(
-        [row for rows, _ in done for row in rows],
-        "test_idx int, feature string, importance double",
+    log = log_folder or f"{scratch_root(spark)}/fits"
+    folder = f"{log.rstrip('/')}/{fit_digest(data, window, settings)}"
+    done = {t for t in splits if path_exists(spark, f"{folder}/predictions/split={t}/_SUCCESS")}
+    if splits[-1] in done and not path_exists(spark, f"{folder}/models/split={splits[-1]}/metadata/_SUCCESS"):
+        done.discard(splits[-1])  # it was not the last split of the run that committed it
+    left = [t for t in splits if t not in done]
+
+    def run(t: int) -> None:
+        _commit_split(folder, data, t, window, settings, keep_model=t == splits[-1])
+
+    slots = parallel_fits or min(8, spark.sparkContext.defaultParallelism)
+    with ThreadPoolExecutor(max_workers=slots) as pool:
+        for _ in pool.map(inheritable_thread_target(spark)(run), left):
+            pass
+    predictions = spark.read.parquet(*[f"{folder}/predictions/split={t}" for t in splits])
+    held = spark.read.schema("test_idx int, position int, importance double").parquet(
+        *[f"{folder}/importances/split={t}" for t in splits]
+    )
+    return RollingResult(
+        predictions,
+        named_importances(held, data, splits),
+        PipelineModel.load(f"{folder}/models/split={splits[-1]}"),
+        tuple(left),
+    )
+
+
+def named_importances(held: DataFrame, data: RollingData, splits: Sequence[int]) -> DataFrame:
+    """(test_idx, feature, importance) of every split and feature; those without a use are 0."""
+    spark = held.sparkSession
+    names = spark.createDataFrame(list(enumerate(data.features)), "position int, feature string")
+    every = names.withColumn("test_idx", F.explode(F.array(*(F.lit(t) for t in splits))))
+    return every.join(held, ["test_idx", "position"], "left").select(
+        "test_idx", "feature", F.coalesce("importance", F.lit(0.0)).alias("importance")
     )
-    predictions = spark.read.parquet(*[f"{folder}/split={t}" for t in splits])
-    return RollingResult(predictions, importances, done[-1][1])
 
 
 def normalised(importances: DataFrame) -> DataFrame:

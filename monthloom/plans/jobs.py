@@ -157,9 +157,10 @@ def forecast_boosting(
     window: int = params.TRAINING_WINDOW,
     lag_count: int = params.TARGET_LAGS,
     test_start: str | None = None,
-    parallel_fits: int = 4,
+    parallel_fits: int | None = None,
 ) -> dict[str, str]:
-    """Rolling boosted trees; writes forecasts, metrics, importances and last model."""
+    """Rolling boosted trees; writes forecasts, metrics, importances and last model. Finished
+    splits are kept below `fits` of the out folder: a run that was stopped goes on from them."""
     rows, features = panel_store.load_panel(spark, panel_path)
     base = lags.without_target_lags(features)
     names = lags.model_features(base, lag_count)
@@ -167,7 +168,9 @@ def forecast_boosting(
     data = boosting.prepare(lags.add_target_lags(rows, lag_count), names, axis=axis)
     windows = splits.rolling_splits(axis, window, _test_start(test_start))
     tests = [r.test_idx for r in windows.select("test_idx").orderBy("test_idx").collect()]
-    result = boosting.rolling_boosting(data, window, settings, tests, parallel_fits)
+    result = boosting.rolling_boosting(
+        data, window, settings, tests, parallel_fits, f"{out_folder.rstrip('/')}/fits"
+    )
     paths = prediction_files.save_evaluation(result.predictions, out_folder, run)
     table = boosting.importance_table(result.importances)
     paths["importance"] = artifacts.write_importance(table, out_folder, run)

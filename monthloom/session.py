@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 from contextlib import contextmanager
+from contextvars import ContextVar
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +44,11 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return named or context.getCheckpointDir()
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """The session's part of the shared folder; `release` deletes it."""
+    return _scratch(spark)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the session's part of the shared folder."""
     return f"{_scratch(spark)}/{name}-{uuid4().hex}"
@@ -60,8 +66,8 @@ def stage(df: DataFrame) -> DataFrame:
     path = scratch_path(spark, "table")
     df.write.parquet(path)
     staged = spark.read.schema(df.schema).parquet(path)
-    if _scopes:
-        _scopes[-1].made.append((staged, path))
+    if scope := _innermost(spark):
+        scope.made.append((staged, path))
     return staged
 
 
@@ -75,7 +81,14 @@ class _Scope:
         return df
 
 
-_scopes: list[_Scope] = []
+#: Open scopes of the running thread and session, innermost last. Another thread, such as one
+#: that fits a model, has its own: what it stages is not deleted with someone else's scope.
+_open: ContextVar[tuple[tuple[str, _Scope], ...]] = ContextVar("open_scopes", default=())
+
+
+def _innermost(spark: SparkSession) -> _Scope | None:
+    own = [scope for app, scope in _open.get() if app == spark.sparkContext.applicationId]
+    return own[-1] if own else None
 
 
 @contextmanager
@@ -84,16 +97,17 @@ def scratch(spark: SparkSession):
     that are read later: give all of them. The driver is asked to collect its garbage, upon
     which Spark removes the shuffle files of the finished steps from all executors."""
     scope = _Scope()
-    _scopes.append(scope)
+    token = _open.set((*_open.get(), (spark.sparkContext.applicationId, scope)))
     try:
         yield scope
     finally:
-        _scopes.remove(scope)
+        _open.reset(token)
+    outer = _innermost(spark)
     for df, path in scope.made:
         if not any(df is k for k in scope.kept):
             _delete(spark, path)
-        elif _scopes:
-            _scopes[-1].made.append((df, path))
+        elif outer:
+            outer.made.append((df, path))
     reclaim(spark)
 
 
@@ -102,6 +116,12 @@ def reclaim(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    context = spark.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(context._jsc.hadoopConfiguration()).exists(where)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     context = spark.sparkContext
     where = context._jvm.org.apache.hadoop.fs.Path(path)
