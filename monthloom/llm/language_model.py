@@ -107,45 +107,56 @@ def _unpack(data) -> np.ndarray:
 
 
 def _chunks(size: int):
-    """Documents put together: distinct words, and all words in order as places among them."""
+    """Documents put together: distinct words, and all words in order as places among them.
+    Documents that the weights are learned from have chunks of their own."""
 
     def task(batches):
-        part, made, room = TaskContext.get().partitionId(), 0, size
-        held: list[tuple[pa.RecordBatch, np.ndarray, np.ndarray]] = []
-
-        def out():
-            columns = [pa.concat_arrays([r.column(k) for r, _, _ in held]) for k in range(3)]
-            count = np.concatenate([c for _, c, _ in held])
-            known, index = np.unique(np.concatenate([h for _, _, h in held]), return_inverse=True)
-            held.clear()
+        part, made = TaskContext.get().partitionId(), 0
+        held: dict[bool, list[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]] = {False: [], True: []}
+        room = {False: size, True: size}
+
+        def out(em: bool):
+            nonlocal made
+            columns = [pa.concat_arrays([r.column(k) for r, _, _ in held[em]]) for k in range(2)]
+            count = np.concatenate([c for _, c, _ in held[em]])
+            known, index = np.unique(np.concatenate([h for _, _, h in held[em]]), return_inverse=True)
+            held[em].clear()
             train = ~np.asarray(columns[1])
-            kept = train & ~np.asarray(columns[2])
             lists = [*columns, pa.array(count.astype(np.int32))]
             whole = pa.array(np.array([0, len(count)], dtype=np.int32))
+            learned = int((count + 1)[train].sum())
+            made, room[em] = made + 1, size
             return pa.record_batch(
                 [
                     pa.array([(part << 32) + made]),
+                    pa.array([em]),
                     *(pa.ListArray.from_arrays(whole, a) for a in lists),
                     _packed([np.diff(known, prepend=np.uint64(0))]),
                     _packed([index]),
                     pa.array([int((count + 1).sum())]),
-                    pa.array([int((count + 1)[train].sum())]),
-                    pa.array([int((count + 1)[kept].sum())]),
+                    pa.array([learned]),
+                    pa.array([0 if em else learned]),
                 ],
-                names=["chunk", "ids", "held_out", "em", "count", "known", "places", "size", "tokens", "kept"],
+                names=["chunk", "em", "ids", "held_out", "count", "known", "places", "size", "tokens", "kept"],
             )
 
         for batch in batches:
-            about = pa.RecordBatch.from_arrays([batch.column(k) for k in (0, 2, 3)], names=["id", "held_out", "em"])
+            about = pa.RecordBatch.from_arrays([batch.column(k) for k in (0, 2)], names=["id", "held_out"])
+            weighing = np.asarray(batch.column(3)) & ~np.asarray(batch.column(2))
             for a, b in words.slices(batch.column(1)):
                 w = words.cut(batch.column(1), a, b, words.NOT_BLANK)
-                held.append((about.slice(a, b - a), w.counts(), w.hashes()))
-                room -= len(w.starts) + b - a
-                if room <= 0:
-                    yield out()
-                    made, room = made + 1, size
-        if held:
-            yield out()
+                count, hashes = w.counts(), w.hashes()
+                for em in (False, True):
+                    mine = weighing[a:b] == em
+                    if mine.any():
+                        rows = about.slice(a, b - a).filter(pa.array(mine))
+                        held[em].append((rows, count[mine], hashes[mine[w.doc]]))
+                        room[em] -= int((count[mine] + 1).sum())
+                        if room[em] <= 0:
+                            yield out(em)
+        for em in (False, True):
+            if held[em]:
+                yield out(em)
 
     return task
 
@@ -153,10 +164,9 @@ def _chunks(size: int):
 class _Chunk:
     """The n-grams of a chunk: hashes of each token's word, then the pairs and triples it ends."""
 
-    def __init__(self, held_out, em, count, known, places):
+    def __init__(self, held_out, count, known, places):
         self.count = np.asarray(count).astype(np.int64)
         self.train = ~np.asarray(held_out)
-        self.em = self.train & np.asarray(em)
         known = np.cumsum(_unpack(known), dtype=np.uint64)
         places = _unpack(places).astype(np.int64)
         self.tokens = len(places) + len(self.count)
@@ -202,11 +212,11 @@ def _rows_of(batches):
 
 
 def _chunk_of(row):
-    held_out, em, count = (row[c].values for c in ("held_out", "em", "count"))
-    return _Chunk(held_out, em, count, row["known"].as_py(), row["places"].as_py())
+    held_out, count = (row[c].values for c in ("held_out", "count"))
+    return _Chunk(held_out, count, row["known"].as_py(), row["places"].as_py())
 
 
-_ASKED = "chunk long, part int, steps binary, n binary, kept binary"
+_ASKED = "chunk long, em boolean, part int, steps binary, n binary"
 
 
 def _ask(bits: int, share: int):
@@ -220,18 +230,17 @@ def _ask(bits: int, share: int):
             mine = np.flatnonzero(chunk.grams // np.uint64(2**64 // SHARES) == share)
             keys, at = np.unique(chunk.grams[mine], return_inverse=True)
             owner = mine % chunk.tokens
-            times = lambda documents: np.bincount(at[chunk.each(documents)[owner]], minlength=len(keys))
-            n = times(chunk.train)
-            kept = n - times(chunk.em)
+            n = np.bincount(at[chunk.each(chunk.train)[owner]], minlength=len(keys))
             cuts = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
             part = np.flatnonzero(np.diff(cuts))
             steps = np.diff(keys, prepend=np.uint64(0))
-            steps[cuts[part]] = keys[cuts[part]]
+            # a part's first hash counts from where the part begins, so that it is no longer than the steps
+            steps[cuts[part]] = keys[cuts[part]] - (part.astype(np.uint64) << np.uint64(64 - bits))
             cut = lambda a: _packed(a[cuts[p] : cuts[p + 1]] for p in part)
             yield pa.record_batch(
-                [pa.array(np.full(len(part), row["chunk"].as_py())), pa.array(part.astype(np.int32)),
-                 cut(steps), cut(n), cut(kept)],
-                names=["chunk", "part", "steps", "n", "kept"],
+                [pa.array(np.full(len(part), row["chunk"].as_py())), pa.array(np.full(len(part), row["em"].as_py())),
+                 pa.array(part.astype(np.int32)), cut(steps), cut(n)],
+                names=["chunk", "em", "part", "steps", "n"],
             )
 
     return task
@@ -240,38 +249,49 @@ def _ask(bits: int, share: int):
 _ANSWERS = "chunk long, part int, n binary, kept binary, types long, kept_types long"
 
 
-def _answer(batches):
-    """The sums over all chunks for every entry; `types` is about words and counts once a task."""
-    rows = [[], [], [], [], []]
-    for batch in batches:
-        for k in range(5):
-            rows[k] += batch.column(k).to_pylist()
-    chunk, part, keys, n, kept = rows
-    if not chunk:
-        return
-    keys = [np.cumsum(_unpack(x), dtype=np.uint64) for x in keys]
-    bounds = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
-    distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-    n, kept = (np.bincount(at, np.concatenate([_unpack(y) for y in x]), len(distinct)).astype(np.int64) for x in (n, kept))
-    word = (distinct & _ONE).astype(bool)
-    types, kept_types = (int((word & (x > 0)).sum()) for x in (n, kept))
-    for a in range(0, len(chunk), words.BATCH_ROWS):
-        b = min(len(chunk), a + words.BATCH_ROWS)
-        first = np.zeros(b - a, dtype=np.int64)
-        first[:1] = a == 0
-        places = [at[bounds[k] : bounds[k + 1]] for k in range(a, b)]
-        yield pa.record_batch(
-            [pa.array(chunk[a:b], pa.int64()), pa.array(part[a:b], pa.int32()),
-             _packed(n[p] for p in places), _packed(kept[p] for p in places),
-             pa.array(first * types), pa.array(first * kept_types)],
-            names=["chunk", "part", "n", "kept", "types", "kept_types"],
-        )
+def _answer(bits: int):
+    def task(batches):
+        """The sums over all chunks for every entry, and for chunks of documents that the weights
+        are learned from those over the other chunks as well; `types` is about words and counts
+        once a task."""
+        rows = [[], [], [], [], []]
+        for batch in batches:
+            for k in range(5):
+                rows[k] += batch.column(k).to_pylist()
+        chunk, em, part, keys, times = rows
+        if not chunk:
+            return
+        begin = np.array(part, dtype=np.uint64) << np.uint64(64 - bits)
+        keys = [np.cumsum(_unpack(x), dtype=np.uint64) + b for x, b in zip(keys, begin)]
+        size = [len(k) for k in keys]
+        bounds = np.concatenate([[0], np.cumsum(size)])
+        distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+        times = np.concatenate([_unpack(y) for y in times])
+        n = np.bincount(at, times, len(distinct)).astype(np.int64)
+        times[np.repeat(np.array(em), size)] = 0
+        kept = np.bincount(at, times, len(distinct)).astype(np.int64)
+        word = (distinct & _ONE).astype(bool)
+        types, kept_types = (int((word & (x > 0)).sum()) for x in (n, kept))
+        for a in range(0, len(chunk), words.BATCH_ROWS):
+            b = min(len(chunk), a + words.BATCH_ROWS)
+            first = np.zeros(b - a, dtype=np.int64)
+            first[:1] = a == 0
+            places = [at[bounds[k] : bounds[k + 1]] for k in range(a, b)]
+            both = [_pack(kept[p]) if e else None for p, e in zip(places, em[a:b])]
+            yield pa.record_batch(
+                [pa.array(chunk[a:b], pa.int64()), pa.array(part[a:b], pa.int32()),
+                 _packed(n[p] for p in places), pa.array(both, pa.binary()),
+                 pa.array(first * types), pa.array(first * kept_types)],
+                names=["chunk", "part", "n", "kept", "types", "kept_types"],
+            )
+
+    return task
 
 
 def _with_answers(chunks: DataFrame, answers: DataFrame, column: str, function, schema: str) -> DataFrame:
     """`function(chunk row, its _Chunk, sums)` gives a record batch per chunk; a chunk comes before its answers."""
     parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    data = F.struct("ids", "held_out", "em", "count", "known", "places")
+    data = F.struct("ids", "held_out", "count", "known", "places")
     own = chunks.select("chunk", F.lit(-1).alias("part"), data.alias("data"), F.lit(None).cast("binary").alias("sums"))
     found = answers.select("chunk", "part", F.lit(None).cast(own.schema["data"].dataType).alias("data"), F.col(column).alias("sums"))
     both = own.unionByName(found).repartition(parts, "chunk").sortWithinPartitions("chunk", "part")
@@ -303,9 +323,8 @@ _COUNTS = ("triple", "two", "pair", "one", "single")
 
 
 def _kept_counts(row, chunk, sums):
-    """Counts of the tokens the weights are learned from."""
-    mine = chunk.each(chunk.em)
-    return pa.record_batch([_packed([c[mine]]) for c in chunk.counts(sums)], names=_COUNTS)
+    """Counts of the tokens of a chunk that the weights are learned from."""
+    return pa.record_batch([_packed([c]) for c in chunk.counts(sums)], names=_COUNTS)
 
 
 def _expectation(weights, tokens: int, types: int):
@@ -370,7 +389,7 @@ def _score(weights, tokens: int, types: int):
 
 def _sums(chunks: DataFrame, bits: int, share: int, parts: int) -> DataFrame:
     asked = words.map_arrow(chunks.drop("ids"), _ask(bits, share), _ASKED)
-    return stage(words.map_arrow(asked.repartition(parts, "part"), _answer, _ANSWERS))
+    return stage(words.map_arrow(asked.repartition(parts, "part"), _answer(bits), _ANSWERS))
 
 
 def interpolated_scores(
@@ -390,7 +409,7 @@ def interpolated_scores(
         words.map_arrow(
             keyed,
             _chunks(LOCAL),
-            f"chunk long, ids array<{kind}>, held_out array<boolean>, em array<boolean>, count array<int>, "
+            f"chunk long, em boolean, ids array<{kind}>, held_out array<boolean>, count array<int>, "
             "known binary, places binary, size long, tokens long, kept long",
         )
     )
@@ -404,7 +423,9 @@ def interpolated_scores(
         reclaim(spark)
     types, kept_types = (x or 0 for x in answers.agg(F.sum("types"), F.sum("kept_types")).first())
     with scratch(spark):
-        used = stage(_with_answers(chunks, answers, "kept", _kept_counts, ", ".join(f"{c} binary" for c in _COUNTS)))
+        weighing = answers.where("kept is not null")
+        counts = ", ".join(f"{c} binary" for c in _COUNTS)
+        used = stage(_with_answers(chunks.where("em"), weighing, "kept", _kept_counts, counts))
         reclaim(spark)
         weights = learn_weights(used, kept, kept_types + 1, rounds)
     return _with_answers(
