@@ -16,7 +16,7 @@ windows are sorted only where a distinct count shows a repeat.
 
 Defined cases: a null or empty text has no words and fails the base rules; a null language
 has a reference of its own (all documents without one); repeated rows are judged once per
-row; extra columns are ignored; windows are compared by a 64-bit hash.
+row; extra columns are ignored; windows and common words are compared by a 64-bit hash.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ WINDOW = 8
 MIN_TOTAL_WORDS = 20
 REPEAT_PERCENT = 30
 COMMON_SHARE = 0.004
+#: Slots of the hash table of common words.
+SLOTS = 256
 MIN_CHARS = 200
 MIN_WORDS = 50
 #: Largest distances, and what chance adds to them: so much over the root of the length.
@@ -63,17 +65,22 @@ def duplicate_lines(text: Column) -> Column:
 
 def repeated_words(tokens: Column) -> Column:
     """Words inside `WINDOW`-word windows that occur twice or more, the first included."""
-    hashes = F.when(
-        F.size(tokens) >= WINDOW,
-        F.transform(
-            F.sequence(F.lit(1), F.size(tokens) - (WINDOW - 1)),
-            lambda i: F.xxhash64(F.slice(tokens, i, WINDOW)),
-        ),
-    ).otherwise(F.array().cast("array<bigint>"))
+
+    def windows(h: Column) -> Column:
+        """Hashes of all windows, from those of their words."""
+        return F.when(
+            F.size(h) >= WINDOW,
+            F.transform(
+                F.sequence(F.lit(0), F.size(h) - WINDOW),
+                lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(WINDOW))),
+            ),
+        ).otherwise(F.array().cast("array<bigint>"))
+
+    hashes = let(F.transform(tokens, lambda w: F.xxhash64(w)), windows)
 
     def covered(windows: Column) -> Column:
         """From (hash, place) in order: places whose hash a neighbour shares, then their union."""
-        places = F.array_sort(
+        places = F.sort_array(
             F.filter(
                 F.transform(
                     windows,
@@ -96,7 +103,7 @@ def repeated_words(tokens: Column) -> Column:
         )
 
     def count(h: Column) -> Column:
-        in_order = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        in_order = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
         return F.when(F.size(h) == F.size(F.array_distinct(h)), F.lit(0)).otherwise(let(in_order, covered))
 
     return let(hashes, count)
@@ -135,7 +142,7 @@ def features(docs: DataFrame, doc_id: str, text: str, lang: str) -> DataFrame:
 
 
 def references(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """One row per language: class shares, common words and their shares."""
+    """One row per language: a hash table of its common words, and their shares."""
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(lang).cast("string").alias("lang"), t.alias("text"))
     counts = (
@@ -154,7 +161,37 @@ def references(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang
                 F.collect_list(F.struct("word", (F.col("n") / F.col("total")).alias("share")))
             ).alias("common")
         )
-        .select("lang", F.col("common.word").alias("common"), F.col("common.share").alias("shares"))
+        .select("lang", _hash_table(F.col("common.word")).alias("common"), F.col("common.share").alias("shares"))
+    )
+
+
+def _slot(hash_: Column) -> Column:
+    return F.pmod(hash_, F.lit(SLOTS)).cast("int")
+
+
+def _hash_table(words: Column) -> Column:
+    """Slots by hash; each has the hashes of its words and their places in the list, from 1."""
+    entries = F.transform(words, lambda w, i: F.struct(F.xxhash64(w).alias("h"), (i + 1).alias("place")))
+
+    def slots(found: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.lit(SLOTS - 1)),
+            lambda k: let(
+                F.filter(found, lambda e: _slot(e["h"]) == k),
+                lambda own: F.struct(own["h"].alias("h"), own["place"].alias("place")),
+            ),
+        )
+
+    return let(entries, slots)
+
+
+def _place(table: Column, hash_: Column) -> Column:
+    """The place of a word in the list of common ones; 0 if it is none."""
+    return let(
+        F.get(table, _slot(hash_)),
+        lambda own: F.coalesce(
+            F.get(own["place"], (F.array_position(own["h"], hash_) - 1).cast("int")), F.lit(0)
+        ).cast("bigint"),
     )
 
 
@@ -164,7 +201,7 @@ def word_divergence(tokens: Column, common: Column, shares: Column) -> Column:
     Places of the words in the list of common ones (0: another word) are sorted; a bin's
     count is the distance between first places. Bins the document lacks add half their
     reference share."""
-    places = F.transform(tokens, lambda w: F.array_position(common, F.lower(w)))
+    places = F.transform(F.transform(tokens, lambda w: F.xxhash64(F.lower(w))), lambda h: _place(common, h))
 
     def of_sorted(s: Column) -> Column:
         return let(
@@ -190,7 +227,7 @@ def word_divergence(tokens: Column, common: Column, shares: Column) -> Column:
             lambda a: F.greatest(F.lit(0.0), (a["v"] + 1 - a["q"]) / 2),
         )
 
-    return let(F.array_sort(places), of_sorted)
+    return let(F.sort_array(places), of_sorted)
 
 
 def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
