@@ -18,8 +18,9 @@ of a widespread passage, if all of them fit in its slack; a partner's common nod
 same ones, so again no link is lost. Only documents with nearly nothing but frequent nodes,
 members of large groups of near copies, stay in frequent nodes, and in no more than they need.
 
-*Lower level.* In a node the first document is paired with all others: as many pairs as
-documents. If the links found so far join the node's documents, it is done. Otherwise those
+*Lower level.* First each document is paired with the first one of one of its nodes; nodes whose
+documents are joined by these links are done. In an open node the first document is paired with
+all others: as many pairs as documents. If the links found so far join them, it is done. Otherwise those
 outside the largest part are paired with a few of its documents. What is still apart is
 searched in an R-tree over the count vectors of the rest, block by block, with the bound
 above at inner nodes and leaves. Surviving pairs are verified on
@@ -50,6 +51,8 @@ FAMILY_RATIO = 1.5
 #: Slices in proportion to the least number that is lossless.
 SPARE = 1.35
 FREQUENT = 64
+#: Groups for each shingle of a set in the second bound.
+COARSE = 8
 BLOCK = 512
 PIVOTS = 3
 #: Ids or pairs up to this number are sent to all tasks; more are joined by a shuffle.
@@ -222,6 +225,29 @@ def _members(batches):
         )
 
 
+def _coarse(value: np.ndarray) -> bytes:
+    """The first bits of a set's shingles in order, `COARSE` groups a shingle, as differences.
+    Two sets share at most as many shingles as their groups allow."""
+    bits = min(32, max(6, int(np.ceil(np.log2(COARSE * max(1, len(value)))))))
+    steps = np.diff(value >> (_VALUE_BITS - np.uint64(bits)), prepend=np.uint64(0))
+    width = next(w for w in (1, 2, 4) if steps.max(initial=0) < 256**w)
+    return bytes([bits, width]) + steps.astype(f"<u{width}").tobytes()
+
+
+def _groups_of(data: bytes) -> tuple[np.ndarray, int]:
+    return np.cumsum(np.frombuffer(data, dtype=f"<u{data[1]}", offset=2), dtype=np.int64), data[0]
+
+
+def _shared_groups(left: bytes, right: bytes) -> tuple[int, int]:
+    """The most shingles that two sets can share by their groups, and their sizes together."""
+    (a, fine_a), (b, fine_b) = _groups_of(left), _groups_of(right)
+    bits = min(fine_a, fine_b)
+    a_group, a_count = np.unique(a >> (fine_a - bits), return_counts=True)
+    b_group, b_count = np.unique(b >> (fine_b - bits), return_counts=True)
+    _, i, j = np.intersect1d(a_group, b_group, assume_unique=True, return_indices=True)
+    return int(np.minimum(a_count[i], b_count[j]).sum()), len(a) + len(b)
+
+
 def _set_rows(length):
     def task(batches):
         for batch in batches:
@@ -230,9 +256,14 @@ def _set_rows(length):
                 value, owner = shingle_sets(column, a, b, length)
                 ids, _ = _point_ids(value, owner, b - a)
                 bounds = np.searchsorted(owner, np.arange(b - a + 1))
-                sets = [value[s:e].tobytes() for s, e in zip(bounds, bounds[1:], strict=False)]
+                sets = [value[s:e] for s, e in zip(bounds, bounds[1:], strict=False)]
                 yield pa.record_batch(
-                    [pa.array(ids), pa.array(sets, type=pa.binary())], names=["point", "shingles"]
+                    [
+                        pa.array(ids),
+                        pa.array([_coarse(x) for x in sets], type=pa.binary()),
+                        pa.array([x.tobytes() for x in sets], type=pa.binary()),
+                    ],
+                    names=["point", "coarse", "shingles"],
                 )
 
     return task
@@ -263,6 +294,21 @@ def _bounded(num, den):
     return task
 
 
+def _coarsely(num, den):
+    """Pairs that may link by the groups of their shingles."""
+
+    def task(batches):
+        for batch in batches:
+            keep = []
+            for left, right in zip(batch.column(2), batch.column(3), strict=True):
+                most, total = _shared_groups(left.as_py(), right.as_py())
+                keep.append(most >= _least_common(total, num, den))
+            keep = pa.array(keep, type=pa.bool_())
+            yield pa.record_batch([c.filter(keep) for c in batch.columns[:2]], names=["u", "v"])
+
+    return task
+
+
 def _verified(num, den):
     def task(batches):
         for batch in batches:
@@ -355,21 +401,45 @@ class JaccardJoin:
         self.unique = stage(self.points.where("size > 0").dropDuplicates(["point"]))
 
     def members(self) -> DataFrame:
-        """(node, point, first) of nodes with two points or more, frequent ones reduced."""
+        """(node, point, first) of nodes with two points or more."""
         rows = words.map_arrow(
             self.docs.select("text"), _node_rows(self.length, self.families), "node long, point long"
         )
         parts = int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        found = stage(
+        return stage(
             words.map_arrow(
                 rows.repartition(parts, "node").sortWithinPartitions("node", "point"),
                 _members,
                 "node long, point long, first long",
             )
         )
-        frequent = stage(
-            found.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT).select("node")
+
+    def early_pairs(self, members: DataFrame) -> DataFrame:
+        """One pair for each point, with the first point of one of its nodes. They settle most of
+        a group of copies, whose nodes are then done with."""
+        return members.groupBy("point").agg(F.min_by("first", F.xxhash64("node")).alias("first")).select(
+            F.least("point", "first").alias("u"), F.greatest("point", "first").alias("v")
+        ).distinct()
+
+    def still_open(self, members: DataFrame, parts: DataFrame) -> DataFrame:
+        """Members of nodes whose points are in several parts, frequent nodes reduced."""
+        part = parts.toDF("point", "part")
+        labelled = members.join(part, "point", "left").select(
+            "node", "point", "first", F.coalesce("part", "point").alias("part")
+        )
+        lead = part.toDF("first", "lead")
+        sizes = stage(
+            labelled.join(lead, "first", "left")
+            .groupBy("node")
+            .agg(
+                F.count("*").alias("n"),
+                F.max(F.col("part") != F.coalesce("lead", "first")).alias("open"),
+            )
+            .where("open")
+            .select("node", "n")
         )
+        found = stage(members.join(self._sent(sizes.select("node")), "node", "left_semi"))
+        frequent = self._sent(sizes.where(F.col("n") >= FREQUENT).select("node"))
         rare = found.join(frequent, "node", "left_anti")
         crowd = found.join(frequent, "node", "left_semi")
         crowd = crowd.select("node", "point").unionByName(
@@ -433,16 +503,24 @@ class JaccardJoin:
         texts = self.docs.join(self._sent(ids), F.col("id").eqNullSafe(F.col("wanted")), "left_semi")
         sets = stage(
             words.map_arrow(
-                texts.select("text"), _set_rows(self.length), "point long, shingles binary"
+                texts.select("text"), _set_rows(self.length), "point long, coarse binary, shingles binary"
             )
         )
-        both = (
-            self._sent(close)
-            .join(sets.toDF("v", "b"), "v")
-            .join(sets.toDF("u", "a"), "u")
+        coarse = self._paired(close, sets.select("point", "coarse"))
+        closer = stage(words.map_arrow(coarse, _coarsely(self.num, self.den), "u long, v long"))
+        whole = self._paired(closer, sets.select("point", "shingles"))
+        return stage(words.map_arrow(whole, _verified(self.num, self.den), "u long, v long").distinct())
+
+    def _paired(self, pairs: DataFrame, data: DataFrame) -> DataFrame:
+        """Pairs with the data of both points. Few pairs are sent to the data; of the other side
+        only the rows that are asked for travel."""
+        other = pairs.select("u").distinct()
+        return (
+            self._sent(pairs)
+            .join(data.toDF("v", "b"), "v")
+            .join(data.toDF("u", "a").join(self._sent(stage(other)), "u", "left_semi"), "u")
             .select("u", "v", "a", "b")
         )
-        return stage(words.map_arrow(both, _verified(self.num, self.den), "u long, v long").distinct())
 
     def open_nodes(self, members: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Members with their part, and the nodes whose points are in several parts: each
@@ -480,7 +558,7 @@ class JaccardJoin:
     def pivot_pairs(self, labelled: DataFrame, nodes: DataFrame) -> DataFrame:
         """Each point outside the largest part of its node with a few points of that part.
         They settle nearly all of a large group of near copies; the tree does the rest."""
-        rows = labelled.join(nodes, "node")
+        rows = labelled.join(self._sent(nodes), "node")
         drawn = [
             F.min_by("point", F.xxhash64("point", F.lit(seed))).alias(f"p{seed}") for seed in range(PIVOTS)
         ]
@@ -500,7 +578,7 @@ class JaccardJoin:
 
     def tree_pairs(self, labelled: DataFrame, nodes: DataFrame) -> DataFrame:
         """All candidate pairs left in open nodes, by R-tree and block by block."""
-        rows = labelled.join(nodes, "node").join(self.unique.select("point", "counts"), "point")
+        rows = labelled.join(self._sent(nodes), "node").join(self.unique.select("point", "counts"), "point")
         blocks = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
         place = lambda n, seed: F.pmod(F.xxhash64("point", F.lit(seed)), F.col(n))
         columns = ["node", "point", "part", "counts", "q", "i"]
@@ -526,18 +604,31 @@ class JaccardJoin:
         with scratch(spark) as tables:
             members = self.members()
             reclaim(spark)  # the nodes' shuffle is by far the largest
+            links = self.verify(stage(self.early_pairs(members)))
+            parts = stage(components(links))
+            members = self.still_open(members, parts)
             pairs = members.select(
                 F.least("point", "first").alias("u"), F.greatest("point", "first").alias("v")
             ).distinct()
-            links = self.verify(pairs)
+            links = links.unionByName(self.verify(stage(self._apart(pairs, parts))))
             for candidates in (self.pivot_pairs, self.tree_pairs):
                 parts = stage(components(links))
                 labelled, nodes = self.open_nodes(members, parts)
                 if nodes.isEmpty():
                     return tables.keep(parts)
-                links = links.unionByName(self.verify(stage(candidates(labelled, nodes))))
+                links = links.unionByName(self.verify(stage(self._apart(candidates(labelled, nodes), parts))))
             return tables.keep(stage(components(links)))
 
+    def _apart(self, pairs: DataFrame, parts: DataFrame) -> DataFrame:
+        """Pairs of points that are not yet in one part."""
+        label = lambda c: parts.toDF(c, f"{c}_part")
+        return (
+            pairs.join(label("u"), "u", "left")
+            .join(label("v"), "v", "left")
+            .where(F.coalesce("u_part", "u") != F.coalesce("v_part", "v"))
+            .select("u", "v")
+        )
+
 
 def jaccard_groups(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 5,

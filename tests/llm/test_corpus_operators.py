@@ -66,6 +66,21 @@ def test_tree_keeps_every_point_within_the_bound():
         assert sorted(tree.search(q, 85, 100)) == expected.tolist()
 
 
+def test_groups_of_shingles_bound_what_sets_share():
+    rng = np.random.default_rng(4)
+    tight = 0
+    for n, m in [(1, 1), (3, 4), (40, 44), (300, 300), (5000, 5400), (0, 0)]:
+        pool = np.unique(rng.integers(0, 2**54, n + m + 8, dtype=np.uint64))
+        for share in (0, n // 2, n):
+            a = np.sort(rng.permutation(pool)[:n])
+            b = np.sort(np.concatenate([a[:share], np.setdiff1d(pool, a)[: max(0, m - share)]]))
+            most, total = ngram_join._shared_groups(ngram_join._coarse(a), ngram_join._coarse(b))
+            true = len(np.intersect1d(a, b))
+            assert total == len(a) + len(b) and true <= most <= true + 0.2 * total + 2
+            tight += most < 0.5 * total
+    assert tight
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(rng.randint(0, 150), rng.randint(0, 150)) for _ in range(110)] + [(i, i + 1) for i in range(200, 240)]
