@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from monthloom import params
+from monthloom.operators import packed
 from monthloom.operators.checks import DataCheckError
 from monthloom.operators.forecast import prediction_rows
 from monthloom.operators.splits import month_axis, with_month_idx
@@ -142,6 +143,8 @@ class RollingData:
     counts: dict[int, int]
     features: tuple[str, ...]
     target: str
+    #: (position, feature) of a design that is one vector already; then `features` is empty.
+    names: DataFrame | None = None
 
     def n_train(self, test_idx: int, window: int) -> int:
         return sum(self.counts.get(i, 0) for i in range(test_idx - window, test_idx))
@@ -153,6 +156,23 @@ def with_features(staged: StagedPanel, features: Sequence[str]) -> RollingData:
     return RollingData(rows, staged.months, counts, tuple(features), staged.target)
 
 
+def prepare_packed(
+    rows: DataFrame,
+    dictionary: DataFrame,
+    entities: DataFrame,
+    more: Sequence[str] = (),
+    target: str = TARGET,
+    axis: DataFrame | None = None,
+) -> RollingData:
+    """The rolling data of a packed panel; `more` are further columns, such as lags. The plan
+    does not grow with the number of features."""
+    vectors = packed.design(rows.dropna(subset=list(more)) if more else rows, entities, more)
+    staged = stage(vectors, ["features_vec"], target, month_axis(rows) if axis is None else axis)
+    counts = {r.month_idx: r["count"] for r in staged.rows.groupBy("month_idx").count().collect()}
+    names = packed.design_names(dictionary, entities, more)
+    return RollingData(staged.rows, staged.months, counts, (), target, names)
+
+
 def prepare(
     panel: DataFrame, features: Sequence[str], target: str = TARGET, axis: DataFrame | None = None
 ) -> RollingData:
@@ -166,8 +186,10 @@ def fit_split(data: RollingData, test_idx: int, window: int, settings: BoostingS
         .repartition(settings.partitions(data.n_train(test_idx, window)), "entity", "month")
         .sortWithinPartitions("month_idx", "entity")
     )
-    assembler = VectorAssembler(inputCols=list(data.features), outputCol="features_vec")
-    return Pipeline(stages=[assembler, settings.regressor(data.target)]).fit(train)
+    stages = [settings.regressor(data.target)]
+    if data.names is None:
+        stages.insert(0, VectorAssembler(inputCols=list(data.features), outputCol="features_vec"))
+    return Pipeline(stages=stages).fit(train)
 
 
 def predict_split(
@@ -205,10 +227,10 @@ class RollingResult:
     fitted: tuple[int, ...] = ()
 
 
-def data_version(data: RollingData) -> str:
+def _version(rows: DataFrame) -> str:
     """A digest of the rows, whatever their order and layout: two sums of row hashes."""
-    row = F.struct(*sorted(data.rows.columns))
-    found = data.rows.agg(
+    row = F.struct(*sorted(rows.columns))
+    found = rows.agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(F.xxhash64(row).cast("decimal(20,0)")).alias("a"),
         F.bit_xor(F.xxhash64(row, F.lit(1))).alias("b"),
@@ -219,7 +241,8 @@ def data_version(data: RollingData) -> str:
 def fit_digest(data: RollingData, window: int, settings: BoostingSettings) -> str:
     """What a fit depends on: settings, window, features, target, months and rows."""
     record = [asdict(settings), window, data.features, data.target, [str(m) for m in data.months]]
-    text = json.dumps([*record, data_version(data)], sort_keys=True, default=list)
+    versions = [_version(data.rows), _version(data.names) if data.names is not None else None]
+    text = json.dumps([*record, *versions], sort_keys=True, default=list)
     return hashlib.sha256(text.encode()).hexdigest()[:24]
 
 
@@ -289,7 +312,9 @@ def rolling_boosting(
 def named_importances(held: DataFrame, data: RollingData, splits: Sequence[int]) -> DataFrame:
     """(test_idx, feature, importance) of every split and feature; those without a use are 0."""
     spark = held.sparkSession
-    names = spark.createDataFrame(list(enumerate(data.features)), "position int, feature string")
+    names = data.names
+    if names is None:
+        names = spark.createDataFrame(list(enumerate(data.features)), "position int, feature string")
     every = names.withColumn("test_idx", F.explode(F.array(*(F.lit(t) for t in splits))))
     return every.join(held, ["test_idx", "position"], "left").select(
         "test_idx", "feature", F.coalesce("importance", F.lit(0.0)).alias("importance")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +19,7 @@ from monthloom.operators import (
     evaluate,
     forecast,
     lags,
+    packed,
     panel,
     rules,
     series,
@@ -330,6 +332,47 @@ def observed_panel_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spark.createDataFrame([row], schema), target_min=7, target_max=7)
 
 
+def _packed_panel(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The modelling panel with features in an array, written with its dictionaries and read back."""
+    long = cut_lineage(_features(spark, sf_dir))
+    dictionary = cut_lineage(packed.feature_dictionary(long))
+    joined = target.attach_rates(
+        packed.pack_panel(long, dictionary), inputs.rates(spark, sf_dir), check=False
+    )
+    rows = target.with_target(target.add_change(target.fill_isolated_gaps(joined)))
+    path = scratch_path(spark, "packed")
+    panel_store.write_checked(
+        rows, path, [rules.unique("The panel repeats an entity and month."), *packed.packed_rules(dictionary)]
+    )
+    entities = packed.entity_dictionary(rows, inputs.REFERENCE_REGION)
+    panel_store.write_dictionaries(dictionary, entities, path)
+    written, _ = panel_store.load_panel(spark, path)
+    return written, *panel_store.read_dictionaries(spark, path)
+
+
+@query
+def packed_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed panel in long form, with the lag and the target of each row."""
+    rows, dictionary, _ = _packed_panel(spark, sf_dir)
+    changes = rows.select("entity", "month", "level_lag1", "target")
+    long = packed.unpacked(rows, dictionary).join(changes, ["entity", "month"])
+    return rounded(long, value=5, level_lag1=7, target=7)
+
+
+@query
+def packed_design(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The places of the design vector by name: how many rows are not zero there, and their sum."""
+    rows, dictionary, entities = _packed_panel(spark, sf_dir)
+    vectors = packed.design(rows, entities, ["level_lag1"])
+    cells = vectors.select(F.posexplode(vector_to_array("features_vec")).alias("position", "value"))
+    found = (
+        cells.join(packed.design_names(dictionary, entities, ["level_lag1"]), "position")
+        .groupBy("feature")
+        .agg(F.count_if(F.col("value") != 0).alias("n_nonzero"), F.sum("value").alias("total"))
+    )
+    return rounded(found, total=4)
+
+
 # ---------------------------------------------------------------------- rates
 
 

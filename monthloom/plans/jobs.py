@@ -20,6 +20,7 @@ from monthloom.operators import (
     detrend,
     forecast,
     lags,
+    packed,
     panel,
     rules,
     series,
@@ -28,7 +29,7 @@ from monthloom.operators import (
     transforms,
     tuning,
 )
-from monthloom.operators.checks import duplicate_keys, require_none
+from monthloom.operators.checks import DataCheckError, duplicate_keys, require_none
 from monthloom.params import BreakRule
 from monthloom.session import cut_lineage
 from monthloom.sources import artifacts, panel_store, prediction_files, rate_file, series_files
@@ -46,13 +47,7 @@ def build_panel(
 ) -> DataFrame:
     """Series files and rate file to the modelling panel; returns the run summary."""
     labelled = cut_lineage(series_files.list_series_files(spark, series_folder))
-    long = series_files.read_series(spark, series_folder, catalogue)
-    adjusted = cut_lineage(breaks.adjust_breaks(long, rule))
-    # a break adjustment leaves calendars as they are
-    coverage.require_complete_calendar(long)
-    features_long = cut_lineage(
-        series.unpack(transforms.log_transforms(detrend.detrend(adjusted, orient=orient)))
-    )
+    features_long = _transformed(spark, series_folder, catalogue, rule, orient)
     built, features = panel.build_panel(features_long, reference)
     # the rules ride on the writes; no job looks at the rows again unless one is broken
     counted = rules.watched(built, panel.panel_rules(built, features), panel.shape_totals())
@@ -73,6 +68,69 @@ def build_panel(
     return run_summary(labelled, features_long, features, filled, written)
 
 
+def _transformed(
+    spark: SparkSession, series_folder: str, catalogue: DataFrame | None, rule: BreakRule, orient: str
+) -> DataFrame:
+    """Series files to the long table of transformed features."""
+    long = series_files.read_series(spark, series_folder, catalogue)
+    adjusted = cut_lineage(breaks.adjust_breaks(long, rule))
+    # a break adjustment leaves calendars as they are
+    coverage.require_complete_calendar(long)
+    return cut_lineage(
+        series.unpack(transforms.log_transforms(detrend.detrend(adjusted, orient=orient)))
+    )
+
+
+def build_packed_panel(
+    spark: SparkSession,
+    series_folder: str,
+    rate_path: str,
+    out_path: str,
+    catalogue: DataFrame | None = None,
+    rule: BreakRule = BreakRule(),
+    reference: str = params.REFERENCE_ENTITY,
+    orient: str = "loading",
+) -> DataFrame:
+    """The panel with all features of a row in one array, for any number of features; returns
+    its shape. The other jobs read it as they read a wide one."""
+    features_long = _transformed(spark, series_folder, catalogue, rule, orient)
+    coverage.require_equal_coverage(features_long)
+    dictionary = cut_lineage(packed.feature_dictionary(features_long))
+    own = packed.packed_rules(dictionary, params.EXCLUDED_ENTITIES)
+    counted = rules.watched(packed.pack_panel(features_long, dictionary), own)
+    built = cut_lineage(counted.frame)
+    if not counted.require(built)["_rows"]:
+        raise DataCheckError("No complete entity-month remains after the transforms.")
+    rates = rate_file.load_rates(spark, rate_path)
+    combined = target.with_target(
+        target.add_change(target.fill_isolated_gaps(target.attach_rates(built, rates)))
+    )
+    whole = [target.LEVEL_LAG, target.TARGET]
+    totals = panel_store.write_checked(
+        combined,
+        out_path,
+        [
+            rules.unique("The panel repeats an entity and month."),
+            *own,
+            rules.finite("target_not_finite", "The combined panel has missing or non-finite values.", whole),
+        ],
+        panel.shape_totals(target.TARGET),
+    )
+    written = spark.read.schema(combined.schema).parquet(out_path)
+    panel_store.write_dictionaries(dictionary, packed.entity_dictionary(written, reference), out_path)
+    shape = dictionary.agg(F.count(F.lit(1)).alias("n_features"))
+    return shape.withColumns(
+        {
+            "n_entities": F.lit(totals["n_entities"]),
+            "n_rows": F.lit(totals["_rows"]),
+            "first_month": F.lit(totals["first_month"]),
+            "last_month": F.lit(totals["last_month"]),
+            "target_min": F.lit(totals["target_min"]),
+            "target_max": F.lit(totals["target_max"]),
+        }
+    )
+
+
 def run_summary(
     labelled: DataFrame,
     features_long: DataFrame,
@@ -162,10 +220,16 @@ def forecast_boosting(
     """Rolling boosted trees; writes forecasts, metrics, importances and last model. Finished
     splits are kept below `fits` of the out folder: a run that was stopped goes on from them."""
     rows, features = panel_store.load_panel(spark, panel_path)
-    base = lags.without_target_lags(features)
-    names = lags.model_features(base, lag_count)
     axis = splits.month_axis(rows)
-    data = boosting.prepare(lags.add_target_lags(rows, lag_count), names, axis=axis)
+    lagged = lags.add_target_lags(rows, lag_count)
+    if packed.is_packed(rows):
+        more = [target.LEVEL_LAG, *(lags.lag_name(k) for k in range(1, lag_count + 1))]
+        data = boosting.prepare_packed(
+            lagged, *panel_store.read_dictionaries(spark, panel_path), more, axis=axis
+        )
+    else:
+        names = lags.model_features(lags.without_target_lags(features), lag_count)
+        data = boosting.prepare(lagged, names, axis=axis)
     windows = splits.rolling_splits(axis, window, _test_start(test_start))
     tests = [r.test_idx for r in windows.select("test_idx").orderBy("test_idx").collect()]
     result = boosting.rolling_boosting(

@@ -630,6 +630,17 @@ SELECT count(DISTINCT entity) AS n_entities, {len(PANEL_FEATURES)}::BIGINT AS n_
        min(month) AS first_month, max(month) AS last_month,
        {r('min(target)', 7)} AS target_min, {r('max(target)', 7)} AS target_max
 FROM changes""",
+        "packed_panel": f"""{chain_model}
+SELECT entity, month, feature, {r('value', 5)} AS value, {_cols(['level_lag1', 'target'], 7)}
+FROM changes UNPIVOT (value FOR feature IN ({', '.join(PANEL_FEATURES)}))""",
+        "packed_design": f"""{chain_model},
+places AS (SELECT * REPLACE (CAST(level_lag1 AS DOUBLE) AS level_lag1),
+  {', '.join(f"CAST(entity = '{e}' AS INTEGER)::DOUBLE AS " + '"C_' + e + '"' for e in REGIONS if e != inputs.REFERENCE_REGION)}
+  FROM changes)
+SELECT feature, count(*) FILTER (WHERE value <> 0) AS n_nonzero, {r('sum(value)', 4)} AS total
+FROM places UNPIVOT (value FOR feature IN ({', '.join(PANEL_FEATURES)}, level_lag1,
+  {', '.join('"C_' + e + '"' for e in REGIONS if e != inputs.REFERENCE_REGION)}))
+GROUP BY feature""",
         "panel_rule_counts": f"""{chain_model}, {_FAULTY}
 SELECT 'repeated_key' AS rule, {_REPEATED} AS n_rows
 UNION ALL SELECT 'excluded_entity', count(*) FILTER (WHERE entity = 'MIDDLE EAST') FROM faulty

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from monthloom.functions.calendar import month_end
+from monthloom.operators import packed
 from monthloom.operators.checks import DataCheckError, require_columns
 from monthloom.operators.rules import Rule, check, finite, unique, watched_by_key
 from monthloom.operators.target import LEVEL, LEVEL_LAG, TARGET
@@ -43,18 +44,32 @@ def write_checked(
     return found.require(panel.sparkSession.read.schema(panel.schema).parquet(path))
 
 
+def write_dictionaries(features: DataFrame, entities: DataFrame, path: str) -> None:
+    """What the places of a packed panel mean, beside its rows: readers of rows skip them."""
+    features.coalesce(1).write.mode("overwrite").parquet(f"{path}/_features")
+    entities.coalesce(1).write.mode("overwrite").parquet(f"{path}/_entities")
+
+
+def read_dictionaries(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    read = spark.read.schema
+    return (
+        read("position int, feature string").parquet(f"{path}/_features"),
+        read("position int, entity string").parquet(f"{path}/_entities"),
+    )
+
+
 def feature_columns(panel: DataFrame, target: str = TARGET) -> list[str]:
     """Everything but keys and target."""
     return [c for c in panel.columns if c not in (*_KEYS, target)]
 
 
-def model_rules(features: Sequence[str], target: str = TARGET) -> list[Rule]:
+def model_rules(features: Sequence[str], target: str = TARGET, finite_name: str = "not_finite") -> list[Rule]:
     """The rules on the rows of a modelling panel."""
     return [
         Rule("invalid_month", "The panel has invalid months.", F.col("month").isNull(), ("entity",)),
         unique("The panel repeats an entity and month."),
         finite(
-            "not_finite", "The panel has missing or non-finite values.", list(dict.fromkeys([*features, target]))
+            finite_name, "The panel has missing or non-finite values.", list(dict.fromkeys([*features, target]))
         ),
     ]
 
@@ -71,11 +86,17 @@ def check_model_panel(panel: DataFrame, target: str = TARGET) -> list[str]:
     text = [
         f.name
         for f in panel.schema.fields
-        if f.name in features and not isinstance(f.dataType, T.NumericType)
+        if f.name in features
+        and not isinstance(f.dataType, T.NumericType)
+        and not (f.name == packed.FEATURES and packed.is_packed(panel))
     ]
     if text:
         raise DataCheckError(f"Predictors must be numeric: {text[:10]}.")
-    check(panel, model_rules(features, target))
+    if packed.is_packed(panel):
+        plain = [c for c in features if c != packed.FEATURES]
+        check(panel, [*model_rules(plain, target, "other_not_finite"), *packed.packed_rules()])
+    else:
+        check(panel, model_rules(features, target))
     return features
 
 

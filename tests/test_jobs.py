@@ -87,6 +87,26 @@ def test_forecast_and_compare_jobs(spark, panel_path, tmp_path):
     assert spark.read.parquet(tables["audit"]).count() == 27
 
 
+def test_packed_panel_job(spark, inputs, panel_path, tmp_path):
+    path, out = str(tmp_path / "packed"), str(tmp_path / "out")
+    shape = jobs.build_packed_panel(
+        spark, str(inputs), str(inputs / "rates" / "rates.csv"), path,
+        rule=BreakRule(category=("2011-01-01",), topic=("2011-01-01", "2013-01-01")),
+    ).first()
+    wide = spark.read.parquet(panel_path[0])
+    assert (shape.n_entities, shape.n_features, shape.n_rows) == (3, 3, wide.count())
+    keys = ["entity", "month", "level_lag1", "target"]
+    rows = spark.read.parquet(path)
+    assert sorted(rows.select(*keys).collect()) == sorted(wide.select(*keys).collect())
+    jobs.forecast_baselines(spark, path, out, window=24, test_start="2014-04")
+    settings = BoostingSettings(n_estimators=2, min_rows=3)
+    paths = jobs.forecast_boosting(spark, path, out, settings, "packed", window=24, test_start="2014-04")
+    names = {r.feature for r in spark.read.parquet(paths["importance"]).collect()}
+    assert names == {"cat_3", "cat_7", "t_10001", "C_DE", "C_US", "level_lag1", "target_lag1"}
+    tables = jobs.compare_models(spark, out, path, str(tmp_path / "tables"))
+    assert spark.read.parquet(tables["comparison"]).count() == 3
+
+
 def test_baseline_test_start_beyond_the_panel(spark, panel_path, tmp_path):
     with pytest.raises(ValueError, match="No test month"):
         jobs.forecast_baselines(spark, panel_path[0], str(tmp_path), window=24, test_start="2030-01")
