@@ -237,6 +237,20 @@ def trial_counts(states: DataFrame, study: str = "study") -> DataFrame:
     )
 
 
+def with_failed(states: DataFrame, trials: DataFrame, study: str = "study") -> DataFrame:
+    """States of all trials: one that built not every validation month has no curve and failed."""
+    gone = trials.select(study, "trial").join(states, [study, "trial"], "left_anti")
+    empty = {f.name: F.lit(None).cast(f.dataType) for f in states.schema if f.name not in (study, "trial")}
+    failed = gone.withColumns(empty | {"state": F.lit("failed"), "months_evaluated": F.lit(0)})
+    return states.unionByName(failed.select(*states.columns))
+
+
+def state_counts(states: DataFrame, study: str = "study") -> DataFrame:
+    """`trial_counts` with the failed trials of `with_failed` beside the others."""
+    failed = states.groupBy(study).agg(F.count_if(F.col("state") == "failed").alias("failed"))
+    return trial_counts(states, study).join(failed, study)
+
+
 def monthly_rmse(folds: DataFrame, study: str = "study") -> DataFrame:
     """Per trial the list of monthly RMSEs, rounded to 10 places."""
     pair = F.struct("step", F.sqrt(F.col("sse") / F.col("n")).alias("rmse"))
@@ -454,7 +468,8 @@ def tuning_report(
     def only(df: DataFrame) -> Column:
         return df.select(F.struct("*").alias("s")).scalar()
 
-    period, counts = only(periods.withColumn("test_start", start)), only(trial_counts(states))
+    every = with_failed(states, trials)
+    period, counts = only(periods.withColumn("test_start", start)), only(state_counts(every))
     return (
         best.join(config, ["study", "trial"])
         .withColumn("period", period)
@@ -478,6 +493,7 @@ def tuning_report(
             F.col("counts.total").alias("n_trials"),
             F.col("counts.complete").alias("n_complete"),
             F.col("counts.stopped").alias("n_stopped"),
+            F.col("counts.failed").alias("n_failed"),
             F.col("panel.first_month").alias("panel_first_month"),
             F.col("panel.last_month").alias("panel_last_month"),
             F.col("panel.n_months").alias("panel_months"),

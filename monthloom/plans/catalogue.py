@@ -421,6 +421,16 @@ def entities_without_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return target.entities_without_rates(customers, inputs.rates(spark, sf_dir, "customer"))
 
 
+@query
+def customers_without_early_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers that did not order in the first year of orders."""
+    customers = inputs.table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("CUSTOMER_"), F.col("c_custkey").cast("string")).alias("entity")
+    )
+    early = inputs.rates(spark, sf_dir, "customer").where("month < DATE'1996-01-01'")
+    return target.entities_without_rates(customers, early)
+
+
 def _filled_rates(spark: SparkSession, sf_dir: str, grain: str = "customer") -> DataFrame:
     rates = inputs.rates(spark, sf_dir, grain)
     joined = target.attach_rates(inputs.panel_keys(rates), rates, check=False)

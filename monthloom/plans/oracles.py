@@ -563,6 +563,8 @@ SELECT * FROM prates WHERE entity IS NULL OR month IS NULL OR level IS NULL""",
 SELECT month, entity, count(*) AS n FROM prates GROUP BY ALL HAVING count(*) > 1""",
         "entities_without_rates": """SELECT 'CUSTOMER_' || c_custkey AS entity FROM customer
 WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""",
+        "customers_without_early_rates": """SELECT 'CUSTOMER_' || c_custkey AS entity FROM customer
+WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate < DATE '1996-01-01')""",
         "duplicate_series": f"""{_with(_NAMED_FILES)}
 SELECT entity, feature, count(*) AS n_files, min(series_id) AS first_series_id,
        max(series_id) AS last_series_id

@@ -175,4 +175,12 @@ def test_a_trial_that_lacks_a_fold_is_left_out(spark):
         [(0, 1, 0, 1, 2.0), (0, 1, 1, 1, 2.0), (0, 2, 0, 1, 0.1)], "study int, trial int, step int, n bigint, sse double"
     )
     assert {r.trial for r in tuning.incomplete_trials(folds, trials, design).collect()} == {2, 3}
-    assert {r.trial for r in tuning.complete_folds(folds, trials, design).collect()} == {1}
+    complete = tuning.complete_folds(folds, trials, design)
+    assert {r.trial for r in complete.collect()} == {1}
+    states = tuning.with_failed(tuning.median_stopping(tuning.running_rmse(complete), 1, 1), trials)
+    assert {(r.trial, r.state, r.months_evaluated) for r in states.collect()} == {
+        (1, "complete", 2), (2, "failed", 0), (3, "failed", 0)
+    }
+    counts = tuning.state_counts(states).first()
+    assert (counts.total, counts.complete, counts.stopped, counts.failed) == (3, 1, 0, 2)
+    assert tuning.best_trial(states).first().trial == 1
