@@ -12,19 +12,19 @@ its exact counts; equality of nodes is a shuffle key, and no link is lost. Sizes
 families, each with its own number of slices; a document enters the family of its size and
 that below it if a partner there is possible.
 
-*Frequent nodes.* A document has more slices than `reach`, so it may leave out that many
-nodes more (`slack`). It leaves out nodes with more than `FREQUENT` documents, such as those
-of a widespread passage, if all of them fit in its slack; a partner's common nodes are the
-same ones, so again no link is lost. Only documents with nearly nothing but frequent nodes,
-members of large groups of near copies, stay in frequent nodes, and in no more than they need.
+*Fewest nodes.* A document has more slices than `reach`, so it may leave out that many nodes
+more (`slack`): linked documents share more nodes than the slack of either. Once the links of the
+first step are known, only shared nodes whose documents are in several parts count. In one order of
+them, rarest first, a document leaves out as many of its last ones as its slack allows; the first
+node that two linked documents share is not among them, so again no link is lost. Documents that
+share no more nodes than their slack, such as those with a widespread passage, leave out all.
 
 *Lower level.* First each document is paired with the first one of one of its nodes; nodes whose
-documents are joined by these links are done. In an open node the first document is paired with
-all others: as many pairs as documents. If the links found so far join them, it is done. Otherwise those
-outside the largest part are paired with a few of its documents. What is still apart is
-searched in an R-tree over the count vectors of the rest, block by block, with the bound
-above at inner nodes and leaves. Surviving pairs are verified on
-the sets themselves. Pairs inside a found group are not verified again, so a group of copies
+documents are joined by these links are done. In an open node the documents outside the largest
+part are paired with a few of its documents. What is still apart is searched in an R-tree over
+the count vectors, block by block, with the bound above at inner nodes and leaves. Long sets
+have more groups, as in few ones all of them look alike. Surviving pairs are verified on the
+sets themselves. Pairs inside a found group are not verified again, so a group of copies
 costs what it holds, not its square.
 
 Equal sets are one point. Defined cases: null, empty and blank texts have the empty set and
@@ -44,13 +44,16 @@ from monthloom.llm import words
 from monthloom.llm.components import components
 from monthloom.session import reclaim, scratch, stage
 
-#: Coordinates of the count vectors in the R-tree.
+#: Least number of coordinates of the count vectors in the R-tree, and the most shingles for
+#: each: with more, all long sets of one size look alike.
 GROUPS = 64
+CROWD = 8
 #: Growth of the size families.
 FAMILY_RATIO = 1.5
 #: Slices in proportion to the least number that is lossless.
 SPARE = 1.35
-FREQUENT = 64
+#: Nodes with fewer further documents are never left out; 1: every node counts for the slack.
+FREQUENT = 1
 #: Groups for each shingle of a set in the second bound.
 COARSE = 8
 BLOCK = 512
@@ -144,6 +147,19 @@ def _both_families(size, families):
     return own, np.where(reached, below, -1)
 
 
+def _vectors(value, owner, size) -> list[bytes]:
+    """Group counts of each set, in a power of two of groups that grows with its size."""
+    ends = np.cumsum(size)
+    found = []
+    for end, n in zip(ends.tolist(), size.tolist(), strict=True):
+        groups = GROUPS
+        while groups * CROWD < n:
+            groups *= 2
+        place = (value[end - n : end] % np.uint64(groups)).astype(np.int64)
+        found.append(np.bincount(place, minlength=groups).astype(np.int32).tobytes())
+    return found
+
+
 def _points(length, families):
     def task(batches):
         for batch in batches:
@@ -155,8 +171,6 @@ def _points(length, families):
                     _nodes(value, owner, size, f, families)[2]
                     for f in _both_families(size, families)
                 ]
-                vector = np.zeros((b - a, GROUPS), dtype=np.int32)
-                np.add.at(vector, (owner, (value % np.uint64(GROUPS)).astype(np.int64)), 1)
                 yield pa.record_batch(
                     [
                         batch.column(0).slice(a, b - a),
@@ -164,7 +178,7 @@ def _points(length, families):
                         pa.array(size),
                         pa.array(slack[0]),
                         pa.array(slack[1]),
-                        pa.array([v.tobytes() for v in vector], type=pa.binary()),
+                        pa.array(_vectors(value, owner, size), type=pa.binary()),
                     ],
                     names=["id", "point", "size", "slack_own", "slack_below", "counts"],
                 )
@@ -274,22 +288,26 @@ def _least_common(total, num, den):
     return -(-num * total // (num + den))
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    data = b"".join(column.to_pylist())
-    return np.frombuffer(data, dtype=np.int32).reshape(-1, GROUPS)
+def _matrix(vectors: list[bytes], groups: int) -> np.ndarray:
+    """Vectors folded to a number of groups that none of them is short of."""
+    found = np.empty((len(vectors), groups), dtype=np.int32)
+    for i, v in enumerate(vectors):
+        found[i] = np.frombuffer(v, dtype=np.int32).reshape(-1, groups).sum(axis=0)
+    return found
 
 
 def _bounded(num, den):
     def task(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                rows = batch.slice(at, 512)
-                a, b = _matrix(rows.column(2)), _matrix(rows.column(3))
-                most = np.minimum(a, b).sum(axis=1)
-                keep = most >= _least_common(a.sum(axis=1) + b.sum(axis=1), num, den)
-                yield pa.record_batch(
-                    [c.filter(pa.array(keep)) for c in rows.columns[:2]], names=["u", "v"]
-                )
+            keep = np.zeros(batch.num_rows, dtype=bool)
+            for i, pair in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                a, b = (np.frombuffer(x.as_buffer(), dtype=np.int32) for x in pair)
+                groups = min(len(a), len(b))
+                a, b = (x.reshape(-1, groups).sum(axis=0) for x in (a, b))
+                keep[i] = np.minimum(a, b).sum() >= _least_common(a.sum() + b.sum(), num, den)
+            yield pa.record_batch(
+                [c.filter(pa.array(keep)) for c in batch.columns[:2]], names=["u", "v"]
+            )
 
     return task
 
@@ -370,7 +388,8 @@ def _tree_pairs(num, den):
         ids, part = np.asarray(table["point"]), np.asarray(table["part"])
         left, right = [], []
         if searched.any() and not searched.all():
-            vectors = _matrix(table["counts"].combine_chunks())
+            vectors = table["counts"].to_pylist()
+            vectors = _matrix(vectors, min(len(v) for v in vectors) // 4)
             rest = np.flatnonzero(~searched)
             tree = Tree(vectors[rest])
             for i in np.flatnonzero(searched):
@@ -422,7 +441,8 @@ class JaccardJoin:
         ).distinct()
 
     def still_open(self, members: DataFrame, parts: DataFrame) -> DataFrame:
-        """Members of nodes whose points are in several parts, frequent nodes reduced."""
+        """(node, point) of nodes whose points are in several parts, each point in no more nodes
+        than it needs."""
         part = parts.toDF("point", "part")
         labelled = members.join(part, "point", "left").select(
             "node", "point", "first", F.coalesce("part", "point").alias("part")
@@ -434,44 +454,29 @@ class JaccardJoin:
             .agg(
                 F.count("*").alias("n"),
                 F.max(F.col("part") != F.coalesce("lead", "first")).alias("open"),
+                F.first("first").alias("first"),
             )
             .where("open")
-            .select("node", "n")
-        )
-        found = stage(members.join(self._sent(sizes.select("node")), "node", "left_semi"))
-        frequent = self._sent(sizes.where(F.col("n") >= FREQUENT).select("node"))
-        rare = found.join(frequent, "node", "left_anti")
-        crowd = found.join(frequent, "node", "left_semi")
-        crowd = crowd.select("node", "point").unionByName(
-            crowd.select("node", F.col("first").alias("point")).distinct()
+            .select("node", "n", "first")
         )
+        found = members.select("node", "point").join(self._sent(sizes.select("node", "n")), "node")
+        rows = found.unionByName(sizes.select("node", F.col("first").alias("point"), "n"))
         family = F.col("node").bitwiseAND(F.lit(63))
         lows = F.array(*(F.lit(int(x)) for x in self.families.low))
         own = F.aggregate(lows, F.lit(-1), lambda n, x: n + (x <= F.col("size")).cast("int"))
-        left_out = crowd.groupBy("point", family.alias("family")).agg(F.count("*").alias("out"))
-        bound = (
-            left_out.join(self.unique.select("point", "size", "slack_own", "slack_below"), "point")
-            .withColumn(
-                "keep",
-                F.col("out")
-                - F.when(F.col("family") == own, F.col("slack_own")).otherwise(F.col("slack_below")),
-            )
-            .where("keep > 0")
-            .select("point", "family", "keep")
+        slack = F.when(F.col("family") == own, F.col("slack_own")).otherwise(F.col("slack_below"))
+        # Two linked documents of different parts share more of these nodes than the slack of
+        # either, so the first one in any order of all nodes has `slack` others after it in both.
+        after = F.row_number().over(
+            Window.partitionBy("point", "family").orderBy(F.desc("n"), F.desc("node"))
         )
-        # In one order of all nodes (rare ones, then frequent ones by key) two linked documents
-        # share one of their first `reach + 1`: of its frequent nodes a document needs so many.
-        place = F.row_number().over(Window.partitionBy("point", "family").orderBy("node"))
-        kept = (
-            crowd.withColumn("family", family)
-            .withColumn("place", place)
-            .join(bound, ["point", "family"])
-            .where(F.col("place") <= F.col("keep"))
+        return stage(
+            rows.withColumn("family", family)
+            .withColumn("after", after)
+            .join(self.unique.select("point", "size", "slack_own", "slack_below"), "point")
+            .where((F.col("after") > slack) | (F.col("n") < FREQUENT))
             .select("node", "point")
         )
-        heads = kept.groupBy("node").agg(F.min("point").alias("first"))
-        kept = kept.join(heads, "node").where("point <> first").select("node", "point", "first")
-        return stage(rare.unionByName(kept))
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """Those of the distinct pairs (`u`, `v`) that link."""
@@ -604,20 +609,24 @@ class JaccardJoin:
         with scratch(spark) as tables:
             members = self.members()
             reclaim(spark)  # the nodes' shuffle is by far the largest
-            links = self.verify(stage(self.early_pairs(members)))
-            parts = stage(components(links))
+            parts = stage(components(self.verify(stage(self.early_pairs(members)))))
             members = self.still_open(members, parts)
-            pairs = members.select(
-                F.least("point", "first").alias("u"), F.greatest("point", "first").alias("v")
-            ).distinct()
-            links = links.unionByName(self.verify(stage(self._apart(pairs, parts))))
             for candidates in (self.pivot_pairs, self.tree_pairs):
-                parts = stage(components(links))
                 labelled, nodes = self.open_nodes(members, parts)
                 if nodes.isEmpty():
-                    return tables.keep(parts)
-                links = links.unionByName(self.verify(stage(self._apart(candidates(labelled, nodes), parts))))
-            return tables.keep(stage(components(links)))
+                    break
+                parts = self._joined(parts, candidates(labelled, nodes))
+            return tables.keep(parts)
+
+    def _joined(self, parts: DataFrame, pairs: DataFrame) -> DataFrame:
+        """The parts after those of the pairs that link. The parts found so far are stars."""
+        pairs = stage(self._apart(pairs, parts))
+        if pairs.isEmpty():
+            return parts
+        links = self.verify(pairs)
+        if links.isEmpty():
+            return parts
+        return stage(components(parts.toDF("u", "v").unionByName(links)))
 
     def _apart(self, pairs: DataFrame, parts: DataFrame) -> DataFrame:
         """Pairs of points that are not yet in one part."""

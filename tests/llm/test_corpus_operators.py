@@ -34,6 +34,23 @@ def test_join_finds_every_group(spark, monkeypatch, frequent, block):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == groups(texts, 4, 85)
 
 
+def test_join_leaves_out_documents_that_only_share_a_passage(spark):
+    """Their pairs would grow with the square of the documents that hold it."""
+    rng = random.Random(5)
+    passage = " ".join(f"p{i}" for i in range(16))
+    texts = [(i, " ".join([*(f"w{rng.randint(0, 10**6)}" for _ in range(150)), passage])) for i in range(60)]
+    texts += [(100, texts[0][1] + " more"), (101, texts[1][1] + " x"), (102, texts[1][1] + " y")]
+    join = ngram_join.JaccardJoin(frame(spark, texts), "doc_id", "text", 4, 85, 100)
+    members = join.members()
+    none = spark.createDataFrame([], "node long, component long")
+    left = join.still_open(members, none)
+    few = {r.point for r in join.points.where("id in (0, 1, 100, 101, 102)").collect()}
+    found = {r.point for r in left.collect()}
+    assert members.count() > 60 and found == few
+    rows = {r.doc_id: r.component_id for r in ngram_join.jaccard_groups(frame(spark, texts), length=4, num=85).collect()}
+    assert rows == {i: x for i, (_, x) in groups(texts, 4, 85).items()}
+
+
 def test_join_with_repeated_and_missing_ids(spark):
     texts = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (0, "z"), (None, None)]
     rows = ngram_join.jaccard_groups(frame(spark, texts)).collect()
@@ -54,6 +71,18 @@ def test_families_hold_every_pair_that_can_link():
                     assert a + b - 2 * common <= f.reach[own] < f.slices[own]
 
 
+def test_long_sets_have_vectors_that_tell_them_apart():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 2**54, n, dtype=np.uint64)) for n in (6000, 6200, 30)]
+    vectors = ngram_join._vectors(np.concatenate(sets), np.repeat(range(3), [len(x) for x in sets]), np.array([len(x) for x in sets]))
+    size = [np.frombuffer(v, np.int32).sum() for v in vectors]
+    assert size == [len(x) for x in sets] and len(vectors[2]) == 4 * ngram_join.GROUPS
+    a, b = ngram_join._matrix(vectors[:2], len(vectors[0]) // 4)
+    assert np.minimum(a, b).sum() < ngram_join._least_common(a.sum() + b.sum(), 85, 100)
+    a, b = ngram_join._matrix(vectors[:2], ngram_join.GROUPS)
+    assert np.minimum(a, b).sum() >= ngram_join._least_common(a.sum() + b.sum(), 85, 100)
+
+
 def test_tree_keeps_every_point_within_the_bound():
     rng = np.random.default_rng(3)
     points = rng.poisson(2, (500, ngram_join.GROUPS)).astype(np.int32)
